@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evenkeel.functions._cols import as_list, order_value
 from evenkeel.operators.rows import rows_dedup
-from evenkeel.operators.skew import HOT_ROWS, HOT_SHARE, join_keyed
+from evenkeel.operators.skew import HOT_ROWS, HOT_SHARE, hot_keys, join_few, spread
 
 
 def current_conditions(
@@ -37,27 +37,45 @@ def condition_transitions(
 ) -> DataFrame:
     """(keys, status, last_transition_time): the time moves only when the status changes.
 
-    The transition is the first row after the last one with another status. That needs no
-    window over a key's whole history: the last row per status is a plain aggregate, and a
-    second pass takes the least row past that point, with hot keys joined by broadcast.
+    Compares each row with the one before it, which puts a key's history into one task. Not
+    so for hot keys, of which there are few: for them the last row with another status comes
+    from a plain aggregate, and what is left, the rows of the last run, is spread over tasks
+    and reduced to its first row.
     """
     keys = as_list(keys)
-    rows = log.select(*keys, F.col(status).alias("_status"), order_value(order).alias("_o"), F.col(at).alias("_at"))
-    by_status = rows.groupBy(*keys, "_status").agg(F.max("_o").alias("_last"), F.count("*").alias("_n"))
-
-    last_first = Window.partitionBy(*keys).orderBy(F.desc("_last"))
-    top = by_status.withColumn("_rn", F.row_number().over(last_first)).filter("_rn <= 2")
-    bounds = top.groupBy(*keys).agg(
-        F.max(F.when(F.col("_rn") == 1, F.col("_status"))).alias("_current"),
-        F.max(F.when(F.col("_rn") == 2, F.col("_last"))).alias("_bound"),
+    rows = log.select(
+        *keys,
+        F.col(status).alias("_status"),
+        order_value(order).alias("_o"),
+        F.col(at).alias("_at"),
     )
-    weights = by_status.groupBy(*keys).agg(F.sum("_n").alias("_n"))
-
-    joined = join_keyed(rows, bounds, keys, weights, "_n", hot_share, hot_rows)
-    since = joined.filter(F.col("_bound").isNull() | (F.col("_o") > F.col("_bound")))
-    return since.groupBy(*keys).agg(
-        F.max("_current").alias("status"),
-        F.min_by("_at", "_o").alias("last_transition_time"),
+    hot = hot_keys(rows, keys, hot_share, hot_rows)
+    ends = (
+        join_few(rows, hot, keys, "left_semi").groupBy(*keys, "_status").agg(F.max("_o").alias("_o"))
+    )
+    latest_first = Window.partitionBy(*keys).orderBy(F.desc("_o"))
+    bounds = (
+        ends.withColumn("_rn", F.row_number().over(latest_first))
+        .filter("_rn <= 2")
+        .groupBy(*keys)
+        .agg(F.max(F.when(F.col("_rn") == 2, F.col("_o"))).alias("_bound"), F.lit(True).alias("_hot"))
+    )
+    last_run = F.col("_hot").isNull() | F.col("_bound").isNull() | (F.col("_o") > F.col("_bound"))
+    marked = join_few(rows, bounds, keys, "left").filter(last_run)
+    marked = marked.select(
+        *keys, "_status", "_o", "_at", F.when(F.col("_hot"), spread([F.col("_o")])).alias("_spread")
+    )
+    history = Window.partitionBy(*keys, "_spread").orderBy("_o")
+    before = F.lag(F.struct("_status")).over(history)
+    changed = before.isNull() | ~F.col("_status").eqNullSafe(before["_status"])
+    runs = marked.withColumn("_changed", changed).filter("_changed")
+    last = runs.groupBy(*keys, "_spread").agg(F.max(F.struct("_o", "_status", "_at")).alias("_run"))
+    return (
+        last.groupBy(*keys)
+        .agg(F.min("_run").alias("_run"))
+        .select(
+            *keys, F.col("_run._status").alias("status"), F.col("_run._at").alias("last_transition_time")
+        )
     )
 
 

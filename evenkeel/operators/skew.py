@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A key is hot when it holds at least this share of all rows, so there can never be more
-# hot keys than its inverse: that is the bound on what join_keyed broadcasts.
+# hot keys than its inverse: that is the bound on what may be broadcast about them.
 HOT_SHARE = 1 / 4096
 # Below this many rows one task copes with a key whatever its share.
 HOT_ROWS = 1_000_000
@@ -27,45 +27,27 @@ def null_spread(keys: Sequence[Column], by: Sequence[Column], buckets: int = 102
     missing = F.lit(False)
     for k in keys:
         missing = missing | k.isNull()
-    spread = F.pmod(F.xxhash64(*by), F.lit(buckets)).cast("int")
-    return F.when(missing, spread).otherwise(F.lit(0))
+    return F.when(missing, spread(by, buckets)).otherwise(F.lit(0))
 
 
-def hot_keys(
-    weights: DataFrame,
-    keys: Sequence[str],
-    weight: str,
-    share: float = HOT_SHARE,
-    min_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Keys that hold at least ``share`` of the total weight, at most ``1 / share`` rows.
-
-    ``weights`` has one row per key with its number of rows.
-    """
-    total = weights.agg(F.sum(weight)).scalar()
-    floor = F.greatest(F.lit(float(min_rows)), total * F.lit(share))
-    return weights.filter(F.col(weight) >= floor).select(*keys)
+def spread(by: Sequence[Column], buckets: int = 1024) -> Column:
+    """A bucket number that depends on nothing but the given values."""
+    return F.pmod(F.xxhash64(*by), F.lit(buckets)).cast("int")
 
 
-def join_keyed(
-    rows: DataFrame,
-    keyed: DataFrame,
-    keys: Sequence[str],
-    weights: DataFrame,
-    weight: str,
-    share: float = HOT_SHARE,
-    min_rows: int = HOT_ROWS,
+def hot_keys(
+    df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE, min_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Inner join of a large table to one row per key, whatever the distribution of keys.
+    """Keys that hold at least ``share`` of all rows: at most ``1 / share`` rows."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n")).scalar()
+    return counts.filter(F.col("_n") >= F.greatest(F.lit(float(min_rows)), total * F.lit(share))).select(*keys)
 
-    Rows of hot keys meet a broadcast of at most ``1 / share`` rows and are not shuffled; the
-    others take the ordinary join, where a key's rows fit one task. An aggregation on the
-    same keys may follow: the union drops the join's partitioning, so partial aggregation
-    runs before its shuffle.
-    """
-    keys = list(keys)
-    hot = hot_keys(weights, keys, weight, share, min_rows)
-    hot_side = keyed.join(hot, keys, "left_semi")
-    with_hot = rows.join(F.broadcast(hot_side), keys)
-    with_rest = rows.join(F.broadcast(hot), keys, "left_anti").join(keyed, keys)
-    return with_hot.unionByName(with_rest)
+
+def join_few(df: DataFrame, few: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Join to a broadcast of rows about hot keys; a null key matches a null key."""
+    right = few.select(*[F.col(k).alias(f"_few_{k}") for k in keys], *[c for c in few.columns if c not in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & df[k].eqNullSafe(right[f"_few_{k}"])
+    return df.join(F.broadcast(right), same, how).drop(*[f"_few_{k}" for k in keys])

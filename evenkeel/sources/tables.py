@@ -50,7 +50,7 @@ def read_changes(
     fmt: str = "parquet",
     stream: bool = True,
     max_files: int | None = None,
-    max_bytes: str | None = None,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """A change feed as a stream of new files, or as a table with ``stream=False``.
 
