@@ -3,6 +3,7 @@ from evenkeel.functions.arrays import (
     append_list,
     array_dedup,
     array_minus,
+    has_missing,
     join_items,
 )
 from evenkeel.functions.checks import collect_errors, typed_error, typed_value
@@ -22,6 +23,7 @@ __all__ = [
     "controller_owner",
     "derive_names",
     "derived_name",
+    "has_missing",
     "join_items",
     "line",
     "maps_equal",

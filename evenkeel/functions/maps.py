@@ -11,7 +11,7 @@ from evenkeel.functions._cols import ColumnLike, as_col
 
 
 def _entries(m: ColumnLike) -> Column:
-    return F.array_sort(F.map_entries(F.coalesce(as_col(m), F.create_map())))
+    return F.sort_array(F.map_entries(F.coalesce(as_col(m), F.create_map())))
 
 
 def maps_equal(a: ColumnLike, b: ColumnLike) -> Column:

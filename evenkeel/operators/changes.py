@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.functions._cols import ColumnLike, as_col
-from evenkeel.functions.arrays import array_minus
+from evenkeel.functions.arrays import has_missing
 from evenkeel.functions.maps import maps_equal
 from evenkeel.functions.owners import owned_or
 
@@ -68,4 +68,4 @@ def _or_pass(rule: Column | None) -> Column:
 
 def needs_work(df: DataFrame, desired: ColumnLike, done: ColumnLike) -> DataFrame:
     """Only rows that have desired items not done yet."""
-    return df.filter(F.size(array_minus(desired, done)) > 0)
+    return df.filter(has_missing(desired, done))

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evenkeel.functions._cols import ColumnLike, as_col, as_list
 from evenkeel.functions.checks import BAD_VALUE
@@ -33,19 +34,31 @@ def reference_edges(
     refs: Mapping[str, Sequence[ColumnLike]],
     namespace: str | None = None,
 ) -> DataFrame:
-    """(keys, namespace, ref_kind, ref_name): one row per distinct reference of an object."""
+    """(keys, namespace, ref_kind, ref_name): one row per reference of an object that is set.
+
+    Names keep their type where all reference columns share one, else they become text.
+    """
+    types = {_type(objects, c) for cols in refs.values() for c in cols}
+    plain = len(types) == 1
     items = [
-        F.struct(F.lit(kind).alias("ref_kind"), as_col(c).cast("string").alias("ref_name"))
+        F.struct(
+            F.lit(kind).alias("ref_kind"),
+            (as_col(c) if plain else as_col(c).cast("string")).alias("ref_name"),
+        )
         for kind, cols in refs.items()
         for c in cols
     ]
-    set_refs = F.filter(F.array(*items), lambda r: r["ref_name"] != "")
-    if len(items) > 1:
-        set_refs = F.array_distinct(set_refs)
     kept = as_list(keys)
     if namespace and namespace not in kept:
         kept.append(namespace)
-    return objects.select(*kept, F.inline(set_refs))
+    edges = objects.select(*kept, F.inline(F.array(*items)))
+    if edges.schema["ref_name"].dataType == T.StringType():
+        return edges.filter(F.col("ref_name") != "")
+    return edges.filter(F.col("ref_name").isNotNull())
+
+
+def _type(df: DataFrame, c: ColumnLike) -> T.DataType:
+    return df.select(as_col(c).alias("x")).schema["x"].dataType
 
 
 def affected_by(
@@ -65,8 +78,12 @@ def affected_by(
     """
     on_ns = [namespace] if namespace else []
     edges = reference_edges(objects, keys, refs, namespace)
+    name_type = edges.schema["ref_name"].dataType
+    if changed.schema["name"].dataType != name_type:
+        name_type = T.StringType()
+        edges = edges.withColumn("ref_name", F.col("ref_name").cast(name_type))
     names = changed.select(
-        *on_ns, F.col("kind").alias("ref_kind"), F.col("name").cast("string").alias("ref_name")
+        *on_ns, F.col("kind").alias("ref_kind"), F.col("name").cast(name_type).alias("ref_name")
     )
     used = edges.join(names, [*on_ns, "ref_kind", "ref_name"], "left_semi")
     return used.select(*as_list(keys)).distinct()
@@ -136,10 +153,11 @@ def resolve_refs(
         )
         for i, f in referenced
     ]
-    set_edges = F.filter(F.array(*edges), lambda e: e["_name"].isNotNull() & e["_key"].isNotNull())
     carried = list(dict.fromkeys([*keys, *on_ns]))
-    rows = objects.select(*carried, F.inline(F.concat(F.array(own), set_edges))).withColumn(
-        "_spread", null_spread([F.col("_name")], [F.col(k) for k in keys])
+    rows = (
+        objects.select(*carried, F.inline(F.array(own, *edges)))
+        .filter((F.col("_ord") < 0) | (F.col("_name").isNotNull() & F.col("_key").isNotNull()))
+        .withColumn("_spread", null_spread([F.col("_name")], [F.col(k) for k in keys]))
     )
 
     values = lookup.select(
@@ -150,14 +168,15 @@ def resolve_refs(
         F.lit(True).alias("_found"),
     )
     joined = rows.join(values, [*on_ns, "_name", "_spread"], "left")
-    value = F.try_element_at(F.col("_data"), F.col("_key")).cast("string")
     has_key = F.coalesce(F.map_contains_key(F.col("_data"), F.col("_key")), F.lit(False))
-    error = F.when(F.col("_found").isNull(), F.lit(NOT_FOUND)).when(~has_key, F.lit(KEY_NOT_FOUND))
+    got = F.struct(
+        F.try_element_at(F.col("_data"), F.col("_key")).cast("string").alias("value"),
+        F.when(F.col("_found").isNull(), F.lit(NOT_FOUND)).when(~has_key, F.lit(KEY_NOT_FOUND)).alias("error"),
+    )
+    joined = joined.select(*keys, "_ord", "_base", F.when(F.col("_ord") >= 0, got).alias("_got"))
 
     aggs = [F.any_value("_base", True).alias("_base")]
-    for i, _ in referenced:
-        mine = F.col("_ord") == i
-        aggs.append(F.max(F.when(mine, F.struct(value.alias("value"), error.alias("error")))).alias(f"_r{i}"))
+    aggs += [F.max(F.when(F.col("_ord") == i, F.col("_got"))).alias(f"_r{i}") for i, _ in referenced]
     grouped = joined.groupBy(*keys).agg(*aggs)
 
     with_ref = {i for i, _ in referenced}
@@ -169,7 +188,7 @@ def resolve_refs(
             errors.append(F.lit(REF_MISSING) if f.required_ref else none)
             continue
         got = F.col(f"_r{i}")
-        typed = got["value"].cast("string").try_cast(f.type)
+        typed = got["value"].try_cast(f.type)
         out_values.append(F.when(got.isNotNull(), typed).otherwise(plain))
         errors.append(
             F.when(got.isNull(), F.lit(REF_MISSING) if f.required_ref else none)

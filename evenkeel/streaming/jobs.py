@@ -37,7 +37,8 @@ def track_jobs(
     An observation carries the wanted list and the counters active, succeeded, failed of the
     recorded job (all null when the job is not found). The state is the recorded job's items
     and the installed list; steps are those of ``job_state``. With ``emit_due`` a key that is
-    not observed again within its delay gives a row DUE, by processing time.
+    not observed again within its delay gives a row DUE, by processing time; such a stream
+    needs a recurring trigger, as one over what is available now would never end.
     """
     keys = as_list(keys)
     out = T.StructType(

@@ -33,7 +33,7 @@ def suppress_unchanged(
     keys, content = as_list(keys), list(content)
     kinds = {f.name: f.dataType for f in stream.schema}
     parts = [
-        F.array_sort(F.map_entries(c)).alias(c) if isinstance(kinds[c], T.MapType) else F.col(c)
+        F.sort_array(F.map_entries(c)).alias(c) if isinstance(kinds[c], T.MapType) else F.col(c)
         for c in content
     ]
     digest = F.sha2(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}), 256)

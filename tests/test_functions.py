@@ -30,6 +30,9 @@ def arr(items):
         (None, ["base"], []),
         (["base", "web"], ["base", None], ["web"]),
         (["base", None], ["base"], [None]),
+        (["base", None, "base"], ["base"], [None]),
+        (["base", None, "base"], [None], ["base", "base"]),
+        (["base", None], [None], ["base"]),
     ],
 )
 def test_array_minus(spark, a, b, expected):
