@@ -28,7 +28,7 @@ def children_of(
     if namespace is None:
         if parent_columns:
             raise ValueError("parent columns need a namespace: names alone are not unique")
-        found = tagged.join(parents.select(name).distinct(), ["_parent"], "left_semi")
+        found = tagged.join(parents.select(name), ["_parent"], "left_semi")
     else:
         found = tagged.join(
             parents.select(namespace, name, *parent_columns), [namespace, "_parent"]

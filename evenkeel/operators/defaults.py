@@ -33,9 +33,19 @@ def apply_defaults(df: DataFrame, defaults: Mapping[str, Any]) -> DataFrame:
 def _fill(column: Column, dtype: T.DataType, node: Mapping[str, Any]) -> Column:
     if "value" in node:
         column = F.coalesce(column, _literal(node["value"], dtype))
-    for name, child in node.get("children", {}).items():
-        column = column.withField(name, _fill(column[name], dtype[name].dataType, child))
-    return column
+    children = node.get("children")
+    if not children:
+        return column
+    unknown = set(children) - set(dtype.names)
+    if unknown:
+        raise ValueError(f"no such fields: {sorted(unknown)}")
+    # The struct is built anew: a chain of withField calls would nest, and each of its steps
+    # would repeat the ones before.
+    fields = [
+        (_fill(column[f.name], f.dataType, children[f.name]) if f.name in children else column[f.name]).alias(f.name)
+        for f in dtype
+    ]
+    return F.when(column.isNotNull(), F.struct(*fields))
 
 
 def _literal(value: Any, dtype: T.DataType) -> Column:

@@ -19,7 +19,8 @@ def rows_minus(a: DataFrame, b: DataFrame, keys: str | Sequence[str]) -> DataFra
     """
     keys = as_list(keys)
     spread = null_spread([F.col(k) for k in keys], [F.col(c) for c in _hashable(a)])
-    other = b.select(*keys).distinct().withColumn("_spread", F.lit(0))
+    # Deduplicating b first would stop adaptive execution from splitting a hot key of a.
+    other = b.select(*keys).withColumn("_spread", F.lit(0))
     return (
         a.withColumn("_spread", spread).join(other, [*keys, "_spread"], "left_anti").drop("_spread")
         .select(*a.columns)

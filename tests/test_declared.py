@@ -1,0 +1,166 @@
+"""Declared objects end to end."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from evenkeel import declared as D
+from evenkeel import operators as O
+
+SECRET = {
+    "host": b"db-host", "port": b"5432", "user": b"db-user", "password": b"db-password",
+    "name": b"db-name", "ssl": b"false", "maxconn": b"20",
+}
+
+
+def obj(name="my-app", namespace="default", refs=None, config=None, status=None, **spec):
+    database = {f"{k}_ref": {"name": v[0], "key": v[1]} for k, v in (refs or {}).items()}
+    return json.dumps({
+        "namespace": namespace, "name": name,
+        "spec": {"name": name, "database": database, "config": config or {}, "filestore": {}, **spec},
+        "status": status or {},
+    })
+
+
+ALL_REFS = {f: ("test-db-secret", f.replace("_", "")) for f in D.DATABASE_FIELDS}
+
+
+def table(spark, *objects):
+    rows = spark.createDataFrame([(o,) for o in objects], "j string")
+    return rows.select(F.from_json("j", D.OBJECTS).alias("o")).select("o.*")
+
+
+@pytest.fixture
+def secrets(spark):
+    return spark.createDataFrame(
+        [("default", "test-db-secret", SECRET), ("default", "my-app-admin-password", {"password": b"pw"})],
+        "namespace string, name string, data map<string,binary>",
+    )
+
+
+def children(spark, secrets, *objects):
+    out = D.desired_children(table(spark, *objects), secrets, "app")
+    return {(r.name, r.kind, r.child): r.payload for r in out.collect()}
+
+
+def test_children_of_a_whole_object(spark, secrets):
+    got = children(spark, secrets, obj(refs=ALL_REFS, modules=["base", "web", "base"], command=["/entrypoint.sh"]))
+    assert set(k[1:] for k in got) == {
+        ("secret", "my-app-admin-password"), ("secret", "my-app-config"), ("volume", "my-app"),
+        ("job", "my-app-init"), ("workload", "my-app"), ("service", "my-app-http"), ("service", "my-app-poll"),
+    }
+    conf = got[("my-app", "secret", "my-app-config")]
+    assert conf == (
+        "[options]\nadmin_passwd = pw\ndata_dir=/var/lib/app\n\ndb_host = db-host\ndb_port = 5432\ndb_user = db-user\n"
+        "db_password = db-password\ndb_maxconn = 20\ndb_name= db-name\n\ndebug_mode = false\nwithout_demo = true\n"
+        "proxy_mode = true\nworkers = 2\nlimit_memory_soft = 2147483648\nlimit_memory_hard = 2684354560\n"
+        "limit_request = 8192\nlimit_time_cpu = 60\nlimit_time_real = 120\nmax_cron_threads = 1\n"
+    )
+    job = json.loads(got[("my-app", "job", "my-app-init")])
+    assert job["modules"] == ["base", "web"]
+    assert job["command"] == [
+        "/entrypoint.sh", "-c", "/opt/app/app.conf", "--stop-after-init", "--no-http", "--init", "base,web"
+    ]
+    work = json.loads(got[("my-app", "workload", "my-app")])
+    assert work == {"replicas": 1, "image": "app:18", "pull": "IfNotPresent", "command": ["/entrypoint.sh", "-c", "/opt/app/app.conf"]}
+    assert json.loads(got[("my-app", "volume", "my-app")]) == {
+        "size": "10Gi", "storage_class": "standard", "access_modes": ["ReadWriteOnce"]
+    }
+    assert json.loads(got[("my-app", "service", "my-app-poll")])["port"] == 8072
+
+
+def test_install_delta_and_config_endings(spark, secrets):
+    deltas = {
+        "d1": (["base", "web", "sale"], [], ["base", "web", "sale"]),
+        "d2": (["base", "web", "sale"], ["base", "web"], ["sale"]),
+        "d3": (["base", "web"], ["base", "web"], None),
+    }
+    endings = {
+        "c1": ({}, "max_cron_threads = 1\n"),
+        "c2": ({"max_cron_threads": 4}, "max_cron_threads = 4\n"),
+        "c3": ({"extra_addons_paths": ["/mnt/extra-addons"]}, "max_cron_threads = 1\naddons_path = /mnt/extra-addons\n"),
+        "c4": ({"extra_addons_paths": ["/mnt/addons-a", "/mnt/addons-b"]}, "max_cron_threads = 1\naddons_path = /mnt/addons-a,/mnt/addons-b\n"),
+    }
+    shared = {"admin_password_secret": "my-app-admin-password"}
+    got = children(
+        spark, secrets,
+        *[obj(n, refs=ALL_REFS, config=shared, modules=w, status={"modules_installed": i}) for n, (w, i, _) in deltas.items()],
+        *[obj(n, refs=ALL_REFS, config={**shared, **c}) for n, (c, _) in endings.items()],
+    )
+    for n, (_, _, todo) in deltas.items():
+        job = got.get((n, "job", f"{n}-init"))
+        assert (job and json.loads(job)["modules"]) == todo
+    for n, (_, end) in endings.items():
+        assert got[(n, "secret", f"{n}-config")].endswith(end)
+
+
+def test_inline_values_and_given_admin_secret(spark, secrets):
+    lookup = secrets.unionByName(
+        spark.createDataFrame([("default", "mine", {"password": b"own"})], secrets.schema)
+    )
+    got = children(
+        spark, lookup, obj(refs={"password": ("test-db-secret", "password")}, config={"admin_password_secret": "mine"})
+    )
+    conf = got[("my-app", "secret", "my-app-config")]
+    assert "admin_passwd = own\n" in conf and "db_host = postgresql\n" in conf and "db_user = app\n" in conf
+    assert ("my-app", "secret", "mine") in got
+
+
+def test_failed_references_stop_at_the_admin_secret(spark, secrets):
+    bad = obj(refs={**ALL_REFS, "port": ("test-db-secret", "nope"), "host": ("gone", "host")})
+    got = children(spark, secrets, bad)
+    assert set(got) == {("my-app", "secret", "my-app-admin-password")}
+    ready = D.resolved(D.prepared(table(spark, bad), "app"), secrets).first()
+    assert (ready.error_field, ready.error, ready.db_user) == ("db_host", "NOT_FOUND", None)
+
+
+def test_object_rules(spark):
+    good = obj(refs=ALL_REFS, config={"extra_addons_paths": ["/mnt/a"]})
+    cases = {
+        "good": (good, []),
+        "no password": (obj(refs={}), ["spec.database.password_ref:required"]),
+        "no key": (obj(refs={**ALL_REFS, "host": ("s", None)}), ["spec.database.host_ref.key:required"]),
+        "replicas": (obj(refs=ALL_REFS, replicas=0), ["spec.replicas:minimum"]),
+        "paths": (obj(refs=ALL_REFS, config={"extra_addons_paths": ["a", "a"]}),
+                  ["spec.config.extra_addons_paths:item_pattern", "spec.config.extra_addons_paths:unique"]),
+        "modules": (obj(refs=ALL_REFS, modules=[]), ["spec.modules:min_items"]),
+        "size": (obj(refs=ALL_REFS, filestore={"size": "10 GB"}), ["spec.filestore.size:pattern"]),
+        "job": (obj(refs=ALL_REFS, status={"current_job": {"name": "j"}}), ["status.current_job.namespace:required"]),
+    }
+    df = D.prepared(table(spark, *[c for c, _ in cases.values()]), "app")
+    got = [r.violations for r in O.validate(df, D.object_rules()).collect()]
+    assert got == [v for _, v in cases.values()]
+
+
+def test_condition_rules(spark):
+    ok = ("n", "o", "OperatorDegraded", "False", "FailedToGetInitJob", "", 0)
+    df = spark.createDataFrame(
+        [ok, ("n", "o", "a b", "Maybe", "1x", None, -1), ("n", "o", "x.io/Ready", "True", "", "m", None)],
+        "namespace string, object string, type string, status string, reason string, message string, observed_generation bigint",
+    ).withColumn("ts", F.current_timestamp())
+    got = [r.violations for r in O.validate(df, D.condition_rules()).collect()]
+    assert got == [
+        [],
+        ["type:pattern", "status:enum", "reason:pattern", "message:required", "observed_generation:minimum"],
+        ["reason:length", "reason:pattern"],
+    ]
+
+
+def test_plan_for_children_settles(spark, secrets):
+    desired = D.desired_children(table(spark, obj(refs=ALL_REFS)), secrets, "app")
+    keys = ["namespace", "kind", "child"]
+    actual = desired.filter("kind <> 'service'").withColumn("payload", F.when(F.col("kind") != "workload", F.col("payload")).otherwise(F.lit("{}")))
+    plan = O.reconcile_plan(desired, actual, keys)
+    assert {(r.kind, r.action) for r in plan.collect()} == {
+        ("secret", "NOOP"), ("volume", "NOOP"), ("job", "NOOP"), ("workload", "UPDATE"), ("service", "CREATE")
+    }
+    after = O.apply_plan(actual, plan, keys)
+    assert {r.action for r in O.reconcile_plan(desired, after, keys).collect()} == {"NOOP"}
+
+
+def test_changed_secret_finds_its_objects(spark):
+    objects = table(spark, obj(refs=ALL_REFS), obj("other", refs={}), obj("third", namespace="else", refs=ALL_REFS))
+    changed = spark.createDataFrame([("default", "secret", "test-db-secret")], "namespace string, kind string, name string")
+    found = O.affected_by(objects, changed, ["namespace", "name"], D.references(), "namespace")
+    assert [tuple(r) for r in found.collect()] == [("default", "my-app")]

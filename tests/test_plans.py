@@ -1,0 +1,175 @@
+"""The physical plans that the operators are meant to have."""
+
+import contextlib
+import io
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from evenkeel import functions as K
+from evenkeel import operators as O
+from evenkeel import shared_dir
+from evenkeel.operators import rules as V
+from evenkeel.operators.skew import hot_keys, null_spread
+from evenkeel.plans import QUERIES
+from evenkeel.plans.registry import table
+from evenkeel.sources import in_namespace, lookup, lookup_many
+
+SF = "/root/testdata/sf0.001"
+STREAMS = {"read_changes", "affected_stream", "reconcile_stream", "track_conditions", "suppress_unchanged", "track_jobs", "append_status"}
+
+
+def plan(df, mode="formatted"):
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain(mode)
+    return out.getvalue()
+
+
+def exchanges(df):
+    tree = plan(df).split("\n\n\n")[0]
+    return len(re.findall(r"(?<!Broadcast)Exchange \(", tree))
+
+
+@contextlib.contextmanager
+def settings(spark, **conf):
+    conf = {k.replace("__", "."): v for k, v in conf.items()}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+NO_BROADCAST = {"spark__sql__autoBroadcastJoinThreshold": "-1", "spark__sql__adaptive__autoBroadcastJoinThreshold": "-1"}
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - STREAMS))
+def test_no_query_pairs_everything_or_runs_python(spark, name):
+    text = plan(QUERIES[name](spark, SF))
+    for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "Pandas"):
+        assert node not in text
+
+
+def test_narrow_operators_do_not_shuffle(spark):
+    part = table(spark, SF, "part")
+    narrow = [
+        O.apply_defaults(part, {"p_size": 1}),
+        O.validate(part, [V.minimum("p_size", 1)]),
+        O.expand_children(part, [O.Child("a", "p_name"), O.Child("b", "p_name")], "p_partkey"),
+        part.select(K.render_config(K.line("x = ", "p_name"))),
+        O.installed_items(part, "p_partkey", F.array("p_name"), "p_size"),
+        part.filter(O.uses(7, "p_partkey")),
+    ]
+    for df in narrow:
+        assert exchanges(df) == 0
+    # One pass over the table, however many children a row has.
+    assert plan(narrow[2]).count("Scan parquet") == plan(part).count("Scan parquet")
+
+
+def test_filters_and_columns_reach_the_scan(spark):
+    text = plan(lookup(table(spark, SF, "nation"), {"n_nationkey": 7}).select("n_name"))
+    assert "EqualTo(n_nationkey,7)" in text
+    assert "ReadSchema: struct<n_nationkey:int,n_name:string>" in text
+
+
+def test_namespace_is_pruned(spark):
+    place = shared_dir(spark, "pruned")
+    spark.createDataFrame([("a", 1), ("b", 2)], "namespace string, v int").write.partitionBy("namespace").parquet(place)
+    text = plan(in_namespace(spark.read.parquet(place), "a"))
+    assert re.search(r"PartitionFilters: \[.*namespace.* = a", text)
+
+
+def test_aggregates_run_before_the_shuffle(spark):
+    events = table(spark, SF, "events").withColumn("ok", F.col("value") > 5)
+    for df in (
+        O.current_conditions(events, ["user_id"], ["ts", "event_id"], ["event_type"]),
+        O.stage_rollup(events, "user_id", ["ts", "event_id"], stage="event_type"),
+        O.distinct_requests(events, "user_id"),
+    ):
+        tree = plan(df).split("\n\n\n")[0]
+        assert tree.count("Aggregate (") == 2 and exchanges(df) == 1
+        assert tree.index("Aggregate") < tree.index("Exchange") < tree.rindex("Aggregate")
+
+
+def test_dedup_keeps_one_row_per_key_before_the_shuffle(spark):
+    text = plan(O.rows_dedup(table(spark, SF, "events"), "user_id", ["ts", "event_id"]))
+    tree = text.split("\n\n\n")[0]
+    assert tree.rindex("WindowGroupLimit") > tree.index("Exchange")
+    assert "row_number(), 1, Partial" in text
+
+
+def test_references_take_one_join_however_many_fields(spark):
+    objects = spark.range(10).select("id", *[F.col("id").cast("string").alias(f"r{i}") for i in range(7)])
+    data = spark.range(10).select(F.col("id").cast("string").alias("name"), F.create_map(F.lit("k"), F.lit("v")).alias("data"))
+    fields = [O.Field(f"f{i}", None, f"r{i}", F.lit("k")) for i in range(7)]
+    with settings(spark, **NO_BROADCAST):
+        df = O.resolve_refs(objects, data, fields, "id")
+        tree = plan(df).split("\n\n\n")[0]
+        assert tree.count("Join") == 1 and exchanges(df) == 3
+
+
+def test_bucketed_tables_are_reconciled_without_a_shuffle(spark):
+    rows = spark.range(200).select("id", (F.col("id") % 7).alias("v"))
+    rows.write.bucketBy(4, "id").sortBy("id").mode("overwrite").saveAsTable("keel_desired")
+    rows.filter("id > 20").write.bucketBy(4, "id").sortBy("id").mode("overwrite").saveAsTable("keel_actual")
+    with settings(spark, **NO_BROADCAST):
+        df = O.reconcile_plan(spark.table("keel_desired"), spark.table("keel_actual"), "id")
+        assert exchanges(df) == 0
+        assert df.filter("action = 'CREATE'").count() == 21
+
+
+SPLIT = {
+    **NO_BROADCAST,
+    "spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes": "20000",
+    "spark__sql__adaptive__skewJoin__skewedPartitionFactor": "1.5",
+    "spark__sql__adaptive__advisoryPartitionSizeInBytes": "20000",
+}
+
+
+@pytest.mark.parametrize("name", ["affected", "resolve", "children", "minus", "lookup_many"])
+def test_a_hot_name_is_split_by_adaptive_execution(spark, name):
+    """Two thirds of the objects refer to one row."""
+    n = 60_000
+    hot = F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.concat(F.lit("s"), F.col("id")))
+    objects = spark.range(0, n, 1, 8).select("id", hot.alias("ref"), F.create_map(F.lit("job-name"), hot).alias("labels"))
+    place = shared_dir(spark, "names")
+    spark.range(0, n, 1, 8).select(hot.alias("name")).distinct().write.parquet(place)
+    names = spark.read.parquet(place)
+    with settings(spark, **SPLIT):
+        if name == "affected":
+            df = O.affected_by(objects, names.withColumn("kind", F.lit("x")), "id", {"x": ["ref"]})
+            expected = n
+        elif name == "resolve":
+            data = names.withColumn("data", F.create_map(F.lit("k"), F.lit("v")))
+            df = O.resolve_refs(objects, data, [O.Field("f", None, "ref", F.lit("k"))], "id").filter("f = 'v'")
+            expected = n
+        elif name == "children":
+            df = O.children_of(objects, names, "job-name", namespace=None)
+            expected = n
+        elif name == "minus":
+            df = O.rows_minus(objects.drop("labels"), names.filter("name <> 'hot'").withColumnRenamed("name", "ref"), "ref")
+            expected = 2 * n // 3
+        else:
+            df = lookup_many(objects.drop("labels"), names.withColumnRenamed("name", "ref"), "ref").filter("found")
+            expected = n
+        assert len(df.collect()) == expected
+        assert "skew=true" in plan(df, "simple")
+
+
+def test_rows_without_a_reference_are_spread(spark):
+    df = spark.range(0, 4000).select("id", F.lit(None).cast("string").alias("ref"))
+    counts = df.groupBy(null_spread([F.col("ref")], [F.col("id")]).alias("b")).count()
+    assert counts.count() > 900 and counts.agg(F.max("count")).first()[0] < 40
+    assert df.filter(null_spread([F.col("id")], [F.col("id")]) != 0).count() == 0
+
+
+def test_hot_keys_are_few_and_include_null(spark):
+    df = spark.range(0, 1000).select(F.when(F.col("id") >= 400, F.col("id")).alias("k"))
+    found = hot_keys(df, ["k"], share=1 / 10, min_rows=1)
+    assert [r.k for r in found.collect()] == [None]
+    assert hot_keys(df, ["k"], share=1 / 10, min_rows=500).count() == 0
