@@ -4,6 +4,7 @@ customer for a secret."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evenkeel import declared
 from evenkeel import functions as K
@@ -13,41 +14,45 @@ from evenkeel.plans.registry import query, table
 APP = "shop"
 
 
+def _typed(value, dtype):
+    """A column of the declared type; fields that are not given are null."""
+    if isinstance(value, dict):
+        return F.struct(*[_typed(value.get(f.name), f.dataType).alias(f.name) for f in dtype])
+    return (F.lit(None) if value is None else value).cast(dtype)
+
+
 def declared_objects(spark, sf):
     """Objects whose references, inline values and paths depend on the order."""
     status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
     secret = F.concat(F.lit("c-"), F.col("o_custkey"))
-
-    def ref(key, when=None):
-        given = F.struct(secret.alias("name"), F.lit(key).alias("key"))
-        return given if when is None else F.when(when, given)
-
-    database = F.struct(
-        F.when(status == "P", F.lit("inline")).alias("host"),
-        ref("host", priority.isin("1-URGENT", "2-HIGH")).alias("host_ref"),
-        ref("port", status == "F").alias("port_ref"),
-        ref("password", priority != "5-LOW").alias("password_ref"),
-    )
-    config = F.struct(
-        secret.alias("admin_password_secret"),
-        F.when(status == "F", F.lit(True)).alias("debug_mode"),
-        F.when(status == "P", F.array(F.lit("/mnt/a"), F.lit("/mnt/b"))).alias("extra_addons_paths"),
-    )
     name = F.concat(F.lit("app-"), F.col("o_orderkey"))
-    spec = F.struct(
-        name.alias("name"),
-        database.alias("database"),
-        config.alias("config"),
-        F.split(F.concat_ws(" ", F.lit("base"), F.lower(status), F.lit("base")), " ").alias("modules"),
-    )
-    done = F.struct(F.when(status != "O", F.array(F.lit("base"), F.lit("f"))).alias("modules_installed"))
-    # As JSON, so that the declared schema adds the fields that are not given.
-    return (
-        table(spark, sf, "orders")
-        .select(F.to_json(F.struct(F.lit("default").alias("namespace"), name.alias("name"), spec.alias("spec"), done.alias("status"))).alias("object"))
-        .select(F.from_json("object", declared.OBJECTS).alias("o"))
-        .select("o.*")
-    )
+
+    def ref(key, when):
+        return F.when(when, F.struct(secret.alias("name"), F.lit(key).alias("key")))
+
+    given = {
+        "namespace": F.lit("default"),
+        "name": name,
+        "spec": {
+            "name": name,
+            "database": {
+                "host": F.when(status == "P", F.lit("inline")),
+                "host_ref": ref("host", priority.isin("1-URGENT", "2-HIGH")),
+                "port_ref": ref("port", status == "F"),
+                "password_ref": ref("password", priority != "5-LOW"),
+            },
+            "config": {
+                "admin_password_secret": secret,
+                "debug_mode": F.when(status == "F", F.lit(True)),
+                "extra_addons_paths": F.when(status == "P", F.array(F.lit("/mnt/a"), F.lit("/mnt/b"))),
+            },
+            "modules": F.split(F.concat_ws(" ", F.lit("base"), F.lower(status), F.lit("base")), " "),
+            "filestore": {},
+        },
+        "status": {"modules_installed": F.when(status != "O", F.array(F.lit("base"), F.lit("f")))},
+    }
+    schema = T.StructType.fromDDL(declared.OBJECTS)
+    return table(spark, sf, "orders").select(*[_typed(given[f.name], f.dataType).alias(f.name) for f in schema])
 
 
 def secrets(spark, sf):
