@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 # A key is hot when it holds at least this share of all rows, so there can never be more
 # hot keys than its inverse: that is the bound on what may be broadcast about them.
-HOT_SHARE = 1 / 4096
+HOT_SHARE = 1 / 65536
 # Below this many rows one task copes with a key whatever its share.
 HOT_ROWS = 1_000_000
 

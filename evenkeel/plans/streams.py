@@ -132,7 +132,8 @@ def _(spark, sf):
                 FROM (SELECT w.user_id, s.n, w.job, w.installed, s.event_type, s.ts, s.event_id,
                              list_filter(s.wanted, lambda x: NOT list_contains(w.installed, x)) AS todo
                       FROM walk w JOIN seen s ON s.user_id = w.user_id AND s.n = w.n + 1)))
-        SELECT user_id, ts, event_id, action, array_to_string(items, ',') AS items, array_to_string(installed, ',') AS installed,
+        SELECT user_id, ts, event_id, action, array_to_string(items, ',') AS items,
+               CASE WHEN action = 'CLEAR' THEN array_to_string(installed, ',') END AS installed,
                CASE action WHEN 'START' THEN 30 WHEN 'CLEAR' THEN 30 WHEN 'WAIT' THEN 15 END AS retry_after_s
         FROM walk WHERE n > 0""",
 )

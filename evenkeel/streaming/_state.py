@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -15,10 +15,6 @@ def micros(ts: pd.Series) -> np.ndarray:
     return ts.to_numpy(dtype="datetime64[us]").astype("int64")
 
 
-def timestamp(us: int) -> pd.Timestamp:
-    return pd.Timestamp(int(us), unit="us")
-
-
 def newer(us: np.ndarray, seq: np.ndarray, last: tuple[int, int] | None) -> np.ndarray:
     """Rows after the stored (ts, seq); older ones are late or replayed."""
     if last is None:
@@ -26,5 +22,16 @@ def newer(us: np.ndarray, seq: np.ndarray, last: tuple[int, int] | None) -> np.n
     return (us > last[0]) | ((us == last[0]) & (seq > last[1]))
 
 
+def fresh_rows(chunks: Iterator[pd.DataFrame], ts: str, seq: str, last: tuple[int, int] | None):
+    """All chunks as one frame, without rows that are not after the stored one."""
+    parts = []
+    for pdf in chunks:
+        if last is not None:
+            fresh = newer(micros(pdf[ts]), pdf[seq].to_numpy(dtype="int64"), last)
+            pdf = pdf if fresh.all() else pdf[fresh]
+        parts.append(pdf)
+    return parts[0] if len(parts) == 1 else pd.concat(parts)
+
+
 def fields(df: DataFrame, names: Sequence[str]) -> list[T.StructField]:
     return [T.StructField(n, df.schema[n].dataType) for n in names]

@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from evenkeel.functions._cols import as_list
-from evenkeel.streaming._state import fields, micros, newer, timestamp
+from evenkeel.streaming._state import fields, micros, newer
 
 STATE = "ts long, seq long, status string, since long"
 
@@ -47,14 +46,15 @@ def track_conditions(
             fresh = newer(us, no, last and (last[0], last[1]))
             if not fresh.any():
                 continue
-            us, no, pdf = us[fresh], no[fresh], pdf[fresh]
+            if not fresh.all():
+                us, no, pdf = us[fresh], no[fresh], pdf[fresh]
             parts.append((us, no, pdf[status].to_numpy(dtype=object)))
             top = np.lexsort((no, us))[-1]
             if best_at is None or (us[top], no[top]) > best_at:
-                best, best_at = pdf.iloc[top], (us[top], no[top])
+                best, best_at = pdf.iloc[top : top + 1], (us[top], no[top])
         if best is None:
             return
-        us, no, st = (np.concatenate(p) for p in zip(*parts))
+        us, no, st = parts[0] if len(parts) == 1 else (np.concatenate(p) for p in zip(*parts))
         order = np.lexsort((no, us))
         us, st = us[order], st[order]
         changed = np.ones(len(st), dtype=bool)
@@ -62,9 +62,8 @@ def track_conditions(
         if last is not None:
             changed[0] = st[0] != last[2]
         since = int(us[np.flatnonzero(changed)[-1]]) if changed.any() else last[3]
-        state.update((int(best_at[0]), int(best_at[1]), best[status], since))
-        row = {**dict(zip(keys, key)), **{c: best[c] for c in [ts, seq, status, *values]}}
-        yield pd.DataFrame([{**row, "last_transition_time": timestamp(since)}])
+        state.update((int(best_at[0]), int(best_at[1]), st[-1], since))
+        yield best.assign(last_transition_time=np.array([since], dtype="datetime64[us]"))
 
     return stream.select(*keys, ts, seq, status, *values).groupBy(*keys).applyInPandasWithState(
         step, out, STATE, "update", GroupStateTimeout.NoTimeout

@@ -17,7 +17,7 @@ from evenkeel.operators.stages import (
     JOB_RUNNING_RETRY_S,
     JOB_SUCCEEDED_RETRY_S,
 )
-from evenkeel.streaming._state import fields, micros, newer, timestamp
+from evenkeel.streaming._state import fields, fresh_rows, micros
 
 DUE = "DUE"
 STATE = "ts long, seq long, job array<string>, installed array<string>"
@@ -36,7 +36,8 @@ def track_jobs(
 
     An observation carries the wanted list and the counters active, succeeded, failed of the
     recorded job (all null when the job is not found). The state is the recorded job's items
-    and the installed list; steps are those of ``job_state``. With ``emit_due`` a key that is
+    and the installed list, which is given only where it changes (CLEAR); steps are those of
+    ``job_state``. With ``emit_due`` a key that is
     not observed again within its delay gives a row DUE, by processing time; such a stream
     needs a recurring trigger, as one over what is available now would never end.
     """
@@ -53,37 +54,43 @@ def track_jobs(
     )
     timeout = GroupStateTimeout.ProcessingTimeTimeout if emit_due else GroupStateTimeout.NoTimeout
 
-    def row(key, us, no, action, items, installed, delay):
-        due = None if delay is None else timestamp(us + delay * 1_000_000)
-        return {
-            **dict(zip(keys, key)), ts: timestamp(us), seq: no, "action": action, "items": items,
-            "installed": list(installed), "retry_after_s": delay, "next_attempt_at": due,
-        }
-
-    def frame(rows):
-        pdf = pd.DataFrame(rows, columns=out.names)
-        return pdf.astype({"retry_after_s": "Int32"})
+    def frame(key, us, no, steps):
+        """``steps`` has (action, items, installed, delay) per row."""
+        action, items, installed, delay = zip(*steps)
+        wait = np.array([-1 if d is None else d for d in delay])
+        due = (us + wait * 1_000_000).astype("datetime64[us]")
+        due[wait < 0] = np.datetime64("NaT")
+        return pd.DataFrame(
+            {
+                **{k: [v] * len(steps) for k, v in zip(keys, key)},
+                ts: us.astype("datetime64[us]"),
+                seq: no,
+                "action": action,
+                "items": items,
+                "installed": installed,
+                "retry_after_s": pd.array(delay, dtype="Int32"),
+                "next_attempt_at": due,
+            }
+        )
 
     def step(key, chunks, state):
         if state.hasTimedOut:
-            us, no, job, installed = state.get
-            yield frame([row(key, us, no, DUE, [], installed or [], None)])
+            us, no, _, _ = state.get
+            yield frame(key, np.array([us]), np.array([no]), [(DUE, [], None, None)])
             return
         last = state.get if state.exists else (None, None, None, [])
         seen = None if last[0] is None else (last[0], last[1])
-        parts = []
-        for pdf in chunks:
-            fresh = newer(micros(pdf[ts]), pdf[seq].to_numpy(dtype="int64"), seen)
-            parts.append(pdf[fresh])
-        pdf = pd.concat(parts)
+        pdf = fresh_rows(chunks, ts, seq, seen)
         if pdf.empty:
             return
         us, no = micros(pdf[ts]), pdf[seq].to_numpy(dtype="int64")
         order = np.lexsort((no, us))
         job = None if last[2] is None else list(last[2])
         installed = list(last[3] or [])
-        rows, delay = [], None
-        counts = pdf[["succeeded", "active", "failed"]].fillna(0).to_numpy(dtype="int64")
+        steps, delay = [], None
+        counts = np.nan_to_num(
+            np.column_stack([pdf[c].to_numpy(dtype="float64", na_value=np.nan) for c in ("succeeded", "active", "failed")])
+        )
         wanted = pdf[desired].to_numpy(dtype=object)
         for i in order:
             succeeded, active, failed = counts[i]
@@ -101,12 +108,12 @@ def track_jobs(
                     action, job, delay = START, items, JOB_CREATED_RETRY_S
                 else:
                     action, delay = DONE, None
-            rows.append(row(key, us[i], no[i], action, items, installed, delay))
+            steps.append((action, items, installed if action == CLEAR else None, delay))
         top = order[-1]
         state.update((int(us[top]), int(no[top]), job, installed))
         if emit_due and delay is not None:
             state.setTimeoutDuration(delay * 1000)
-        yield frame(rows)
+        yield frame(key, us[order], no[order], steps)
 
     columns = [*keys, ts, seq, desired, "active", "succeeded", "failed"]
     return stream.select(*columns).groupBy(*keys).applyInPandasWithState(

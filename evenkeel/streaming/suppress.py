@@ -5,14 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from evenkeel.functions._cols import as_list
-from evenkeel.streaming._state import fields, micros, newer
+from evenkeel.streaming._state import fields, fresh_rows, micros
 
 STATE = "ts long, seq long, digest string"
 
@@ -42,11 +41,7 @@ def suppress_unchanged(
 
     def step(key, chunks, state):
         last = state.get if state.exists else None
-        parts = []
-        for pdf in chunks:
-            fresh = newer(micros(pdf[ts]), pdf[seq].to_numpy(dtype="int64"), last and (last[0], last[1]))
-            parts.append(pdf[fresh])
-        pdf = pd.concat(parts)
+        pdf = fresh_rows(chunks, ts, seq, last and (last[0], last[1]))
         if pdf.empty:
             return
         us, no = micros(pdf[ts]), pdf[seq].to_numpy(dtype="int64")
@@ -54,7 +49,7 @@ def suppress_unchanged(
         digests = pdf["_digest"].to_numpy(dtype=object)[order]
         before = np.concatenate([[last[2] if last else None], digests[:-1]])
         state.update((int(us[order[-1]]), int(no[order[-1]]), digests[-1]))
-        yield pdf.iloc[order][digests != before][names]
+        yield pdf.iloc[order[digests != before]][names]
 
     return (
         stream.select(*names, digest.alias("_digest"))

@@ -116,15 +116,15 @@ def test_track_jobs_scenarios(spark):
     rows = [(r.seq, r.action, r["items"], r.installed, r.retry_after_s) for r in out.orderBy("seq").collect()]
     both = ["base", "web"]
     assert rows == [
-        (1, "START", both, [], 30),
-        (2, "WAIT", [], [], 15),
-        (3, "DONE", [], [], None),
+        (1, "START", both, None, 30),
+        (2, "WAIT", [], None, 15),
+        (3, "DONE", [], None, None),
         (4, "CLEAR", both, both, 30),
-        (5, "START", ["crm"], both, 30),
-        (6, "DONE", [], both, None),
-        (7, "START", ["x"], [], 30),
-        (8, "FAILED", [], both, None),
-        (9, "START", ["crm"], both, 30),
+        (5, "START", ["crm"], None, 30),
+        (6, "DONE", [], None, None),
+        (7, "START", ["x"], None, 30),
+        (8, "FAILED", [], None, None),
+        (9, "START", ["crm"], None, 30),
         (10, "CLEAR", ["x"], ["x"], 30),
     ]
     due = {r.seq: r.next_attempt_at for r in out.collect()}
@@ -150,13 +150,13 @@ def test_one_step_of_track_jobs_is_job_state(spark):
         if row[4] is not None:
             jobs.append((name, *row[4:]))
         job = {"START": step["items"], "CLEAR": None}.get(step.action, job)
-        state[row[0]] = (job, step.installed)
+        state[row[0]] = (job, step.installed if step.action == "CLEAR" else installed)
     twin = O.job_state(
         spark.createDataFrame(objects, "seq bigint, desired array<string>, installed array<string>, job_name string, job_items array<string>"),
         spark.createDataFrame(jobs, "name string, active int, succeeded int, failed int"),
         "seq", namespace=None,
     ).orderBy("seq").collect()
-    assert [tuple(r)[:5] for r in twin] == [
+    assert [(r.seq, r.action, r["items"], r.installed if r.action == "CLEAR" else None, r.retry_after_s) for r in twin] == [
         (s.seq, s.action, s["items"], s.installed, s.retry_after_s) for s in steps
     ]
 
