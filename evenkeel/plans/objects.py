@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from evenkeel import declared
 from evenkeel import functions as K
-from evenkeel.operators import reconcile_plan
+from evenkeel.operators import Child, expand_children, reconcile_plan
 from evenkeel.plans.registry import query, table
 
 APP = "shop"
@@ -87,19 +87,40 @@ def _(spark, sf):
     return ready.filter("error IS NULL").select("name", declared.config_text().alias("text"))
 
 
+_VOLUME = '{"size":"10Gi","storage_class":"standard","access_modes":["ReadWriteOnce"]}'
+
+
+def existing_children(spark, sf):
+    """What is there for the orders before 2001: no jobs, and workloads of an older form."""
+    name = F.concat(F.lit("app-"), F.col("o_orderkey"))
+
+    def service(port):
+        return F.to_json(F.struct(F.lit(port).alias("port"), F.col("name").alias("app")))
+
+    orders = table(spark, sf, "orders").filter(F.col("o_orderdate") < F.lit("2001-01-01").cast("timestamp_ntz"))
+    orders = orders.select(F.lit("default").alias("namespace"), name.alias("name"), "o_custkey")
+    templates = [
+        Child("secret", F.concat(F.lit("c-"), F.col("o_custkey"))),
+        Child("volume", "name", F.lit(_VOLUME)),
+        Child("workload", "name", F.lit("{}")),
+        Child("service", K.derived_name("name", "-http"), service(8069)),
+        Child("service", K.derived_name("name", "-poll"), service(8072)),
+    ]
+    return expand_children(orders, templates, ["namespace", "name"])
+
+
 @query(
     "declared_plan",
     f"""SELECT 'app-' || o_orderkey AS name, kind,
           CASE WHEN suffix IS NULL THEN 'c-' || o_custkey ELSE 'app-' || o_orderkey || suffix END AS child,
-          CASE WHEN kind = 'job' THEN 'CREATE' WHEN kind = 'workload' THEN 'UPDATE' ELSE 'NOOP' END AS action,
-          CASE WHEN kind = 'workload' THEN 'payload' ELSE '' END AS changed_cols
+          CASE WHEN o_orderdate >= TIMESTAMP '2001-01-01' OR kind = 'job' OR suffix = '-config' THEN 'CREATE'
+               WHEN kind = 'workload' THEN 'UPDATE' ELSE 'NOOP' END AS action,
+          CASE WHEN o_orderdate < TIMESTAMP '2001-01-01' AND kind = 'workload' THEN 'payload' ELSE '' END AS changed_cols
         FROM {_JOINED}, (VALUES ('secret', NULL), ('secret', '-config'), ('volume', ''), ('job', '-init'), ('workload', ''),
                                 ('service', '-http'), ('service', '-poll')) t(kind, suffix)
         WHERE suffix IS NULL OR NOT {_FAILED} AND (kind <> 'job' OR o_orderstatus <> 'F')""",
 )
 def _(spark, sf):
     desired = declared.desired_children(declared_objects(spark, sf), secrets(spark, sf), APP)
-    payload = F.when(F.col("kind") == "workload", F.lit("{}")).otherwise(F.col("payload"))
-    actual = desired.filter("kind <> 'job'").withColumn("payload", payload)
-    plan = reconcile_plan(desired, actual, ["namespace", "name", "kind", "child"])
+    plan = reconcile_plan(desired, existing_children(spark, sf), ["namespace", "name", "kind", "child"])
     return plan.select("name", "kind", "child", "action", K.join_items("changed_cols").alias("changed_cols"))
