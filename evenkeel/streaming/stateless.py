@@ -60,12 +60,19 @@ def reconcile_stream(
     on = as_list(keys)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        touched = distinct_requests(batch, on)
+        # Both are read more than once; the batch must not be fetched again for it.
+        touched = distinct_requests(batch, on).persist()
         want = desired().join(touched, on, "left_semi")
         have = actual()
         plan = reconcile_plan(want, have.join(touched, on, "left_semi"), on, policy, values)
-        sink(plan, batch_id)
         if applied is not None:
-            applied(apply_plan(have, plan, on), batch_id)
+            plan.persist()
+        try:
+            sink(plan, batch_id)
+            if applied is not None:
+                applied(apply_plan(have, plan, on), batch_id)
+        finally:
+            plan.unpersist()
+            touched.unpersist()
 
     return start(requests, each, checkpoint, **trigger)
