@@ -104,17 +104,24 @@ def reconcile_plan(
     return acted.select(*keys, *held, "action", "changed_cols")
 
 
-def apply_plan(actual: DataFrame, plan: DataFrame, keys: str | Sequence[str]) -> DataFrame:
+def apply_plan(
+    actual: DataFrame, plan: DataFrame, keys: str | Sequence[str], staged: str | None = None
+) -> DataFrame:
     """The actual table after the plan: created and updated rows from the plan, other rows as
     they are. DELETE rows, which only a caller can add, disappear.
 
-    The plan has to carry every column of ``actual``. Only changed keys reach the anti join,
-    so a small plan is broadcast and ``actual`` is not shuffled.
+    The plan has to carry every column of ``actual``. Only changed rows matter, once as keys
+    in an anti join and once as rows; where they are few they are broadcast and ``actual`` is
+    not shuffled. With ``staged``, a folder that does not exist yet, they are written there
+    first, so that the plan is computed once and their size is known.
     """
     keys = as_list(keys)
     lacking = [c for c in actual.columns if c not in plan.columns]
     if lacking:
         raise ValueError(f"the plan lacks columns of the table: {lacking}")
-    touched = plan.filter(F.col("action") != NOOP)
+    touched = plan.filter(F.col("action") != NOOP).select(*dict.fromkeys([*keys, *actual.columns, "action"]))
+    if staged is not None:
+        touched.write.parquet(staged)
+        touched = touched.sparkSession.read.schema(touched.schema).parquet(staged)
     written = touched.filter(F.col("action") != DELETE).select(*actual.columns)
     return actual.join(touched.select(*keys), keys, "left_anti").select(*actual.columns).unionByName(written)

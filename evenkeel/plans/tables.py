@@ -26,6 +26,7 @@ from evenkeel.operators import (
     stage_rollup,
 )
 from evenkeel.plans.registry import query, table
+from evenkeel.session import shared_dir
 
 # -- references -----------------------------------------------------------------------------
 
@@ -232,7 +233,8 @@ def _(spark, sf):
 def _(spark, sf):
     desired = _orders(spark, sf).filter("o_orderstatus <> 'P'")
     actual = _orders_copy(spark, sf)
-    return apply_plan(actual, reconcile_plan(desired, actual, "o_orderkey"), "o_orderkey")
+    plan = reconcile_plan(desired, actual, "o_orderkey")
+    return apply_plan(actual, plan, "o_orderkey", staged=shared_dir(spark, "plan"))
 
 
 # -- aggregates -----------------------------------------------------------------------------

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evenkeel import operators as O
+from evenkeel import shared_dir
 from evenkeel.operators import rules as V
 from evenkeel.operators.changes import content_rules, owned_generic_rules
 from evenkeel.operators.conditions import latest_rows
@@ -326,7 +327,9 @@ def test_reconcile_compares_maps_and_structs(spark):
 def test_apply_then_plan_is_noop_and_extras_stay(spark, rows):
     ddl = "k int, replicas int, command string"
     d, a = spark.createDataFrame(DESIRED, ddl), spark.createDataFrame(ACTUAL, ddl)
-    after = O.apply_plan(a, O.reconcile_plan(d, a, "k"), "k")
+    plan = O.reconcile_plan(d, a, "k")
+    after = O.apply_plan(a, plan, "k")
+    assert rows(O.apply_plan(a, plan, "k", staged=shared_dir(spark, "plan"))) == rows(after)
     assert rows(after) == sorted(DESIRED + [(9, 1, "extra")], key=repr)
     again = O.reconcile_plan(d, after, "k")
     assert {r.action for r in again.collect()} == {"NOOP"}
