@@ -131,7 +131,7 @@ SPLIT = {
 }
 
 
-@pytest.mark.parametrize("name", ["affected", "resolve", "children", "minus", "lookup_many"])
+@pytest.mark.parametrize("name", ["affected", "resolve", "children", "minus", "job_state", "lookup_many"])
 def test_a_hot_name_is_split_by_adaptive_execution(spark, name):
     """Two thirds of the objects refer to one row."""
     n = 60_000
@@ -154,6 +154,11 @@ def test_a_hot_name_is_split_by_adaptive_execution(spark, name):
         elif name == "minus":
             df = O.rows_minus(objects.drop("labels"), names.filter("name <> 'hot'").withColumnRenamed("name", "ref"), "ref")
             expected = 2 * n // 3
+        elif name == "job_state":
+            work = objects.select("id", F.col("ref").alias("job_name"), *[F.array(F.lit("a")).alias(c) for c in ("desired", "installed", "job_items")])
+            jobs = names.select("name", F.lit(1).alias("active"), F.lit(0).alias("succeeded"), F.lit(0).alias("failed"))
+            df = O.job_state(work, jobs, "id", namespace=None).filter("action = 'WAIT'")
+            expected = n
         else:
             df = lookup_many(objects.drop("labels"), names.withColumnRenamed("name", "ref"), "ref").filter("found")
             expected = n
