@@ -4,6 +4,6 @@ Every operator is a function from DataFrames to DataFrames; the caller names the
 value, reference and order columns. See README.md for the list.
 """
 
-from evenkeel.session import build_session, shared_dir
+from evenkeel.session import build_session, shared_dir, ship_package, stored
 
-__all__ = ["build_session", "shared_dir"]
+__all__ = ["build_session", "shared_dir", "ship_package", "stored"]

@@ -1,11 +1,13 @@
-"""Session settings and the shared scratch folder."""
+"""Session settings, the shared scratch folder, and this package's code on the executors."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that suit the operators on a cluster as well as on one machine. The number of
 # shuffle partitions is left to adaptive execution, which merges small ones.
@@ -30,16 +32,48 @@ def build_session(app: str = "evenkeel", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def is_local(spark: SparkSession) -> bool:
+    """True if driver and executors are one process, as in tests."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the shared folder that the cluster names in spark.checkpoint.dir.
 
-    Only a local master may run without that setting; it then gets a temporary folder.
+    Only a local master may run without that setting; it then gets a temporary folder, one for
+    the whole session.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        master = spark.conf.get("spark.master", "")
-        if not master.startswith("local"):
+        if not is_local(spark):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
-        base = tempfile.mkdtemp(prefix="evenkeel-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _LOCAL.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="evenkeel-")
+        _LOCAL[spark.sparkContext.applicationId] = base
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def stored(spark: SparkSession, df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: computed once, its lineage cut, and
+    still there when executors are lost."""
+    path = shared_dir(spark, purpose)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once per application; Spark itself distributes the file."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    top = Path(__file__).resolve().parent
+    path = f"{tempfile.mkdtemp(prefix='evenkeel-code-')}/{top.name}.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(top.rglob("*.py")):
+            out.write(source, source.relative_to(top.parent))
+    spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(app)
+
+
+_LOCAL: dict[str, str] = {}
+_SHIPPED: set[str] = set()

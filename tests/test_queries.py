@@ -1,12 +1,12 @@
-"""Every registered query against its SQL on the smallest tables."""
+"""Every registered query of the reference's operators against its SQL on the smallest tables."""
 
 import pytest
 from oracle import database, differences
 
 import __spark_entry__ as entry
+from evenkeel.plans import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -23,6 +23,11 @@ def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
 
 
+def test_the_driver_sees_them_all():
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(SQL) <= set(entry.oracle_sql())
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "action", "changed_cols"]
