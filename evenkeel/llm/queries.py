@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evenkeel.llm import secrets
+from evenkeel.llm import bpe, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -26,3 +27,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every document."""
     return secrets.digest_columns(secrets.scan_secrets(read(spark, sf_dir, "documents")))
+
+
+@query
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document, encoded and then decoded."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoded = bpe.encode(read(spark, sf_dir, "documents"), path)
+    both = bpe.decode(encoded, path, keep=["ids"])
+    return both.select(
+        "doc_id",
+        F.floor(F.length("ids") / 4).alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
