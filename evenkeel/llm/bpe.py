@@ -15,7 +15,6 @@ import sys
 import unicodedata
 from array import array
 from collections import deque
-from collections.abc import Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -23,7 +22,6 @@ import pyarrow as pa
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from evenkeel.session import ship_package
 
@@ -103,10 +101,13 @@ class Vocabulary:
             own[state] = token
         # A token's state holds its whole text as the longest one, as nothing comes before it there.
         self.own = [own.get(s, -1) for s in range(len(self.next))]
+        # The tokens (with their lengths) that end where a state is reached: of its whole text, or of less than that.
+        self.whole: list[tuple[tuple[int, int], ...]] = [()] * len(self.next)
         self.below: list[tuple[tuple[int, int], ...]] = [()] * len(self.next)
         for s in sorted(range(1, len(self.next)), key=self.length.__getitem__):
             up = self.link[s]
-            self.below[s] = ((self.own[up], self.length[up]), *self.below[up]) if self.own[up] >= 0 else self.below[up]
+            self.below[s] = self.whole[up]
+            self.whole[s] = ((self.own[s], self.length[s]), *self.below[s]) if self.own[s] >= 0 else self.below[s]
 
     def extend(self, last: int, symbol: int) -> int:
         """The state of the text of ``last`` followed by ``symbol``."""
@@ -143,11 +144,17 @@ class Vocabulary:
 
 
 class Pieces:
-    """Ids of single words, by a Vocabulary."""
+    """Ids of single words, by a Vocabulary. What is found for the first characters of a word is
+    kept for other words that begin alike, up to a bounded number of beginnings."""
 
-    def __init__(self, vocabulary: Vocabulary, most_pairs: int = 1 << 20):
-        self.v, self.most_pairs = vocabulary, most_pairs
+    def __init__(self, vocabulary: Vocabulary, most_pairs: int = 1 << 18, most_heads: int = 1 << 17, deepest: int = 12):
+        self.v, self.most_pairs, self.most_heads, self.deepest = vocabulary, most_pairs, most_heads, deepest
         self.pairs: dict[int, bool] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.heads: list[tuple[int, int, int, int]] = [(0, 0, 0, 0)]  # state, matched length, last token, its length
+        self.longer: dict[int, int] = {}  # (head, symbol) to the head that is longer by it
 
     def apart(self, a: int, b: int) -> bool:
         """Neighbours a and b are not merged across: no merge of tokens at their edges comes up
@@ -164,24 +171,28 @@ class Pieces:
     def encode(self, word: bytes) -> list[int]:
         """Ids of one word, given in bytes."""
         v = self.v
-        nxt, link, length, own, below = v.next, v.link, v.length, v.own, v.below
-        known, apart = self.pairs.get, self.apart
+        nxt, link, length, whole, below = v.next, v.link, v.length, v.whole, v.below
+        known, apart, heads, longer, deepest = self.pairs.get, self.apart, self.heads, self.longer, self.deepest
         symbols = list(word)
         if v.end and symbols:
             symbols[-1] += FINAL
         last, size = [0], [0]  # of each prefix: its last token, and that token's length
-        state = i = 0
-        matched = 0
+        state = matched = head = i = 0
         for symbol in symbols:
             i += 1
+            if head is not None:
+                known_head = longer.get(head << 9 | symbol)
+                if known_head is not None:
+                    head = known_head
+                    state, matched, t, n = heads[head]
+                    last.append(t)
+                    size.append(n)
+                    continue
             while (to := nxt[state].get(symbol)) is None:
                 state = link[state]
                 matched = length[state]
             state, matched = to, matched + 1
-            ends = below[state]
-            if own[state] >= 0 and matched == length[state]:
-                ends = ((own[state], matched), *ends)
-            for t, n in ends:
+            for t, n in whole[state] if matched == length[state] else below[state]:
                 if n == i:
                     break
                 a = last[i - n]
@@ -191,6 +202,14 @@ class Pieces:
                     break
             last.append(t)
             size.append(n)
+            if head is not None and i <= deepest and symbol < FINAL:
+                longer[head << 9 | symbol] = len(heads)
+                head = len(heads)
+                heads.append((state, matched, t, n))
+            else:
+                head = None
+        if len(heads) > self.most_heads:
+            self.forget()
         out = []
         while i:
             out.append(last[i])
@@ -224,6 +243,7 @@ class Remembered(dict):
 
 # Fixed values of the word vocabulary: how its normalised text falls into words.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+ENDS = set(",.;:!?|")  # of these WORDS makes words of their own after letters
 SPACES = regex.compile(r"\p{White_Space}+")
 SEPARATORS = re.compile("[\x1c-\x1f]")  # white space to Python, not to the vocabulary
 
@@ -235,11 +255,11 @@ class WordEncoder:
     assign yet may fall into words otherwise than in a library with newer tables.
     """
 
-    def __init__(self, vocabulary: Vocabulary, most_words: int = 200_000):
+    def __init__(self, vocabulary: Vocabulary, most_words: int = 150_000):
         self.pieces = Pieces(vocabulary)
-        self.words = Remembered(lambda word: self.pieces.encode(word.encode()), most_words)
+        self.words = Remembered(lambda word: array("I", self.pieces.encode(word.encode())).tobytes(), most_words // 2)
         self.chunks = Remembered(self.chunk, most_words)
-        self.added = regex.compile("|".join(f"({regex.escape(t)})" for t in vocabulary.added)) if vocabulary.added else None
+        self.added = regex.compile("(" + "|".join(map(regex.escape, vocabulary.added)) + ")")
         self.added_ids = {t: array("I", [i]).tobytes() for t, i in vocabulary.added.items()}
 
     def turn(self) -> None:
@@ -248,10 +268,11 @@ class WordEncoder:
 
     def chunk(self, text: str) -> bytes:
         """Ids of a run without white space, as native unsigned 32-bit integers."""
-        out = array("I")
-        for word in WORDS.findall(text):
-            out.extend(self.words[word])
-        return out.tobytes()
+        if text.isalpha():
+            return self.words[text]
+        if text[:-1].isalpha() and text[-1] in ENDS:
+            return self.words[text[:-1]] + self.words[text[-1]]
+        return b"".join(map(self.words.__getitem__, WORDS.findall(text)))
 
     def plain(self, text: str) -> bytes:
         if not text.isascii():
@@ -263,29 +284,37 @@ class WordEncoder:
 
     def encode(self, text: str) -> bytes:
         """Ids as native unsigned 32-bit integers. Added tokens are found in the raw text."""
-        if self.added is None or not self.added.search(text):
+        if not any(t in text for t in self.added_ids):
             return self.plain(text)
         return b"".join(
             self.added_ids.get(part) or self.plain(part) for part in self.added.split(text) if part
         )
 
 
-def load(spark: SparkSession, path: str) -> Broadcast:
-    """The vocabulary of a tokenizer file, sent to the executors once. Its size is that of the
-    file's vocabulary, whatever the data."""
+def load(spark: SparkSession, path: str, names_only: bool = False) -> Broadcast:
+    """The vocabulary of a tokenizer file (or just its tokens by id), sent to the executors once.
+    Its size is that of the file's vocabulary, whatever the data."""
     ship_package(spark)
     with open(path, encoding="utf-8") as f:
         text = f.read()
-    app = spark.sparkContext.applicationId
-    if (app, text) not in _LOADED:
-        _LOADED[app, text] = spark.sparkContext.broadcast(Vocabulary(text))
-    return _LOADED[app, text]
+    key = (spark.sparkContext.applicationId, text, names_only)
+    if key not in _LOADED:
+        vocabulary = Vocabulary(text)
+        _LOADED[key] = spark.sparkContext.broadcast(vocabulary.names if names_only else vocabulary)
+    return _LOADED[key]
 
 
-_LOADED: dict[tuple[str, str], Broadcast] = {}
+_LOADED: dict[tuple[str, str, bool], Broadcast] = {}
 _ENCODERS: deque[WordEncoder] = deque(maxlen=2)
 
 
+def slices(batches, rows: int = 256):
+    """The same rows in smaller batches, so that what is made of them stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def encoder_of(vocabulary: Broadcast) -> WordEncoder:
     """One encoder for each vocabulary in a worker, so that its words outlive a task."""
     value = vocabulary.value
@@ -300,8 +329,11 @@ def little_endian(ids: bytes) -> bytes:
     return ids if sys.byteorder == "little" else np.frombuffer(ids, "=u4").astype("<u4").tobytes()
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(
+    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False
+) -> DataFrame:
     """id and ``ids``: the token ids of the whole text as little-endian unsigned 32-bit integers.
+    With ``decoded`` also ``text``: those ids decoded again, in the same pass.
 
     One row per row of ``docs``, in one pass and without a shuffle. A null or empty text has no
     ids (an empty value); a null id stays null.
@@ -311,37 +343,41 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches):
         encoder = encoder_of(vocabulary)
-        for batch in batches:
-            ids = pa.array([little_endian(encoder.encode(t or "")) for t in batch.column(1).to_pylist()], pa.binary())
+        for batch in slices(batches):
+            ids = [little_endian(encoder.encode(t or "")) for t in batch.column(1).to_pylist()]
             encoder.turn()
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["id", "ids"])
+            out = [batch.column(0), pa.array(ids, pa.binary())]
+            if decoded:
+                out.append(texts_of(ids, encoder.pieces.v.names))
+            yield pa.RecordBatch.from_arrays(out, ["id", "ids", "text"][: len(out)])
 
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(run, f"id {kind}, ids binary").withColumnRenamed("id", id_col)
+    text = ", text string" if decoded else ""
+    return narrow.mapInArrow(run, f"id {kind}, ids binary{text}").withColumnRenamed("id", id_col)
 
 
-def decode(
-    encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids", keep: Sequence[str] = ()
-) -> DataFrame:
-    """id, the columns of ``keep``, and ``text``: the tokens of ``ids`` joined with spaces, as the
-    vocabulary has no decoder of its own. Null ids count as none; ids outside the vocabulary are
-    left out."""
-    vocabulary = load(encoded.sparkSession, path)
-    carried = encoded.select(id_col, *keep)
+def texts_of(ids_column: list[bytes | None], names: dict[int, str]) -> pa.Array:
+    """The tokens of each value joined with spaces; ids outside the vocabulary are left out."""
+    texts = []
+    for ids in ids_column:
+        known = np.frombuffer(ids or b"", "<u4").tolist()
+        try:
+            texts.append(" ".join(map(names.__getitem__, known)))
+        except KeyError:
+            texts.append(" ".join(names[i] for i in known if i in names))
+    return pa.array(texts, pa.string())
+
+
+def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """id and ``text``: the tokens of ``ids`` joined with spaces, as the vocabulary has no decoder
+    of its own. Null ids count as none; ids outside the vocabulary are left out."""
+    sent = load(encoded.sparkSession, path, names_only=True)
+    kind = encoded.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        names = vocabulary.value.names
-        for batch in batches:
-            texts = []
-            for ids in batch.column(0).to_pylist():
-                known = np.frombuffer(ids or b"", "<u4").tolist()
-                try:
-                    texts.append(" ".join(map(names.__getitem__, known)))
-                except KeyError:
-                    texts.append(" ".join(names[i] for i in known if i in names))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], pa.array(texts, pa.string())], names=[*batch.schema.names[1:], "text"]
-            )
-
-    narrow = encoded.select(F.col(ids_col).alias("_ids"), id_col, *keep)
-    return narrow.mapInArrow(run, StructType([*carried.schema.fields, StructField("text", StringType())]))
+        for batch in slices(batches):
+            texts = texts_of(batch.column(1).to_pylist(), sent.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts], ["id", "text"])
+
+    narrow = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
+    return narrow.mapInArrow(run, f"id {kind}, text string").withColumnRenamed("id", id_col)

@@ -46,7 +46,7 @@ def rates(docs: DataFrame, weights: Mapping[str, float] | None = None, total: fl
         weight = F.floor(F.coalesce(known[F.col("source")], F.lit(0.0)) * 1e6)
     weighted = sizes.withColumn("weight", weight)
     sums = weighted.agg(F.sum("n").alias("all_n"), F.sum("weight").alias("all_weight"))  # one row
-    rate = F.lit(float(total)) * (F.col("weight").cast("double") / F.col("all_weight")) * (F.col("all_n").cast("double") / F.col("n"))
+    rate = F.lit(float(total)) * F.try_divide(F.col("weight").cast("double"), F.col("all_weight").cast("double")) * (F.col("all_n").cast("double") / F.col("n"))
     return weighted.join(F.broadcast(sums)).select("source", "n", F.coalesce(rate, F.lit(0.0)).alias("rate"))
 
 

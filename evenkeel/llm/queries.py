@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evenkeel.llm import bpe, secrets, simhash
+from evenkeel.llm import bpe, mixing, quality_rules, quality_rules_sql, secrets, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,9 +33,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document, encoded and then decoded."""
     path = public_tokenizers.path("word_bpe_49k.json")
-    encoded = bpe.encode(read(spark, sf_dir, "documents"), path)
-    both = bpe.decode(encoded, path, keep=["ids"])
-    return both.select(
+    return bpe.encode(read(spark, sf_dir, "documents"), path, decoded=True).select(
         "doc_id",
         F.floor(F.length("ids") / 4).alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
@@ -48,3 +46,22 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint, component_id of every document."""
     found = simhash.near_copies(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the counts, base_failed and kept of every document."""
+    found = quality_rules.verdicts(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
+
+
+SQL["op7_quality_rules"] = quality_rules_sql.SQL
+
+
+@query
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every copy of every document in the mixture: doc_id, source, text, copy, shuffle_key."""
+    return mixing.mixed(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
+SQL["op5_mixing"] = mixing.SQL
