@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evenkeel.llm import bpe, mixing, quality_rules, quality_rules_sql, secrets, simhash
+from evenkeel.llm import bpe, classifier, mixing, neighbours, quality_rules, quality_rules_sql, secrets, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -65,3 +65,25 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op5_mixing"] = mixing.SQL
+
+
+@query
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: the ten nearest of every vector whose id 100 divides."""
+    return neighbours.nearest(read(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
+SQL["op9_neighbours"] = """
+WITH usable AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+paired AS (SELECT q.vec_id AS query_id, c.vec_id,
+    sqrt(list_reduce(list_transform(list_zip(q.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])), lambda a, b: a + b)) AS score
+  FROM usable q JOIN usable c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INTEGER AS rank FROM paired)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10"""
+
+
+@query
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document."""
+    return classifier.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
