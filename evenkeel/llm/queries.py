@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evenkeel.llm import bpe, classifier, mixing, neighbours, quality_rules, quality_rules_sql, secrets, simhash
+from evenkeel.llm import bpe, classifier, mixing, neighbours, quality_rules, quality_rules_sql, secrets, simhash, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -87,3 +87,20 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10"""
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     return classifier.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, as read back
+    from the archives, in the order of the capture histories."""
+    path = warc.write_archives(read(spark, sf_dir, "pages"))
+    found = warc.histories(warc.read_archives(spark, path))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL["op3_warc"] = f"""
+WITH payloads AS (SELECT page_id, encode(coalesce(html, '')) AS p FROM pages),
+measured AS (SELECT page_id, octet_length(p)::BIGINT AS payload_bytes, sha1(p) AS payload_digest FROM payloads),
+grouped AS (SELECT *, CASE WHEN payload_bytes >= {warc.LEAST_SHARED} THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) END AS kept FROM measured)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN kept <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN kept <> page_id THEN kept END AS refers_to FROM grouped"""
