@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evenkeel.llm import bpe, classifier, mixing, neighbours, quality_rules, quality_rules_sql, secrets, simhash, warc
+from evenkeel.llm import bpe, classifier, language_model, mixing, neighbours, quality_rules, quality_rules_sql, secrets, simhash, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -104,3 +104,9 @@ measured AS (SELECT page_id, octet_length(p)::BIGINT AS payload_bytes, sha1(p) A
 grouped AS (SELECT *, CASE WHEN payload_bytes >= {warc.LEAST_SHARED} THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) END AS kept FROM measured)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN kept <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN kept <> page_id THEN kept END AS refers_to FROM grouped"""
+
+
+@query
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
+    return language_model.language_scores(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
