@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evenkeel.llm import bpe, classifier, language_model, mixing, neighbours, quality_rules, quality_rules_sql, secrets, simhash, warc
+from evenkeel.llm import bpe, classifier, language_model, mixing, neighbours, quality_rules, quality_rules_sql, secrets, simhash, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -110,3 +110,9 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN kept <> page_id THEN 'r
 def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     return language_model.language_scores(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@query
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document, and after the edits that clean it (see token_counts)."""
+    return token_counts.counts_after(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
