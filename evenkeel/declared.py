@@ -28,7 +28,11 @@ from evenkeel.operators import (
     Child,
     Field,
     apply_defaults,
+    create_only,
     expand_children,
+    fill_if_missing,
+    reconcile_plan,
+    replace,
     resolve_refs,
 )
 from evenkeel.operators.changes import content_rules, owned_generic_rules
@@ -288,3 +292,23 @@ def desired_children(objects: DataFrame, secrets: DataFrame, app: str) -> DataFr
     """
     ready = resolved(prepared(objects, app), secrets)
     return expand_children(ready, child_templates(app), ["namespace", "name"])
+
+
+# Which rule each child is kept under; the admin secret's value is made elsewhere and never lost,
+# storage and jobs are only ever created.
+POLICIES = {
+    "admin": fill_if_missing("payload"),
+    "config": replace(),
+    "volume": create_only(),
+    "job": create_only(),
+    "workload": replace(),
+    "service": replace(),
+}
+
+
+def plan_children(desired: DataFrame, actual: DataFrame) -> DataFrame:
+    """(namespace, name, kind, child, payload, action, changed_cols): what to do about each desired
+    child, every kind under its own rule, with one join."""
+    config = derived_name("name", "-config")
+    role = F.when(F.col("kind") != "secret", F.col("kind")).otherwise(F.when(F.col("child") == config, "config").otherwise("admin"))
+    return reconcile_plan(desired.withColumn("role", role), actual, ["namespace", "name", "kind", "child"], POLICIES, ["payload"], "role")

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from evenkeel.functions._cols import as_list, order_value
 from evenkeel.operators.rows import rows_dedup
-from evenkeel.operators.skew import HOT_ROWS, HOT_SHARE, hot_keys, join_few, spread
 
 
 def current_conditions(
@@ -32,51 +31,35 @@ def condition_transitions(
     order: Sequence[str] = ("ts", "seq"),
     status: str = "status",
     at: str = "ts",
-    hot_share: float = HOT_SHARE,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """(keys, status, last_transition_time): the time moves only when the status changes.
 
-    Compares each row with the one before it, which puts a key's history into one task. Not
-    so for hot keys, of which there are few: for them the last row with another status comes
-    from a plain aggregate, and what is left, the rows of the last run, is spread over tasks
-    and reduced to its first row.
+    One path for all keys, in two scans. The last row of each status is a plain aggregate, reduced
+    before its shuffle to a row per key and status; the second of these by order bounds the last
+    run. The log is joined with the bounds, and of the rows after it the first one is kept. The
+    join is on the keys that the aggregation needs, so a hot key is split only where adaptive
+    execution may add a shuffle for that, as it may in sessions of ``build_session``.
     """
     keys = as_list(keys)
-    rows = log.select(
-        *keys,
-        F.col(status).alias("_status"),
-        order_value(order).alias("_o"),
-        F.col(at).alias("_at"),
-    )
-    hot = hot_keys(rows, keys, hot_share, hot_rows)
-    ends = (
-        join_few(rows, hot, keys, "left_semi").groupBy(*keys, "_status").agg(F.max("_o").alias("_o"))
-    )
-    latest_first = Window.partitionBy(*keys).orderBy(F.desc("_o"))
+    rows = log.select(*keys, F.col(status).alias("_status"), order_value(order).alias("_o"), F.col(at).alias("_at"))
+    ends = rows.groupBy(*keys, "_status").agg(F.max("_o").alias("_end"))
+    top = Window.partitionBy(*keys).orderBy(F.desc("_end"))  # one row per status
     bounds = (
-        ends.withColumn("_rn", F.row_number().over(latest_first))
-        .filter("_rn <= 2")
+        ends.withColumn("_rank", F.row_number().over(top))
+        .filter("_rank <= 2")
         .groupBy(*keys)
-        .agg(F.max(F.when(F.col("_rn") == 2, F.col("_o"))).alias("_bound"), F.lit(True).alias("_hot"))
-    )
-    last_run = F.col("_hot").isNull() | F.col("_bound").isNull() | (F.col("_o") > F.col("_bound"))
-    marked = join_few(rows, bounds, keys, "left").filter(last_run)
-    marked = marked.select(
-        *keys, "_status", "_o", "_at", F.when(F.col("_hot"), spread([F.col("_o")])).alias("_spread")
-    )
-    history = Window.partitionBy(*keys, "_spread").orderBy("_o")
-    before = F.lag(F.struct("_status")).over(history)
-    changed = before.isNull() | ~F.col("_status").eqNullSafe(before["_status"])
-    runs = marked.withColumn("_changed", changed).filter("_changed")
-    last = runs.groupBy(*keys, "_spread").agg(F.max(F.struct("_o", "_status", "_at")).alias("_run"))
-    return (
-        last.groupBy(*keys)
-        .agg(F.min("_run").alias("_run"))
-        .select(
-            *keys, F.col("_run._status").alias("status"), F.col("_run._at").alias("last_transition_time")
+        .agg(
+            F.max(F.when(F.col("_rank") == 2, F.col("_end"))).alias("_bound"),
+            F.max(F.when(F.col("_rank") == 1, F.struct("_status"))).alias("_last"),
         )
+        .withColumnsRenamed({k: f"_key_{k}" for k in keys})
     )
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    run = rows.join(bounds, same).filter(F.col("_bound").isNull() | (F.col("_o") > F.col("_bound")))
+    first = run.groupBy(*keys).agg(F.min(F.struct("_o", "_at")).alias("_first"), F.any_value("_last").alias("_last"))
+    return first.select(*keys, F.col("_last._status").alias("status"), F.col("_first._at").alias("last_transition_time"))
 
 
 def latest_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

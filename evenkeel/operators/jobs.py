@@ -47,6 +47,7 @@ def job_state(
     job_items: ColumnLike = "job_items",
     namespace: str | None = "namespace",
     jobs_name: str = "name",
+    job_namespace: ColumnLike | None = None,
 ) -> DataFrame:
     """Next step per object: (keys, action, items, installed, retry_after_s, proceed).
 
@@ -55,19 +56,24 @@ def job_state(
     retry. With no recorded job, or one that cannot be found or has not begun, the missing
     items are started, or nothing is left to do and the next stage may run (``proceed``).
 
-    ``jobs`` has one row per (namespace, name) with counters active, succeeded, failed.
+    ``jobs`` has one row per (namespace, name) with counters active, succeeded, failed. The
+    recorded job is looked up in ``job_namespace``, the namespace that was recorded with it, and
+    in the object's own where that is not given or null.
     """
     keys = as_list(keys)
-    on_ns = [namespace] if namespace else []
+    on_ns = ["_job_namespace"] if namespace else []
+    own = F.col(namespace) if namespace else None
+    at = own if job_namespace is None else F.coalesce(blank_to_null(as_col(job_namespace)), own) if namespace else None
     state = objects.select(
-        *dict.fromkeys([*keys, *on_ns]),
+        *keys,
+        *([at.alias("_job_namespace")] if namespace else []),
         array_dedup(desired).alias("_desired"),
         append_list(installed, F.array()).alias("_installed"),
         blank_to_null(as_col(job_name).cast("string")).alias("_job"),
         as_col(job_items).alias("_items"),
     ).withColumn("_spread", null_spread([F.col("_job")], [F.col(k) for k in keys]))
     counters = jobs.select(
-        *on_ns, F.col(jobs_name).cast("string").alias("_job"), F.lit(0).alias("_spread"), "active", "succeeded", "failed"
+        *([F.col(namespace).alias("_job_namespace")] if namespace else []), F.col(jobs_name).cast("string").alias("_job"), F.lit(0).alias("_spread"), "active", "succeeded", "failed"
     )
     seen = state.join(counters, [*on_ns, "_job", "_spread"], "left")
     todo = array_minus("_desired", "_installed")

@@ -92,7 +92,7 @@ def _(spark, sf):
     log = shared_dir(spark, "status")
     df = table(spark, sf, "events").select("event_id", "user_id", "event_type")
     append_status(df.filter("event_type = 'error'"), log)
-    append_status(df.filter("event_type <> 'error'"), log)
+    append_status(df.filter(~F.col("event_type").eqNullSafe("error")), log)
     return read_snapshot(spark, log, "event_id bigint, user_id bigint, event_type string")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from evenkeel import declared
 from evenkeel import functions as K
-from evenkeel.operators import Child, expand_children, reconcile_plan
+from evenkeel.operators import Child, expand_children
 from evenkeel.plans.registry import query, table
 
 APP = "shop"
@@ -98,10 +98,12 @@ def existing_children(spark, sf):
         return F.to_json(F.struct(F.lit(port).alias("port"), F.col("name").alias("app")))
 
     orders = table(spark, sf, "orders").filter(F.col("o_orderdate") < F.lit("2001-01-01").cast("timestamp_ntz"))
-    orders = orders.select(F.lit("default").alias("namespace"), name.alias("name"), "o_custkey")
+    orders = orders.select(F.lit("default").alias("namespace"), name.alias("name"), "o_custkey", "o_orderkey")
     templates = [
-        Child("secret", F.concat(F.lit("c-"), F.col("o_custkey"))),
-        Child("volume", "name", F.lit(_VOLUME)),
+        # Admin secrets with and without a value, config secrets of an older text, volumes of another size.
+        Child("secret", F.concat(F.lit("c-"), F.col("o_custkey")), F.when(F.col("o_custkey") % 2 == 0, F.lit("kept"))),
+        Child("secret", K.derived_name("name", "-config"), F.lit("old"), when=F.col("o_orderkey") % 2 == 0),
+        Child("volume", "name", F.when(F.col("o_custkey") % 3 == 0, F.lit(_VOLUME.replace("10Gi", "20Gi"))).otherwise(F.lit(_VOLUME))),
         Child("workload", "name", F.lit("{}")),
         Child("service", K.derived_name("name", "-http"), service(8069)),
         Child("service", K.derived_name("name", "-poll"), service(8072)),
@@ -113,14 +115,18 @@ def existing_children(spark, sf):
     "declared_plan",
     f"""SELECT 'app-' || o_orderkey AS name, kind,
           CASE WHEN suffix IS NULL THEN 'c-' || o_custkey ELSE 'app-' || o_orderkey || suffix END AS child,
-          CASE WHEN o_orderdate >= TIMESTAMP '2001-01-01' OR kind = 'job' OR suffix = '-config' THEN 'CREATE'
-               WHEN kind = 'workload' THEN 'UPDATE' ELSE 'NOOP' END AS action,
-          CASE WHEN o_orderdate < TIMESTAMP '2001-01-01' AND kind = 'workload' THEN 'payload' ELSE '' END AS changed_cols
+          CASE WHEN o_orderdate >= TIMESTAMP '2001-01-01' OR kind = 'job' OR (suffix = '-config' AND o_orderkey % 2 = 1) THEN 'CREATE'
+               WHEN kind = 'workload' OR suffix = '-config' THEN 'UPDATE' ELSE 'NOOP' END AS action,
+          CASE WHEN o_orderdate < TIMESTAMP '2001-01-01' AND (kind = 'workload' OR (suffix = '-config' AND o_orderkey % 2 = 0)) THEN 'payload' ELSE '' END AS changed_cols,
+          CASE WHEN suffix IS NULL AND o_orderdate < TIMESTAMP '2001-01-01' AND o_custkey % 2 = 0 THEN 'kept'
+               WHEN kind = 'volume' THEN replace('{_VOLUME}', '10Gi', CASE WHEN o_orderdate < TIMESTAMP '2001-01-01' AND o_custkey % 3 = 0 THEN '20Gi' ELSE '10Gi' END) END AS payload
         FROM {_JOINED}, (VALUES ('secret', NULL), ('secret', '-config'), ('volume', ''), ('job', '-init'), ('workload', ''),
                                 ('service', '-http'), ('service', '-poll')) t(kind, suffix)
         WHERE suffix IS NULL OR NOT {_FAILED} AND (kind <> 'job' OR o_orderstatus <> 'F')""",
 )
 def _(spark, sf):
     desired = declared.desired_children(declared_objects(spark, sf), secrets(spark, sf), APP)
-    plan = reconcile_plan(desired, existing_children(spark, sf), ["namespace", "name", "kind", "child"])
-    return plan.select("name", "kind", "child", "action", K.join_items("changed_cols").alias("changed_cols"))
+    plan = declared.plan_children(desired, existing_children(spark, sf))
+    # The texts that are made for config secrets and workloads are those of declared_config.
+    payload = F.when((F.col("kind") == "volume") | (F.col("kind") == "secret") & ~F.col("child").endswith("-config"), F.col("payload"))
+    return plan.select("name", "kind", "child", "action", K.join_items("changed_cols").alias("changed_cols"), payload.alias("payload"))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from evenkeel.session import shared_dir
 from evenkeel.sources import read_changes, read_snapshot
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,8 +48,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_snapshot(spark, f"{sf_dir}/{name}.parquet", SCHEMAS[name])
 
 
-def feed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The table as a stream. The file source wants a folder or a glob, and a glob that
-    matches just this name serves for a folder of many files as well as for one file."""
-    path = f"{sf_dir}/[{name[0]}]{name[1:]}.parquet"
-    return read_changes(spark, path, SCHEMAS[name], max_bytes=8 << 30)
+FEED_SLICES, SLICE_FILE_ROWS = 5, 500_000
+
+
+def feed(spark: SparkSession, sf_dir: str, name: str = "events", ts: str = "ts") -> DataFrame:
+    """A table replayed as a stream of about FEED_SLICES micro-batches in the order of time.
+
+    Equal spans of time are written one after the other to the shared folder, and the file source
+    takes files by their age. A micro-batch has as many files as a span of mean size.
+    """
+    rows, place = table(spark, sf_dir, name), shared_dir(spark, f"feed-{name}")
+    n, first, last = rows.agg(F.count("*"), F.min(_micros(ts)), F.max(_micros(ts))).first()
+    files = max(1, -(-n // (FEED_SLICES * SLICE_FILE_ROWS)))
+    width = max(1, ((last or 0) - (first or 0)) // FEED_SLICES + 1)
+    # Rows without a time come first, as they do in an order by time.
+    slice_of = F.coalesce(F.floor((_micros(ts) - F.lit(first)) / F.lit(width)), F.lit(0))
+    for k in range(FEED_SLICES):
+        rows.filter(slice_of == k).repartition(files).write.mode("append").parquet(place)
+    return read_changes(spark, place, SCHEMAS[name], max_files=files)
+
+
+def _micros(ts: str) -> Column:
+    return F.unix_micros(F.col(ts).cast("timestamp"))

@@ -96,7 +96,7 @@ def _(spark, sf):
 def _(spark, sf):
     tracked = track_conditions(condition_log(feed(spark, sf, "events")), ["object", "type"])
     log = _replayed(spark, "conditions", tracked, "update")
-    return latest_rows(log, ["object", "type"], ["ts", "seq"]).select("object", "type", "status", "last_transition_time")
+    return latest_rows(log.filter("NOT late"), ["object", "type"], ["ts", "seq"]).select("object", "type", "status", "last_transition_time")
 
 
 @query(
@@ -107,7 +107,23 @@ def _(spark, sf):
 )
 def _(spark, sf):
     kept = suppress_unchanged(feed(spark, sf, "events"), "user_id", ["event_type"], "ts", "event_id")
-    return _replayed(spark, "changed", kept).drop("batch_id")
+    return _replayed(spark, "changed", kept).drop("batch_id", "late")
+
+
+@query(
+    "suppress_unchanged_times",
+    """SELECT user_id, ts, event_id FROM (
+         SELECT *, lag((date_trunc('day', ts), props)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
+       WHERE (date_trunc('day', ts), props) IS DISTINCT FROM before""",
+)
+def _(spark, sf):
+    """Content of a time and a map: a key's day and its properties."""
+    content = feed(spark, sf, "events").select(
+        "user_id", "ts", "event_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"),
+        F.from_json("props", "map<string,int>").alias("props"),
+    )
+    kept = suppress_unchanged(content, "user_id", ["day", "props"], "ts", "event_id")
+    return _replayed(spark, "times", kept).select("user_id", "ts", "event_id")
 
 
 @query(

@@ -28,18 +28,30 @@ def read_snapshot(
     blank_as_null: Sequence[str] = (),
     payload: str | None = None,
     payload_schema: Schema | None = None,
+    payload_error: str | None = None,
 ) -> DataFrame:
     """All objects of a kind, with a declared schema; nothing is inferred.
 
     ``blank_as_null`` names text columns in which an empty text means "not set". With
-    ``payload``, that text column holds JSON and is replaced by the fields it declares.
+    ``payload``, that text column holds JSON and is replaced by the fields it declares, none of
+    which may be named like another column. Text that is not such JSON gives nulls; with
+    ``payload_error``, a column of that name then holds the text, else null.
     """
     paths = [path] if isinstance(path, str) else list(path)
     df = spark.read.schema(_schema(schema)).format(fmt).load(paths)
     df = df.withColumns({c: blank_to_null(c) for c in blank_as_null})
     if payload:
-        parsed = F.from_json(F.col(payload), _schema(payload_schema))
-        df = df.withColumn(payload, parsed).select("*", f"{payload}.*").drop(payload)
+        declared = _schema(payload_schema)
+        others = [c for c in df.columns if c != payload] + ([payload_error] if payload_error else [])
+        if clash := sorted(set(others) & set(declared.names)):
+            raise ValueError(f"fields of the payload are named like columns: {clash}")
+        bad = "_payload_error"
+        wide = T.StructType([*declared.fields, T.StructField(bad, T.StringType())])
+        parsed = F.from_json(F.col(payload), wide, {"columnNameOfCorruptRecord": bad})
+        df = df.withColumn("_payload", parsed)
+        fields = [F.col(f"_payload.`{f}`").alias(f) for f in declared.names]
+        error = [F.col(f"_payload.{bad}").alias(payload_error)] if payload_error else []
+        df = df.select(*(c for c in df.columns if c not in (payload, "_payload")), *fields, *error)
     return df
 
 
@@ -55,8 +67,10 @@ def read_changes(
     """A change feed as a stream of new files, or as a table with ``stream=False``.
 
     ``max_files`` / ``max_bytes`` bound a micro-batch, and with it what one key can bring to
-    a stateful operator at a time.
+    a stateful operator at a time; Spark takes one of the two.
     """
+    if max_files and max_bytes:
+        raise ValueError("give max_files or max_bytes: Spark bounds a micro-batch by one of them")
     if not stream:
         return spark.read.schema(_schema(schema)).format(fmt).load(path)
     reader = spark.readStream.schema(_schema(schema)).format(fmt)

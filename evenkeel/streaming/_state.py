@@ -22,15 +22,19 @@ def newer(us: np.ndarray, seq: np.ndarray, last: tuple[int, int] | None) -> np.n
     return (us > last[0]) | ((us == last[0]) & (seq > last[1]))
 
 
-def fresh_rows(chunks: Iterator[pd.DataFrame], ts: str, seq: str, last: tuple[int, int] | None):
-    """All chunks as one frame, without rows that are not after the stored one."""
-    parts = []
-    for pdf in chunks:
-        if last is not None:
-            fresh = newer(micros(pdf[ts]), pdf[seq].to_numpy(dtype="int64"), last)
-            pdf = pdf if fresh.all() else pdf[fresh]
-        parts.append(pdf)
-    return parts[0] if len(parts) == 1 else pd.concat(parts)
+def parted(pdf: pd.DataFrame, ts: str, seq: str, last: tuple[int, int] | None) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """(rows after the stored one, rows before it); a replay of the stored row itself is neither."""
+    us, no = micros(pdf[ts]), pdf[seq].to_numpy(dtype="int64")
+    fresh = newer(us, no, last)
+    if last is None or fresh.all():
+        return pdf, pdf[:0]
+    return pdf[fresh], pdf[~fresh & ~((us == last[0]) & (no == last[1]))]
+
+
+def parted_chunks(chunks: Iterator[pd.DataFrame], ts: str, seq: str, last: tuple[int, int] | None):
+    """``parted`` of all chunks together."""
+    fresh, late = zip(*(parted(pdf, ts, seq, last) for pdf in chunks))
+    return (parts[0] if len(parts) == 1 else pd.concat(parts) for parts in (fresh, late))
 
 
 def fields(df: DataFrame, names: Sequence[str]) -> list[T.StructField]:

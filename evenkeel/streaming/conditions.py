@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from evenkeel.functions._cols import as_list
-from evenkeel.streaming._state import fields, micros, newer
+from evenkeel.session import ship_package
+from evenkeel.streaming._state import fields, micros, parted
 
 STATE = "ts long, seq long, status string, since long"
 
@@ -24,17 +25,21 @@ def track_conditions(
     values: Sequence[str] = ("reason", "message"),
 ) -> DataFrame:
     """The current row of each changed condition: (keys, ts, seq, status, values,
-    last_transition_time), in update mode.
+    last_transition_time, late), in update mode.
 
-    Rows of one key come unordered inside a micro-batch and are put in (ts, seq) order; rows
-    not after the stored one are dropped. What one key brings is bounded by the micro-batch,
-    and only (ts, seq, status) of its rows are held at a time.
+    Rows of one key come unordered inside a micro-batch and are put in (ts, seq) order. A row
+    before the stored one comes too late to count: it is given as it is, with ``late`` true and no
+    transition time, so that nothing is lost unseen; a replay of the stored row gives nothing.
+    What one key brings is bounded by the micro-batch, and only (ts, seq, status) of its rows are
+    held at a time.
     """
+    ship_package(stream.sparkSession)
     keys, values = as_list(keys), list(values)
     out = T.StructType(
         [
             *fields(stream, [*keys, ts, seq, status, *values]),
             T.StructField("last_transition_time", stream.schema[ts].dataType),
+            T.StructField("late", T.BooleanType()),
         ]
     )
 
@@ -42,12 +47,12 @@ def track_conditions(
         last = state.get if state.exists else None
         parts, best, best_at = [], None, None
         for pdf in chunks:
-            us, no = micros(pdf[ts]), pdf[seq].to_numpy(dtype="int64")
-            fresh = newer(us, no, last and (last[0], last[1]))
-            if not fresh.any():
+            pdf, late = parted(pdf, ts, seq, last and (last[0], last[1]))
+            if len(late):
+                yield late.assign(last_transition_time=np.datetime64("NaT", "us"), late=True)
+            if pdf.empty:
                 continue
-            if not fresh.all():
-                us, no, pdf = us[fresh], no[fresh], pdf[fresh]
+            us, no = micros(pdf[ts]), pdf[seq].to_numpy(dtype="int64")
             parts.append((us, no, pdf[status].to_numpy(dtype=object)))
             top = np.lexsort((no, us))[-1]
             if best_at is None or (us[top], no[top]) > best_at:
@@ -63,7 +68,7 @@ def track_conditions(
             changed[0] = st[0] != last[2]
         since = int(us[np.flatnonzero(changed)[-1]]) if changed.any() else last[3]
         state.update((int(best_at[0]), int(best_at[1]), st[-1], since))
-        yield best.assign(last_transition_time=np.array([since], dtype="datetime64[us]"))
+        yield best.assign(last_transition_time=np.array([since], dtype="datetime64[us]"), late=False)
 
     return stream.select(*keys, ts, seq, status, *values).groupBy(*keys).applyInPandasWithState(
         step, out, STATE, "update", GroupStateTimeout.NoTimeout

@@ -17,10 +17,12 @@ from evenkeel.operators.stages import (
     JOB_RUNNING_RETRY_S,
     JOB_SUCCEEDED_RETRY_S,
 )
-from evenkeel.streaming._state import fields, fresh_rows, micros
+from evenkeel.session import ship_package
+from evenkeel.streaming._state import fields, micros, parted_chunks
 
 DUE = "DUE"
-STATE = "ts long, seq long, job array<string>, installed array<string>"
+LATE = "LATE"
+STATE = "ts long, seq long, job array<string>, installed array<string>, delay int"
 
 
 def track_jobs(
@@ -38,9 +40,12 @@ def track_jobs(
     recorded job (all null when the job is not found). The state is the recorded job's items
     and the installed list, which is given only where it changes (CLEAR); steps are those of
     ``job_state``. With ``emit_due`` a key that is
-    not observed again within its delay gives a row DUE, by processing time; such a stream
-    needs a recurring trigger, as one over what is available now would never end.
+    not observed again within its delay gives a row DUE, by processing time, and once more after
+    each further delay; such a stream needs a recurring trigger, as one over what is available now
+    would never end. An observation before the stored one comes too late to count and gives a row
+    LATE; a replay of the stored one gives nothing.
     """
+    ship_package(stream.sparkSession)
     keys = as_list(keys)
     out = T.StructType(
         [
@@ -75,18 +80,26 @@ def track_jobs(
 
     def step(key, chunks, state):
         if state.hasTimedOut:
-            us, no, _, _ = state.get
+            us, no, _, _, delay = state.get
+            state.update(state.get)
+            state.setTimeoutDuration(delay * 1000)
             yield frame(key, np.array([us]), np.array([no]), [(DUE, [], None, None)])
             return
-        last = state.get if state.exists else (None, None, None, [])
+        last = state.get if state.exists else (None, None, None, [], None)
         seen = None if last[0] is None else (last[0], last[1])
-        pdf = fresh_rows(chunks, ts, seq, seen)
+        pdf, late = parted_chunks(chunks, ts, seq, seen)
+        if len(late):
+            yield frame(key, micros(late[ts]), late[seq].to_numpy(dtype="int64"), [(LATE, [], None, None)] * len(late))
         if pdf.empty:
+            if emit_due and last[4] is not None:  # the timer of a key is cleared by being called
+                state.update(last)
+                state.setTimeoutDuration(last[4] * 1000)
             return
         us, no = micros(pdf[ts]), pdf[seq].to_numpy(dtype="int64")
         order = np.lexsort((no, us))
         job = None if last[2] is None else list(last[2])
         installed = list(last[3] or [])
+        have = set(installed)
         steps, delay = [], None
         counts = np.nan_to_num(
             np.column_stack([pdf[c].to_numpy(dtype="float64", na_value=np.nan) for c in ("succeeded", "active", "failed")])
@@ -97,12 +110,12 @@ def track_jobs(
             if job is not None and succeeded > 0:
                 action, items, delay = CLEAR, job, JOB_SUCCEEDED_RETRY_S
                 installed, job = installed + job, None
+                have.update(items)
             elif job is not None and active > 0:
                 action, items, delay = WAIT, [], JOB_RUNNING_RETRY_S
             elif job is not None and failed > 0:
                 action, items, delay = FAILED, [], None
             else:
-                have = set(installed)
                 items = [x for x in dict.fromkeys(wanted[i] if wanted[i] is not None else ()) if x not in have]
                 if items:
                     action, job, delay = START, items, JOB_CREATED_RETRY_S
@@ -110,7 +123,7 @@ def track_jobs(
                     action, delay = DONE, None
             steps.append((action, items, installed if action == CLEAR else None, delay))
         top = order[-1]
-        state.update((int(us[top]), int(no[top]), job, installed))
+        state.update((int(us[top]), int(no[top]), job, installed, delay))
         if emit_due and delay is not None:
             state.setTimeoutDuration(delay * 1000)
         yield frame(key, us[order], no[order], steps)

@@ -11,9 +11,15 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from evenkeel.functions._cols import as_list
-from evenkeel.streaming._state import fields, fresh_rows, micros
+from evenkeel.session import ship_package
+from evenkeel.streaming._state import fields, micros, parted_chunks
 
 STATE = "ts long, seq long, digest string"
+LOSSLESS = {
+    "ignoreNullFields": "false",
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
 
 
 def suppress_unchanged(
@@ -23,25 +29,30 @@ def suppress_unchanged(
     ts: str = "ts",
     seq: str = "seq",
 ) -> DataFrame:
-    """(keys, ts, seq, content) of the rows whose content differs from the key's previous row.
+    """(keys, ts, seq, content, late) of the rows whose content differs from the key's previous row.
 
     For feeds that carry only the after-image; with before and after images the stateless
-    ``content_changed`` does it. State is a digest per key. Spark computes the digest, so
-    content in any type, maps included, is compared.
+    ``content_changed`` does it. State is a digest per key. Spark computes the digest from a
+    lossless text (times to the microsecond), so content in any type, maps included, is compared.
+    Rows before the stored one can't be compared any more; they are given with ``late`` true. A
+    replay of the stored row gives nothing.
     """
+    ship_package(stream.sparkSession)
     keys, content = as_list(keys), list(content)
     kinds = {f.name: f.dataType for f in stream.schema}
     parts = [
         F.sort_array(F.map_entries(c)).alias(c) if isinstance(kinds[c], T.MapType) else F.col(c)
         for c in content
     ]
-    digest = F.sha2(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}), 256)
+    digest = F.sha2(F.to_json(F.struct(*parts), LOSSLESS), 256)
     names = [*keys, ts, seq, *content]
-    out = T.StructType(fields(stream, names))
+    out = T.StructType([*fields(stream, names), T.StructField("late", T.BooleanType())])
 
     def step(key, chunks, state):
         last = state.get if state.exists else None
-        pdf = fresh_rows(chunks, ts, seq, last and (last[0], last[1]))
+        pdf, late = parted_chunks(chunks, ts, seq, last and (last[0], last[1]))
+        if len(late):
+            yield late[names].assign(late=True)
         if pdf.empty:
             return
         us, no = micros(pdf[ts]), pdf[seq].to_numpy(dtype="int64")
@@ -49,7 +60,7 @@ def suppress_unchanged(
         digests = pdf["_digest"].to_numpy(dtype=object)[order]
         before = np.concatenate([[last[2] if last else None], digests[:-1]])
         state.update((int(us[order[-1]]), int(no[order[-1]]), digests[-1]))
-        yield pdf.iloc[order[digests != before]][names]
+        yield pdf.iloc[order[digests != before]][names].assign(late=False)
 
     return (
         stream.select(*names, digest.alias("_digest"))

@@ -12,6 +12,7 @@ from evenkeel.operators import rules as V
 from evenkeel.operators.changes import content_rules, owned_generic_rules
 from evenkeel.operators.conditions import latest_rows
 from evenkeel.operators.defaults import EMPTY
+from evenkeel.sources import read_changes, read_snapshot
 
 T0 = datetime(2024, 1, 1)
 
@@ -385,14 +386,13 @@ def brute(log):
     return state
 
 
-@pytest.mark.parametrize("hot_rows", [1_000_000, 50])
 @pytest.mark.parametrize("seed", [1, 2, 3])
-def test_conditions_against_brute_force(spark, seed, hot_rows):
+def test_conditions_against_brute_force(spark, seed):
     data = log_rows(seed)
     log = spark.createDataFrame(data, "object string, type string, status string, reason string, ts timestamp_ntz, seq bigint")
     keys = ["object", "type"]
     current = O.current_conditions(log, keys, values=["status", "reason"])
-    moved = O.condition_transitions(log, keys, hot_rows=hot_rows)
+    moved = O.condition_transitions(log, keys)
     expected = brute(data)
     assert {(r.object, r.type): (r.status, r.reason) for r in current.collect()} == {
         k: v[:2] for k, v in expected.items()
@@ -471,3 +471,44 @@ def test_job_state(spark):
     )
     out = O.job_state(objects, jobs, ["namespace", "name"])
     assert {r.name: tuple(r)[2:] for r in out.collect()} == {k: v[-1] for k, v in cases.items()}
+
+
+def test_policies_per_kind_in_one_plan(spark, rows):
+    ddl = "kind string, name string, a string, b string"
+    desired = spark.createDataFrame(
+        [("volume", "v", "20Gi", "x"), ("volume", "new", "20Gi", "x"), ("secret", "full", None, "x"), ("secret", "empty", "pw", "x"),
+         ("service", "s", "port", "mine"), ("workload", "w", "2", "x"), (None, "n", "2", "x")], ddl)
+    actual = spark.createDataFrame(
+        [("volume", "v", "10Gi", "x"), ("secret", "full", "old", "y"), ("secret", "empty", None, "x"),
+         ("service", "s", "port", "theirs"), ("workload", "w", "1", "x"), (None, "n", "1", "x")], ddl)
+    policies = {"volume": O.create_only(), "secret": O.fill_if_missing("a"), "service": O.carry_over("b")}
+    plan = O.reconcile_plan(desired, actual.withColumn("kind", F.coalesce("kind", F.lit("?"))).drop("kind"), "name", policies, values=["a", "b"])
+    got = {r.name: (r.a, r.b, r.action, r.changed_cols) for r in plan.collect()}
+    assert got == {
+        "v": ("10Gi", "x", "NOOP", []), "new": ("20Gi", "x", "CREATE", []), "full": ("old", "y", "NOOP", []),
+        "empty": ("pw", "x", "UPDATE", ["a"]), "s": ("port", "theirs", "NOOP", []), "w": ("2", "x", "UPDATE", ["a"]),
+        "n": ("2", "x", "UPDATE", ["a"]),
+    }
+
+
+def test_a_recorded_job_is_found_in_its_own_namespace(spark):
+    objects = spark.createDataFrame(
+        [("n", "a", ["x"], [], "j", ["x"], "jobs"), ("n", "b", ["x"], [], "j", ["x"], None)],
+        "namespace string, name string, desired array<string>, installed array<string>, job_name string, job_items array<string>, job_ns string",
+    )
+    jobs = spark.createDataFrame([("jobs", "j", 0, 1, 0), ("n", "j", 1, 0, 0)], "namespace string, name string, active int, succeeded int, failed int")
+    found = O.job_state(objects, jobs, ["namespace", "name"], job_namespace="job_ns")
+    assert {r.name: r.action for r in found.collect()} == {"a": "CLEAR", "b": "WAIT"}
+
+
+def test_payloads_that_are_not_json(spark, tmp_path):
+    spark.createDataFrame([(1, '{"a": 5}'), (2, "{oops"), (3, None)], "k int, body string").write.parquet(f"{tmp_path}/t")
+    out = read_snapshot(spark, f"{tmp_path}/t", "k int, body string", payload="body", payload_schema="a int", payload_error="bad")
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 5, None), (2, None, "{oops"), (3, None, None)]
+    with pytest.raises(ValueError):
+        read_snapshot(spark, f"{tmp_path}/t", "k int, body string", payload="body", payload_schema="k int")
+
+
+def test_one_bound_for_a_micro_batch(spark, tmp_path):
+    with pytest.raises(ValueError):
+        read_changes(spark, str(tmp_path), "k int", max_files=1, max_bytes=1)

@@ -11,7 +11,7 @@ from evenkeel import functions as K
 from evenkeel import operators as O
 from evenkeel import shared_dir
 from evenkeel.operators import rules as V
-from evenkeel.operators.skew import hot_keys, null_spread
+from evenkeel.operators.skew import null_spread
 from evenkeel.plans import QUERIES
 from evenkeel.plans.registry import table
 from evenkeel.sources import in_namespace, lookup, lookup_many
@@ -173,8 +173,23 @@ def test_rows_without_a_reference_are_spread(spark):
     assert df.filter(null_spread([F.col("id")], [F.col("id")]) != 0).count() == 0
 
 
-def test_hot_keys_are_few_and_include_null(spark):
-    df = spark.range(0, 1000).select(F.when(F.col("id") >= 400, F.col("id")).alias("k"))
-    found = hot_keys(df, ["k"], share=1 / 10, min_rows=1)
-    assert [r.k for r in found.collect()] == [None]
-    assert hot_keys(df, ["k"], share=1 / 10, min_rows=500).count() == 0
+def test_transitions_scan_the_log_twice(spark):
+    log = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("user_id", "event_type", "ts", "event_id")
+    moved = O.condition_transitions(log, ["user_id"], ["ts", "event_id"], "event_type")
+    text = plan(moved, "simple")
+    assert text.count("Scan parquet") == 2
+
+
+def test_a_hot_condition_is_split(spark):
+    n = 60_000
+    log = spark.range(0, n, 1, 8).select(
+        F.when(F.col("id") % 3 != 0, "hot").otherwise(F.col("id").cast("string")).alias("k"),
+        F.when(F.col("id") < 3, "a").otherwise("b").alias("status"), "id", F.col("id").alias("seq"),
+    )
+    place = shared_dir(spark, "log")
+    log.write.parquet(place)
+    with settings(spark, **SPLIT):
+        moved = O.condition_transitions(spark.read.parquet(place), "k", ["id", "seq"], "status", "id")
+        rows = {r.k: r.last_transition_time for r in moved.collect()}
+        assert rows["hot"] == 4 and len(rows) == n // 3 + 1
+        assert "skew=true" in plan(moved, "simple")
