@@ -113,15 +113,9 @@ def defaults(app: str) -> dict[str, Any]:
 
 # Patterns of whole values.
 PATH_PATTERN = r"/[^,\n\r# ]+"
-QUANTITY_PATTERN = (
-    r"(\+|-)?(([0-9]+(\.[0-9]*)?)|(\.[0-9]+))"
-    r"(([KMGTPE]i)|[numkMGTPE]|([eE](\+|-)?(([0-9]+(\.[0-9]*)?)|(\.[0-9]+))))?"
-)
+QUANTITY_PATTERN = r"(\+|-)?(([0-9]+(\.[0-9]*)?)|(\.[0-9]+))(([KMGTPE]i)|[numkMGTPE]|([eE](\+|-)?(([0-9]+(\.[0-9]*)?)|(\.[0-9]+))))?"  # noqa: E501
 REASON_PATTERN = r"[A-Za-z]([A-Za-z0-9_,:]*[A-Za-z0-9_])?"
-TYPE_PATTERN = (
-    r"([a-z0-9]([-a-z0-9]*[a-z0-9])?(\.[a-z0-9]([-a-z0-9]*[a-z0-9])?)*/)?"
-    r"(([A-Za-z0-9][-A-Za-z0-9_.]*)?[A-Za-z0-9])"
-)
+TYPE_PATTERN = r"([a-z0-9]([-a-z0-9]*[a-z0-9])?(\.[a-z0-9]([-a-z0-9]*[a-z0-9])?)*/)?(([A-Za-z0-9][-A-Za-z0-9_.]*)?[A-Za-z0-9])"
 
 
 def object_rules() -> list[Rule]:

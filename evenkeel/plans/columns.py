@@ -169,6 +169,12 @@ def _(spark, sf):
     return split_valid(table(spark, sf, "part"), _part_rules())[0].select("p_partkey", "p_name")
 
 
+@query("split_rejected", f"SELECT p_partkey, {_VIOLATIONS} AS violations FROM part WHERE {_VIOLATIONS} <> ''")
+def _(spark, sf):
+    rejected = split_valid(table(spark, sf, "part"), _part_rules())[1]
+    return rejected.select("p_partkey", K.join_items("violations").alias("violations"))
+
+
 @query(
     "derive_names",
     """SELECT s_suppkey, s_name || '-config' AS config, s_name || '-http' AS http, s_name || '-poll' AS poll,

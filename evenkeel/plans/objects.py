@@ -8,7 +8,8 @@ from pyspark.sql import types as T
 
 from evenkeel import declared
 from evenkeel import functions as K
-from evenkeel.operators import Child, expand_children
+from evenkeel.operators import Child, affected_by, expand_children, filter_changes
+from evenkeel.plans.columns import change_feed
 from evenkeel.plans.registry import query, table
 
 APP = "shop"
@@ -130,3 +131,40 @@ def _(spark, sf):
     # The texts that are made for config secrets and workloads are those of declared_config.
     payload = F.when((F.col("kind") == "volume") | (F.col("kind") == "secret") & ~F.col("child").endswith("-config"), F.col("payload"))
     return plan.select("name", "kind", "child", "action", K.join_items("changed_cols").alias("changed_cols"), payload.alias("payload"))
+
+
+@query(
+    "declared_affected",
+    """SELECT 'app-' || o_orderkey AS name FROM orders
+       WHERE o_custkey IN (SELECT user_id FROM events WHERE event_type = 'error')
+          OR o_orderkey IN (SELECT user_id FROM events WHERE event_type IN ('purchase', 'signup'))""",
+)
+def _(spark, sf):
+    """Objects to look at again after changes of secrets, workloads and services."""
+    kind, user = F.col("event_type"), F.col("user_id").cast("string")
+    app = F.concat(F.lit("app-"), user)
+    changed = table(spark, sf, "events").filter(kind.isin("error", "purchase", "signup")).select(
+        F.lit("default").alias("namespace"),
+        F.when(kind == "error", "secret").when(kind == "purchase", "workload").otherwise("service").alias("kind"),
+        F.when(kind == "error", F.concat(F.lit("c-"), user)).when(kind == "purchase", app).otherwise(K.derived_name(app, "-http")).alias("name"),
+    )
+    objects = declared_objects(spark, sf)
+    return affected_by(objects, changed, ["namespace", "name"], declared.references(), "namespace").select("name")
+
+
+@query(
+    "declared_changes",
+    r"""SELECT event_id, kind, op FROM (
+          SELECT event_id, CAST(regexp_extract(props, '"k": (\d+)', 1) AS INTEGER) AS k,
+                 CASE WHEN value < 20 THEN 'secret' WHEN value < 50 THEN 'workload' WHEN value < 80 THEN 'service' WHEN value < 100 THEN 'volume' ELSE 'other' END AS kind,
+                 CASE WHEN event_type = 'signup' THEN 'create' WHEN event_type IN ('click', 'view') THEN 'update'
+                      WHEN event_type = 'error' THEN 'delete' ELSE 'generic' END AS op FROM events)
+        WHERE kind <> 'other' AND NOT (kind = 'secret' AND op = 'update' AND k < 50) AND NOT (kind IN ('secret', 'workload') AND op = 'generic' AND k < 50)""",
+)
+def _(spark, sf):
+    """Changes of children and secrets that matter."""
+    value = F.col("value")
+    kind = F.when(value < 20, "secret").when(value < 50, "workload").when(value < 80, "service").when(value < 100, "volume").otherwise("other")
+    events = table(spark, sf, "events")
+    changes = change_feed(events).drop("kind").join(events.select("event_id", kind.alias("kind")), "event_id")
+    return filter_changes(changes, declared.change_rules("Parent", "v1")).select("event_id", "kind", "op")
