@@ -95,10 +95,34 @@ class Model:
                 value -= rate * g / np.sqrt(total)
         return model
 
-    def probabilities(self, ranks: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def ready(self, begins_word: np.ndarray) -> Model:
+        """Tables that ``probabilities`` needs besides; ``begins_word``: by rank."""
+        self.stops = np.einsum("pnk,n->pk", self.experts, begins_word.astype(np.float32))
+        # A column of ones gives the sum of the attention along with its values.
+        self.valued = np.concatenate([self.values, np.ones((len(self.values), 1), np.float32)], axis=1)
+        longest = lambda t: float(np.sqrt((t.astype(float) ** 2).sum(axis=1).max()))
+        self.small = longest(self.queries) * longest(self.keys) + float(np.abs(self.near).max()) < 60
+        back = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :]
+        self.mask = np.where(back >= 0, self.near[np.maximum(back, 0)], np.float32(-1e9)).astype(np.float32)
+        return self
+
+    def weigh(self, x: np.ndarray) -> np.ndarray:
+        """As ``attend``, but the weights of the experts alone, and only in proportion."""
+        s = np.matmul(self.queries[x], self.keys[x].transpose(0, 2, 1))
+        s += self.mask
+        if not self.small:  # else no exponential can overflow
+            s -= s.max(axis=2, keepdims=True)
+        np.exp(s, out=s)
+        z = np.matmul(s, self.valued[x])
+        z = z[:, :, :-1] / z[:, :, -1:]
+        z += self.bias
+        z -= z.max(axis=2, keepdims=True)
+        return np.exp(z, out=z)
+
+    def probabilities(self, ranks: np.ndarray, starts: np.ndarray, ending: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of sequences laid end to end (``starts``: where each begins; its first subword is given,
-        not scored): (probability of each subword given those before it, chance that the subword
-        before it ends a word). Values at ``starts`` mean nothing.
+        not scored): (probability of each subword given those before it, chance that a word ends
+        before it, where ``ending`` is true). Values at ``starts`` mean nothing.
 
         Windows overlap by OVERLAP; each subword is scored once, by the first window that holds it.
         """
@@ -108,26 +132,22 @@ class Model:
         begin = np.repeat(starts - np.cumsum(counts) * step + counts * step, counts) + np.arange(counts.sum()) * step
         end = np.repeat(ends, counts)
         first = np.repeat(starts, counts) == begin
-        p, stop = np.ones(len(ranks)), np.ones(len(ranks))
+        p, stop = np.ones(len(ranks), np.float32), np.ones(len(ranks), np.float32)
         columns = np.arange(WINDOW)
-        for at in range(0, len(begin), 256):
-            b, e, f = begin[at : at + 256], end[at : at + 256], first[at : at + 256]
+        late = columns >= OVERLAP
+        for at in range(0, len(begin), 128):
+            b, e, f = begin[at : at + 128], end[at : at + 128], first[at : at + 128]
             place = b[:, None] + columns
-            inside = place + 1 < e[:, None]
             x = ranks[np.minimum(place, e[:, None] - 1)]
-            weights = self.attend(x)[1]
-            scored = inside & ((columns >= OVERLAP) | f[:, None])
-            where = place[scored] + 1
-            w, previous = weights[scored], x[scored]
-            p[where] = (w * self.experts[previous, ranks[where]]).sum(axis=1)
-            stop[where] = (w * self.stops[previous]).sum(axis=1)
+            z = self.weigh(x)
+            scored = (place + 1 < e[:, None]) & (late | f[:, None])
+            where, w, previous = place[scored] + 1, z[scored], x[scored]
+            total = w.sum(axis=1)
+            p[where] = np.einsum("nk,nk->n", w, self.experts[previous, ranks[where]]) / total
+            word = ending[where]
+            stop[where[word]] = np.einsum("nk,nk->n", w[word], self.stops[previous[word]]) / total[word]
         return p, stop
 
-    def ending(self, begins_word: np.ndarray) -> Model:
-        """Keep what ``probabilities`` needs of word ends: by rank, whether a subword begins a word."""
-        self.stops = np.einsum("pnk,n->pk", self.experts, begins_word.astype(np.float32))
-        return self
-
 
 def bigram_experts(counts: np.ndarray, discount: float = 0.5, pull: float = 20.0) -> np.ndarray:
     """[previous, next, k] from counts [k, previous, next]: each expert is drawn to all of them

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import base64
 from collections import Counter
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -167,12 +167,41 @@ def _trained(sent, path: str):
     return run
 
 
+class Places(dict):
+    """Place of a word in the tables of a Scorer; words that aren't there get places after them,
+    until they are taken away again."""
+
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(word)
+        self[word] = place = self.known + len(self.new)
+        return place
+
+    def begin(self) -> None:
+        self.known, self.new = len(self), []
+
+    def take_new(self) -> list[bytes]:
+        for word in self.new:
+            del self[word]
+        return self.new
+
+
 class Scorer:
-    """Everything that scoring needs, of bounded size."""
+    """Everything that scoring needs, of bounded size. In its tables the end stands at place 0 and
+    the frequent words after it."""
 
     def __init__(self, model: Model, ranks: Ranks, frequent: dict[bytes, tuple[int, bytes]], n: int, distinct: int, texts: int):
-        self.model, self.ranks, self.frequent = model, ranks, frequent
+        self.model, self.ranks = model, ranks
         self.n, self.distinct, self.texts = n, distinct, texts
+        self.words = list(frequent)
+        self.counts = np.array([texts, *(c for c, _ in frequent.values())])
+        ids = [np.array([ranks.end_id], np.uint16).tobytes(), *(i for _, i in frequent.values())]
+        self.lengths = np.array([len(i) // 2 for i in ids])
+        flat = np.frombuffer(b"".join(ids), np.uint16)
+        self.flat_ranks, self.flat_within = ranks.of[flat], ranks.within[flat]
+
+    @cached_property
+    def places(self) -> Places:
+        return Places((w, k) for k, w in enumerate(self.words, 1))
 
     def base(self, c) -> float:
         return np.log10((c + 1) / (self.n + self.distinct + 1))
@@ -234,75 +263,87 @@ def fit(training: DataFrame, path: str) -> tuple[DataFrame, Scorer]:
             parts.append(flat[at : at + t.size].reshape(t.shape).astype(np.float32))
             at += t.size
         model = model.with_trained(parts)
-    return counts.select("word", "n"), Scorer(model.ending(by_rank), ranks, frequent, total + texts, distinct + (texts > 0), texts)
+    return counts.select("word", "n"), Scorer(model.ready(by_rank), ranks, frequent, total + texts, distinct + (texts > 0), texts)
 
 
 def score_texts(scorer: Scorer, texts: list[str | None], ids: Remembered):
     """Per text: words and end, known ones of them by the dictionary, base score of those, score,
-    and the other words with their counts."""
-    ranks, frequent = scorer.ranks, scorer.frequent
-    unknown = (0, None)
-    words, sizes, hits, rest = [], [], [], []
+    and the other words with their counts (offsets, words, counts)."""
+    ranks, places = scorer.ranks, scorer.places
+    places.begin()
+    found, sizes = [], []
     for text in texts:
         own = words_of(text)
-        found = [frequent.get(w, unknown) for w in own]
-        hits += [f[0] for f in found]
-        words += [f[1] or ids[w] for f, w in zip(found, own)]
         sizes.append(len(own))
-        rest.append(Counter(w for f, w in zip(found, own) if not f[0]))
-    sizes = np.array(sizes)
-    # Laid end to end: each text begins and ends with the end mark.
-    end = np.array([ranks.end_id], np.uint16).tobytes()
-    pieces, at = [], 0
-    for size in sizes.tolist():
-        pieces += [end, *words[at : at + size], end]
-        at += size
-    lengths = np.array([len(p) // 2 for p in pieces])
-    flat = np.frombuffer(b"".join(pieces), np.uint16).astype(np.int64)
-    piece_start = np.cumsum(lengths) - lengths
-    text_first = np.cumsum(sizes + 2) - (sizes + 2)  # number of each text's first piece
+        found += map(places.__getitem__, own)
+    rare = places.take_new()
+    sizes, found = np.array(sizes), np.array(found, np.int64)
+    n_known = len(scorer.lengths)
+
+    # The tables with the rare words of these texts after them.
+    rare_ids = [ids[w] for w in rare]
+    flat = np.frombuffer(b"".join(rare_ids), np.uint16)
+    flat_ranks = np.concatenate([scorer.flat_ranks, ranks.of[flat]])
+    flat_within = np.concatenate([scorer.flat_within, ranks.within[flat]])
+    lengths = np.concatenate([scorer.lengths, np.array([len(i) // 2 for i in rare_ids], np.int64)])
+    offsets = np.cumsum(lengths) - lengths
+
+    # Laid end to end: each text begins and ends with the end mark, at place 0.
+    text_first = np.cumsum(sizes + 2) - (sizes + 2)
+    is_first, is_last = np.zeros((2, len(found) + 2 * len(sizes)), bool)
+    is_first[text_first] = is_last[text_first + sizes + 1] = True
+    inner = ~(is_first | is_last)
+    pieces = np.zeros(len(inner), np.int64)
+    pieces[inner] = found
+    n = lengths[pieces]
+    piece_start = np.cumsum(n) - n
+    at = np.repeat(offsets[pieces] - piece_start, n) + np.arange(n.sum())
     starts = piece_start[text_first]
-    p, stop = scorer.model.probabilities(ranks.of[flat], starts)
-    log = np.log10(np.maximum(p, 1e-30)) + ranks.within[flat]
+    ending = np.zeros(len(at), bool)
+    ending[piece_start] = True
+    p, stop = scorer.model.probabilities(flat_ranks[at], starts, ending)
+    log = np.log10(np.maximum(p, 1e-30)) + flat_within[at]
     log[starts] = 0
-    log_stop = np.log10(np.clip(stop, 1e-30, 1))
+    log_stop = np.log10(np.clip(stop[piece_start], 1e-30, 1))
     # A word: its first subword given that a word begins, the others, and its ending where the next piece begins.
-    piece_log = np.add.reduceat(log, piece_start) - log_stop[piece_start]
-    following = np.r_[log_stop[piece_start[1:]], 0.0]
-    is_first = np.zeros(len(pieces), bool)
-    is_first[text_first] = True
-    is_last = np.zeros(len(pieces), bool)
-    is_last[text_first + sizes + 1] = True
-    piece_log += np.where(is_last, 0.0, following)
-    count = np.zeros(len(pieces))
-    count[~is_first & ~is_last] = hits
-    count[is_last] = scorer.texts
+    piece_log = np.add.reduceat(log, piece_start) - log_stop
+    piece_log += np.where(is_last, 0.0, np.r_[log_stop[1:], 0.0])
+    count = np.concatenate([scorer.counts, np.zeros(len(rare), np.int64)])[pieces]
     share = SHARE * count / max(1, scorer.n)
-    mixed = np.log10(share + (1 - SHARE) * 10 ** np.maximum(piece_log, -300)) if scorer.n else piece_log
-    # Beyond the range of a double the logarithm itself is the answer.
-    mixed = np.where(np.isfinite(mixed) & (piece_log > -290), mixed, np.where(share > 0, np.log10(np.maximum(share, 1e-300)), np.log10(1 - SHARE) + piece_log))
+    # Beyond the range of a double the larger part alone is the answer.
+    own = np.log10(1 - SHARE) + piece_log
+    mixed = np.where(piece_log > -290, np.log10(share + (1 - SHARE) * 10 ** np.maximum(piece_log, -300)), np.where(share > 0, np.log10(np.maximum(share, 1e-300)), own)) if scorer.n else piece_log
     mixed[is_first] = 0
-    base = np.where(is_first | ((count == 0) & ~is_last), 0.0, scorer.base(count))
+    is_rare = pieces >= n_known
+    base = np.where(is_first | is_rare, 0.0, scorer.base(count))
     known = (count > 0) & ~is_first
+
+    # Rare words by text.
+    text_of = np.repeat(np.arange(len(sizes)), sizes)
+    among = found >= n_known
+    keys, times = np.unique(text_of[among] * (len(rare) + 1) + found[among] - n_known, return_counts=True)
+    texts_of, which = np.divmod(keys, len(rare) + 1)
+    cuts = np.searchsorted(texts_of, np.arange(len(sizes) + 1))
     return (
         sizes + 1, np.add.reduceat(known.astype(np.int64), text_first), np.add.reduceat(base, text_first),
-        np.add.reduceat(mixed, text_first), rest,
+        np.add.reduceat(mixed, text_first), (cuts, [rare[k] for k in which.tolist()], times),
     )
 
 
 def _scored(sent, path: str):
-    rest_type = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))
+    rest_type = pa.struct([("word", pa.binary()), ("times", pa.int64())])
 
     def run(batches):
         scorer = sent.value
         ids = Remembered(lambda w: ids_of(w, path), 100_000)
         # Unique among the rows of this table, which is written before it is used.
         row = TaskContext.get().partitionId() << 40
-        for batch in slices(batches, 128):
-            tokens, known, base, score, rest = score_texts(scorer, batch.column(0).to_pylist(), ids)
+        for batch in slices(batches):
+            tokens, known, base, score, (cuts, words, times) = score_texts(scorer, batch.column(0).to_pylist(), ids)
             ids.turn()
             n = batch.num_rows
-            rest = pa.array([[{"word": w, "times": c} for w, c in r.items()] for r in rest], rest_type)
+            rest = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(times, pa.int64())], fields=list(rest_type))
+            rest = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), rest)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(row, row + n)), batch.column(1), pa.array(tokens), pa.array(known), pa.array(base), pa.array(score), rest],
                 ["row", "id", "n_tokens", "n_known", "base", "score", "rest"],
