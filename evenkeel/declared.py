@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.functions import (
@@ -31,11 +31,14 @@ from evenkeel.operators import (
     create_only,
     expand_children,
     fill_if_missing,
+    job_state,
     reconcile_plan,
     replace,
     resolve_refs,
+    stage_rollup,
 )
 from evenkeel.operators.changes import content_rules, owned_generic_rules
+from evenkeel.operators.jobs import DONE, FAILED, START
 from evenkeel.operators.rules import (
     Rule,
     items_match,
@@ -48,6 +51,7 @@ from evenkeel.operators.rules import (
     required_with,
     unique_items,
 )
+from evenkeel.session import stored
 
 _REF = "struct<name: string, key: string>"
 
@@ -247,13 +251,16 @@ def config_text():
     )
 
 
-def child_templates(app: str) -> list[Child]:
+def child_templates(app: str, step: Column | None = None) -> list[Child]:
     """The children of a resolved object, in the order of the stages.
 
     An object whose references failed gets no further than its admin secret. Payloads are the
-    configuration text, and JSON for the others.
+    configuration text, and JSON for the others. With ``step``, the next step of its job (see
+    ``job_state``), a job is there only to be started, and what comes after it only once it is done.
     """
     ok = F.col("error").isNull()
+    job = has_missing("spec.modules", "status.modules_installed") if step is None else step == START
+    done = F.lit(True) if step is None else step == DONE
     command = append_args("spec.command", "-c", f"/opt/{app}/{app}.conf")
     todo = array_minus("spec.modules", "status.modules_installed")
     install = append_args(command, "--stop-after-init", "--no-http", "--init", join_items(todo))
@@ -269,12 +276,12 @@ def child_templates(app: str) -> list[Child]:
         Child("secret", derived_name("name", "-config"), config_text(), when=ok),
         Child("volume", "name", F.to_json("spec.filestore"), when=ok),
         Child("job", derived_name("name", "-init"), as_json(command=install, modules=todo),
-              when=ok & has_missing("spec.modules", "status.modules_installed")),
+              when=ok & job),
         Child("workload", "name", as_json(
             replicas=F.col("spec.replicas"), image=F.col("spec.image"), pull=F.col("spec.image_pull_policy"), command=command,
-        ), when=ok),
-        Child("service", derived_name("name", "-http"), service(8069), when=ok),
-        Child("service", derived_name("name", "-poll"), service(8072), when=ok),
+        ), when=ok & done),
+        Child("service", derived_name("name", "-http"), service(8069), when=ok & done),
+        Child("service", derived_name("name", "-poll"), service(8072), when=ok & done),
     ]
 
 
@@ -306,3 +313,33 @@ def plan_children(desired: DataFrame, actual: DataFrame) -> DataFrame:
     config = derived_name("name", "-config")
     role = F.when(F.col("kind") != "secret", F.col("kind")).otherwise(F.when(F.col("child") == config, "config").otherwise("admin"))
     return reconcile_plan(desired.withColumn("role", role), actual, ["namespace", "name", "kind", "child"], POLICIES, ["payload"], "role")
+
+
+def whole_pass(
+    objects: DataFrame, secrets: DataFrame, jobs: DataFrame, actual: DataFrame, app: str
+) -> tuple[DataFrame, DataFrame]:
+    """(plan, outcomes) of one pass over all stages of all objects.
+
+    The plan is that of ``plan_children``, with nothing of a stage that an earlier one holds up. The
+    outcomes are those of ``stage_rollup`` over the stages references and job. An admin secret that
+    is made in this pass is read in the next one, until which the object fails its references.
+    ``jobs`` has (namespace, name, active, succeeded, failed). Objects with steps are written once,
+    as plan and outcomes both read them.
+    """
+    keys = ["namespace", "name"]
+    ready = prepared(objects, app)
+    steps = job_state(
+        ready, jobs, keys, "spec.modules", "status.modules_installed", "status.current_job.name",
+        "status.current_job.modules", job_namespace="status.current_job.namespace",
+    ).select(*keys, F.col("action").alias("step"), F.col("retry_after_s").alias("step_retry_s"))
+    found = stored(objects.sparkSession, resolved(ready, secrets).join(steps, keys), "pass")
+    desired = expand_children(found, child_templates(app, F.col("step")), keys)
+    held = F.col("step") != DONE
+    stages = F.array(
+        F.struct(F.lit(1).alias("ord"), F.lit("references").alias("stage"), F.col("error").isNull().alias("ok"), F.lit(False).alias("wait"),
+                 F.col("error").alias("reason"), F.lit(None).cast("int").alias("retry")),
+        F.struct(F.lit(2).alias("ord"), F.lit("job").alias("stage"), (F.col("step") != FAILED).alias("ok"), held.alias("wait"),
+                 F.col("step").alias("reason"), F.col("step_retry_s").alias("retry")),
+    )
+    outcomes = stage_rollup(found.select(*keys, F.inline(stages)), keys, wait="wait", reason="reason", retry_after_s="retry")
+    return plan_children(desired, actual), outcomes

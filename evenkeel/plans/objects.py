@@ -50,7 +50,13 @@ def declared_objects(spark, sf):
             "modules": F.split(F.concat_ws(" ", F.lit("base"), F.lower(status), F.lit("base")), " "),
             "filestore": {},
         },
-        "status": {"modules_installed": F.when(status != "O", F.array(F.lit("base"), F.lit("f")))},
+        "status": {
+            "modules_installed": F.when(status != "O", F.array(F.lit("base"), F.lit("f"))),
+            "current_job": {
+                "name": F.when(F.col("o_orderkey") % 2 == 0, K.derived_name(name, "-init")), "namespace": F.lit("default"),
+                "modules": F.array(F.lit("base")),
+            },
+        },
     }
     schema = T.StructType.fromDDL(declared.OBJECTS)
     return table(spark, sf, "orders").select(*[_typed(given[f.name], f.dataType).alias(f.name) for f in schema])
@@ -168,3 +174,49 @@ def _(spark, sf):
     events = table(spark, sf, "events")
     changes = change_feed(events).drop("kind").join(events.select("event_id", kind.alias("kind")), "event_id")
     return filter_changes(changes, declared.change_rules("Parent", "v1")).select("event_id", "kind", "op")
+
+
+def recorded_jobs(spark, sf):
+    """Jobs of every other object; a third each runs, has succeeded, has failed."""
+    key = F.col("o_orderkey")
+    return table(spark, sf, "orders").filter(key % 2 == 0).select(
+        F.lit("default").alias("namespace"), F.concat(F.lit("app-"), key, F.lit("-init")).alias("name"),
+        *((key % 6 == k).cast("int").alias(c) for k, c in ((0, "active"), (2, "succeeded"), (4, "failed"))),
+    )
+
+
+_STEP = """CASE o_orderkey % 6 WHEN 0 THEN 'WAIT' WHEN 2 THEN 'CLEAR' WHEN 4 THEN 'FAILED'
+           ELSE CASE WHEN o_orderstatus = 'F' THEN 'DONE' ELSE 'START' END END"""
+
+
+def _pass(spark, sf):
+    return declared.whole_pass(declared_objects(spark, sf), secrets(spark, sf), recorded_jobs(spark, sf), existing_children(spark, sf), APP)
+
+
+@query(
+    "declared_pass",
+    f"""SELECT 'app-' || o_orderkey AS name, kind,
+          CASE WHEN suffix IS NULL THEN 'c-' || o_custkey ELSE 'app-' || o_orderkey || suffix END AS child,
+          CASE WHEN o_orderdate >= TIMESTAMP '2001-01-01' OR kind = 'job' OR (suffix = '-config' AND o_orderkey % 2 = 1) THEN 'CREATE'
+               WHEN kind = 'workload' OR suffix = '-config' THEN 'UPDATE' ELSE 'NOOP' END AS action
+        FROM (SELECT *, {_STEP} AS step FROM {_JOINED}),
+             (VALUES ('secret', NULL), ('secret', '-config'), ('volume', ''), ('job', '-init'), ('workload', ''),
+                     ('service', '-http'), ('service', '-poll')) t(kind, suffix)
+        WHERE suffix IS NULL OR NOT {_FAILED} AND CASE WHEN kind = 'job' THEN step = 'START' WHEN kind IN ('workload', 'service') THEN step = 'DONE' ELSE true END""",
+)
+def _(spark, sf):
+    """What one pass over all stages does to the children of every object."""
+    return _pass(spark, sf)[0].select("name", "kind", "child", "action")
+
+
+@query(
+    "declared_outcomes",
+    f"""SELECT 'app-' || o_orderkey AS name,
+          CASE WHEN bad OR step = 'FAILED' THEN 'FAILED' WHEN step = 'DONE' THEN 'SUCCEEDED' ELSE 'WAITING' END AS outcome,
+          CASE WHEN bad THEN 'references' WHEN step <> 'DONE' THEN 'job' END AS stopped_stage,
+          CASE WHEN bad THEN 15 WHEN step = 'DONE' THEN NULL WHEN step IN ('START', 'CLEAR') THEN 30 ELSE 15 END AS retry_after_s
+        FROM (SELECT *, {_STEP} AS step, {_FAILED} AS bad FROM {_JOINED})""",
+)
+def _(spark, sf):
+    """Where each object's pass ended."""
+    return _pass(spark, sf)[1].select("name", "outcome", "stopped_stage", "retry_after_s")

@@ -164,3 +164,21 @@ def test_changed_secret_finds_its_objects(spark):
     changed = spark.createDataFrame([("default", "secret", "test-db-secret")], "namespace string, kind string, name string")
     found = O.affected_by(objects, changed, ["namespace", "name"], D.references(), "namespace")
     assert [tuple(r) for r in found.collect()] == [("default", "my-app")]
+
+
+def test_a_second_pass_changes_nothing(spark):
+    from evenkeel.plans import objects as P
+
+    sf = "/root/testdata/sf0.001"
+    keys = ["namespace", "name", "kind", "child"]
+    given = P.declared_objects(spark, sf), P.secrets(spark, sf), P.recorded_jobs(spark, sf)
+    actual = P.existing_children(spark, sf).select(*keys, "payload")
+    plan, outcomes = D.whole_pass(*given, actual, P.APP)
+    assert {r.action for r in plan.select("action").distinct().collect()} == {"CREATE", "UPDATE", "NOOP"}
+    running = outcomes.filter("reason = 'WAIT'").select("namespace", "name")
+    late = plan.filter("kind IN ('job', 'workload', 'service')")
+    assert running.count() > 10 and late.join(running, ["namespace", "name"], "left_semi").count() == 0
+    after = O.apply_plan(actual, plan, keys)
+    again, _ = D.whole_pass(*given, after, P.APP)
+    assert {r.action for r in again.select("action").distinct().collect()} == {"NOOP"}
+    assert again.count() == plan.count()
