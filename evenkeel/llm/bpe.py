@@ -147,7 +147,7 @@ class Pieces:
     """Ids of single words, by a Vocabulary. What is found for the first characters of a word is
     kept for other words that begin alike, up to a bounded number of beginnings."""
 
-    def __init__(self, vocabulary: Vocabulary, most_pairs: int = 1 << 18, most_heads: int = 1 << 17, deepest: int = 12):
+    def __init__(self, vocabulary: Vocabulary, most_pairs: int = 1 << 19, most_heads: int = 1 << 18, deepest: int = 12):
         self.v, self.most_pairs, self.most_heads, self.deepest = vocabulary, most_pairs, most_heads, deepest
         self.pairs: dict[int, bool] = {}
         self.forget()
@@ -255,7 +255,7 @@ class WordEncoder:
     assign yet may fall into words otherwise than in a library with newer tables.
     """
 
-    def __init__(self, vocabulary: Vocabulary, most_words: int = 150_000):
+    def __init__(self, vocabulary: Vocabulary, most_words: int = 400_000):
         self.pieces = Pieces(vocabulary)
         self.words = Remembered(lambda word: array("I", self.pieces.encode(word.encode())).tobytes(), most_words // 2)
         self.chunks = Remembered(self.chunk, most_words)
