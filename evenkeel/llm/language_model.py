@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from evenkeel.llm.attention import WINDOW, Model, bigram_experts, kinds_of_text
 from evenkeel.llm.bpe import Remembered, slices
@@ -135,7 +135,7 @@ def histograms_of(rows: list[np.ndarray]) -> np.ndarray:
     return np.array([np.bincount(r[r >= 0], minlength=RANKS + 1) for r in rows], float).reshape(-1, RANKS + 1)
 
 
-def _pairs(ranks: Ranks, unigrams: np.ndarray, ends: float, path: str):
+def _pairs(ranks: Ranks, unigrams: np.ndarray, path: str):
     """Bigram counts of the passages by kind of text, as rows (kind, previous, next, n)."""
 
     def run(batches):
@@ -237,7 +237,7 @@ def fit(training: DataFrame, path: str) -> tuple[DataFrame, Scorer]:
 
     sample = [bytes(r.word) for r in passages.orderBy(F.xxhash64("word")).limit(SAMPLE).collect()]
     unigrams = kinds_of_text(histograms_of([ranks.of[subwords(path).encode_ordinary(" " + p.decode())] for p in sample]), KINDS)
-    pairs = passages.mapInArrow(_pairs(ranks, unigrams, 0.0, path), "kind int, previous int, next int, n double")
+    pairs = passages.mapInArrow(_pairs(ranks, unigrams, path), "kind int, previous int, next int, n double")
     table = pairs.groupBy("kind", "previous", "next").agg(F.sum("n").alias("n")).toArrow()  # a row per pair of ranks at most
     bigrams = np.zeros((KINDS, RANKS + 1, RANKS + 1))
     bigrams[tuple(table.column(c).to_numpy() for c in range(3))] = table.column(3).to_numpy()
@@ -248,7 +248,6 @@ def fit(training: DataFrame, path: str) -> tuple[DataFrame, Scorer]:
     after = bigrams[:, :, by_rank].sum(axis=2)
     bigrams[:, :, ranks.end] = after * texts / max(1, total)
     firsts = bigrams[:, :, by_rank].sum(axis=1)
-    bigrams[:, ranks.end, :][:, by_rank] = firsts
     bigrams[:, ranks.end, by_rank] = firsts
     model = Model.start(unigrams, bigram_experts(bigrams))
 

@@ -44,10 +44,12 @@ def rates(docs: DataFrame, weights: Mapping[str, float] | None = None, total: fl
     else:
         known = F.create_map(*(F.lit(x) for pair in weights.items() for x in pair)) if weights else F.lit(None).cast("map<string,double>")
         weight = F.floor(F.coalesce(known[F.col("source")], F.lit(0.0)) * 1e6)
-    weighted = sizes.withColumn("weight", weight)
-    sums = weighted.agg(F.sum("n").alias("all_n"), F.sum("weight").alias("all_weight"))  # one row
-    rate = F.lit(float(total)) * F.try_divide(F.col("weight").cast("double"), F.col("all_weight").cast("double")) * (F.col("all_n").cast("double") / F.col("n"))
-    return weighted.join(F.broadcast(sums)).select("source", "n", F.coalesce(rate, F.lit(0.0)).alias("rate"))
+    weighted = stored(docs.sparkSession, sizes.withColumn("weight", weight), "sizes")
+    all_n, all_weight = weighted.agg(F.sum("n"), F.sum("weight")).first()  # two numbers
+    if not all_weight:
+        return weighted.select("source", "n", F.lit(0.0).alias("rate"))
+    rate = F.lit(float(total)) * (F.col("weight").cast("double") / F.lit(float(all_weight))) * (F.lit(float(all_n)) / F.col("n"))
+    return weighted.select("source", "n", rate.alias("rate"))
 
 
 def poisson_steps(rate: Column) -> Column:
