@@ -9,6 +9,7 @@ on at once, and no softmax over the vocabulary is needed, as the tables are norm
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +19,12 @@ WIDTH = 8  # of queries and keys
 RATE, BATCH = 0.05, 64
 
 
+def sums_by(x: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """[n, w]: the rows of values [.., w] summed by their places x [..]."""
+    flat, columns = x.ravel(), values.reshape(x.size, -1).T
+    return np.stack([np.bincount(flat, c, n) for c in columns], axis=1)
+
+
 @dataclass
 class Model:
     """Tables by subword rank; ``experts[previous, next, k]`` are probabilities."""
@@ -72,22 +79,28 @@ class Model:
         v = self.values[x]
         da = np.matmul(dz, v.transpose(0, 2, 1))
         ds = a * (da - (a * da).sum(axis=2, keepdims=True))
-        out = [np.zeros_like(t) for t in self.trained]
-        np.add.at(out[0], x, np.matmul(ds, self.keys[x]))
-        np.add.at(out[1], x, np.matmul(ds.transpose(0, 2, 1), self.queries[x]))
-        np.add.at(out[2], x, np.matmul(a.transpose(0, 2, 1), dz))
+        near = np.zeros_like(self.near)
+        by_distance = ds.sum(axis=0)
         for d in range(x.shape[1]):
-            out[3][d] = np.trace(ds.sum(axis=0), offset=-d)
-        out[4] = dz.sum(axis=(0, 1))
+            near[d] = np.trace(by_distance, offset=-d)
+        out = [
+            sums_by(x, np.matmul(ds, self.keys[x]), len(self.queries)),
+            sums_by(x, np.matmul(ds.transpose(0, 2, 1), self.queries[x]), len(self.keys)),
+            sums_by(x, np.matmul(a.transpose(0, 2, 1), dz), len(self.values)),
+            near, dz.sum(axis=(0, 1)),
+        ]
         return out, float((np.log(np.maximum(total[:, :, 0], 1e-30)) * scored).sum())
 
     def train(self, sequences: np.ndarray, rate: float = RATE) -> Model:
         """One pass of Adagrad over sequences [n, WINDOW + 1] of ranks; -1 is padding."""
+        return self.train_on([sequences], rate)
+
+    def train_on(self, chunks: Iterable[np.ndarray], rate: float = RATE) -> Model:
+        """As ``train``, over sequences that come in several arrays, one after the other."""
         model = self.with_trained([t.copy() for t in self.trained])
         seen = [np.full_like(t, 1e-2) for t in model.trained]
-        for at in range(0, len(sequences), BATCH):
-            part = sequences[at : at + BATCH]
-            x, y = np.maximum(part[:, :-1], 0), np.maximum(part[:, 1:], 0)
+        for part in (chunk[at : at + BATCH] for chunk in chunks for at in range(0, len(chunk), BATCH)):
+            x, y = np.maximum(part[:, :-1], 0).astype(np.intp), np.maximum(part[:, 1:], 0).astype(np.intp)
             gradients, _ = model.gradients(x, y, (part[:, 1:] >= 0).astype(np.float32))
             for value, total, g in zip(model.trained, seen, gradients):
                 g /= BATCH

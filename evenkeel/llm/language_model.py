@@ -1,9 +1,11 @@
 """Scoring texts by a language model that is trained here.
 
 A text is lower-cased words and one end. What is gathered from the training texts grows with them:
-how often each word occurs, and a passage of each text. From these come: the frequent words with
-their shares (a bounded dictionary), the subwords that get a rank of their own, bigram tables for
-several kinds of text, and an attention model that weighs these (see attention.py).
+how often each word occurs, and every text as passages of subword ranks that follow each other.
+From these come: the frequent words with their shares (a bounded dictionary), the subwords that
+get a rank of their own, bigram tables for several kinds of text, and an attention model that
+weighs these (see attention.py). Every subword of every text is in one passage, and is counted and
+trained on there, given the one before it.
 
 The probability of a word is a mixture of its share among the frequent words and of the attention
 model's probability of its subwords and of the word's ending there. The base score needs the count
@@ -31,7 +33,7 @@ from evenkeel.session import ship_package, stored
 FREQUENT, LONGEST = 200_000, 64  # dictionary: at most so many words of at most so many bytes
 RANKS = 1024  # subwords with a rank of their own; the rest share one more
 KINDS = 6  # kinds of text
-PASSAGE = 48  # words of each training text that train the attention
+PASSAGE = 2 * WINDOW  # subwords of a passage, besides the one before it
 SAMPLE = 3000  # passages from which the kinds of text are found
 SHARE = 0.5  # of the dictionary in a word's probability
 WHOLE_WORDS = 400_000  # distinct words that a task counts before it passes them on
@@ -63,7 +65,7 @@ def ids_of(word: bytes, path: str) -> bytes:
 
 
 def _gathered(batches):
-    """(word, n) of the texts, and a passage of each text as a row with n = 0."""
+    """(word, n) of the texts."""
     counts: Counter[bytes] = Counter()
 
     def out():
@@ -71,15 +73,8 @@ def _gathered(batches):
         counts.clear()
 
     for batch in slices(batches):
-        passages = []
         for text in batch.column(0).to_pylist():
-            words = words_of(text)
-            counts.update(words)
-            if words:
-                # Any place will do if it doesn't depend on anything but the text.
-                at = (len(words) * 2654435761) % max(1, len(words) - PASSAGE + 1)
-                passages.append(b" ".join(words[at : at + PASSAGE]))
-        yield pa.RecordBatch.from_arrays([pa.array(passages, pa.binary()), pa.array([0] * len(passages), pa.int64())], ["word", "n"])
+            counts.update(words_of(text))
         if len(counts) > WHOLE_WORDS:
             yield from out()
     yield from out()
@@ -119,49 +114,86 @@ class Ranks:
         self.within[rare] = np.log10((counts[rare] + 1) / (counts[rare].sum() + len(rare)))
 
 
-def sequences_of(passages: list[bytes], ranks: Ranks, path: str) -> np.ndarray:
-    """Passages as rows of WINDOW + 1 ranks; -1 fills the last one up."""
-    out = []
-    for words in passages:
-        r = ranks.of[subwords(path).encode_ordinary(" " + words.decode())]
-        rows = -(-max(1, len(r) - 1) // WINDOW)
-        padded = np.full(rows * WINDOW + 1, -1)
-        padded[: len(r)] = r
-        out.append(np.lib.stride_tricks.sliding_window_view(padded, WINDOW + 1)[::WINDOW])
-    return np.concatenate(out) if out else np.empty((0, WINDOW + 1), int)
+def _passages(sent, path: str):
+    """The passages of whole texts, as little-endian 16-bit ranks: a text is laid out as in
+    scoring, between two ends, and each passage begins with the last rank of the one before it."""
+
+    def run(batches):
+        ranks = sent.value
+        ids = Remembered(lambda w: ids_of(w, path), 100_000)
+        end = np.array([ranks.end], "<u2")
+        of = ranks.of.astype("<u2")
+        for batch in slices(batches):
+            out = []
+            for text in batch.column(0).to_pylist():
+                flat = np.frombuffer(b"".join([ids[w] for w in words_of(text)]), np.uint16)
+                r = np.concatenate([end, of[flat], end]).tobytes()
+                out += [r[at : at + 2 * PASSAGE + 2] for at in range(0, len(r) - 2, 2 * PASSAGE)]
+                ids.turn()
+                if len(out) > 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["ranks"])
+                    out = []
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["ranks"])
+
+    return run
+
+
+def rows_of(passages: list[bytes]) -> np.ndarray:
+    """Passages as rows of PASSAGE + 1 ranks; -1 fills the last ones of a text up."""
+    lengths = np.array([len(p) // 2 for p in passages], np.int64)
+    out = np.full((len(passages), PASSAGE + 1), -1, np.int16)
+    out[np.arange(PASSAGE + 1) < lengths[:, None]] = np.frombuffer(b"".join(passages), "<u2")
+    return out
 
 
-def histograms_of(rows: list[np.ndarray]) -> np.ndarray:
-    return np.array([np.bincount(r[r >= 0], minlength=RANKS + 1) for r in rows], float).reshape(-1, RANKS + 1)
+def windows_of(rows: np.ndarray) -> np.ndarray:
+    """The rows' windows of WINDOW + 1 ranks, without those that score nothing."""
+    out = np.stack([rows[:, at : at + WINDOW + 1] for at in range(0, PASSAGE, WINDOW)], axis=1).reshape(-1, WINDOW + 1)
+    return out[out[:, 1] >= 0]
 
 
-def _pairs(ranks: Ranks, unigrams: np.ndarray, path: str):
+def histograms_of(rows: np.ndarray) -> np.ndarray:
+    return np.array([np.bincount(r[r >= 0], minlength=RANKS + 1) for r in rows[:, 1:]], float).reshape(-1, RANKS + 1)
+
+
+def _with_zero(log: np.ndarray) -> np.ndarray:
+    """[rank, k] with zeros at -1, from [k, rank]."""
+    return np.concatenate([log.T, np.zeros((1, len(log)))])
+
+
+def _pairs(sent):
     """Bigram counts of the passages by kind of text, as rows (kind, previous, next, n)."""
 
     def run(batches):
-        total = np.zeros((KINDS, RANKS + 1, RANKS + 1), np.float32)
-        log = np.log(unigrams).T
-        for batch in slices(batches):
-            for passage in batch.column(0).to_pylist():
-                r = ranks.of[subwords(path).encode_ordinary(" " + passage.decode())]
-                kind = int(np.argmax(log[r].sum(axis=0)))
-                np.add.at(total[kind], (r[:-1], r[1:]), 1)
-        k, a, b = np.nonzero(total)
+        total = np.zeros(KINDS * (RANKS + 1) ** 2)
+        log = _with_zero(np.log(sent.value))
+        for batch in slices(batches, 1024):
+            rows = rows_of(batch.column(0).to_pylist()).astype(np.int64)
+            kind = np.argmax(log[rows[:, 1:]].sum(axis=1), axis=1)
+            pair = (kind[:, None] * (RANKS + 1) + rows[:, :-1]) * (RANKS + 1) + rows[:, 1:]
+            np.add.at(total, pair[rows[:, 1:] >= 0], 1.0)
+        k, a, b = np.nonzero(total := total.reshape(KINDS, RANKS + 1, RANKS + 1))
         arrays = [pa.array(k, pa.int32()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(total[k, a, b], pa.float64())]
         yield pa.RecordBatch.from_arrays(arrays, ["kind", "previous", "next", "n"])
 
     return run
 
 
-def _trained(sent, path: str):
-    """The attention parameters after a pass over a task's passages, as rows (place, value, weight)."""
+def _trained(sent):
+    """The attention parameters after a pass over all of a task's passages, as rows (place, value, weight)."""
 
     def run(batches):
-        ranks, model = sent.value
-        sequences = [sequences_of(b.column(0).to_pylist(), ranks, path) for b in slices(batches)]
-        n = sum(map(len, sequences))
+        n = 0
+
+        def windows():
+            nonlocal n
+            for batch in slices(batches, 1024):
+                found = windows_of(rows_of(batch.column(0).to_pylist()))
+                n += len(found)
+                yield found
+
+        flat = np.concatenate([t.ravel() for t in sent.value.train_on(windows()).trained]).astype(float)
         if n:
-            flat = np.concatenate([t.ravel() for t in model.train(np.concatenate(sequences)).trained]).astype(float)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat * n), pa.array(np.full(len(flat), float(n)))], ["place", "value", "weight"])
 
     return run
@@ -212,10 +244,8 @@ def fit(training: DataFrame, path: str) -> tuple[DataFrame, Scorer]:
     spark = training.sparkSession
     ship_package(spark)
     texts = training.count()
-    gathered = stored(spark, training.mapInArrow(_gathered, "word binary, n long"), "gathered")
-    counts = gathered.filter("n > 0").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = training.mapInArrow(_gathered, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = stored(spark, counts.mapInArrow(_with_ids(path), "word binary, n long, ids binary"), "words")
-    passages = gathered.filter("n = 0").select("word")
 
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     # The least count of a frequent word: counts are tallied in half octaves, of which there are few.
@@ -235,24 +265,18 @@ def fit(training: DataFrame, path: str) -> tuple[DataFrame, Scorer]:
         id_counts[row.id] = row.n  # at most a row per subword
     ranks = Ranks(id_counts)
 
-    sample = [bytes(r.word) for r in passages.orderBy(F.xxhash64("word")).limit(SAMPLE).collect()]
-    unigrams = kinds_of_text(histograms_of([ranks.of[subwords(path).encode_ordinary(" " + p.decode())] for p in sample]), KINDS)
-    pairs = passages.mapInArrow(_pairs(ranks, unigrams, path), "kind int, previous int, next int, n double")
+    passages = stored(spark, training.mapInArrow(_passages(spark.sparkContext.broadcast(ranks), path), "ranks binary"), "passages")
+    sample = [bytes(r.ranks) for r in passages.orderBy(F.xxhash64("ranks")).limit(SAMPLE).collect()]
+    unigrams = kinds_of_text(histograms_of(rows_of(sample)), KINDS)
+    pairs = passages.mapInArrow(_pairs(spark.sparkContext.broadcast(unigrams)), "kind int, previous int, next int, n double")
     table = pairs.groupBy("kind", "previous", "next").agg(F.sum("n").alias("n")).toArrow()  # a row per pair of ranks at most
     bigrams = np.zeros((KINDS, RANKS + 1, RANKS + 1))
     bigrams[tuple(table.column(c).to_numpy() for c in range(3))] = table.column(3).to_numpy()
-    # Passages stop anywhere; texts end as often as words are followed by an end.
-    starts = begins_word(path)
     by_rank = np.zeros(RANKS + 1, bool)
-    by_rank[ranks.of] = starts  # all ids of a rank agree but for those that share the last one
-    after = bigrams[:, :, by_rank].sum(axis=2)
-    bigrams[:, :, ranks.end] = after * texts / max(1, total)
-    firsts = bigrams[:, :, by_rank].sum(axis=1)
-    bigrams[:, ranks.end, by_rank] = firsts
+    by_rank[ranks.of] = begins_word(path)  # all ids of a rank agree but for those that share the last one
     model = Model.start(unigrams, bigram_experts(bigrams))
 
-    sent = spark.sparkContext.broadcast((ranks, model))
-    rows = passages.mapInArrow(_trained(sent, path), "place int, value double, weight double")
+    rows = passages.mapInArrow(_trained(spark.sparkContext.broadcast(model)), "place int, value double, weight double")
     mean = rows.groupBy("place").agg((F.sum("value") / F.sum("weight")).alias("value")).toArrow()  # a row per parameter
     if mean.num_rows:
         flat = np.empty(mean.num_rows)

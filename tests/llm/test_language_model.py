@@ -114,3 +114,30 @@ def test_edges(spark):
     assert sorted(((r.doc_id, r.n_tokens) for r in out), key=repr) == sorted([(1, 1), (1, 1), (None, 3), (3, 2), (4, 1), (5, 4)], key=repr)
     assert all(np.isfinite([r.score, r.base_score]).all() and r.score <= 0 for r in out)
     assert lm.language_scores(docs.limit(0), PATH).count() == 0
+
+
+def test_every_subword_of_every_text_is_learned_from(spark):
+    texts = [" ".join(f"w{i * k % 97} and" for i in range(n)) for k, n in [(1, 3), (5, 400), (7, 5000)]] + ["", None]
+    counts, scorer = lm.fit(spark.createDataFrame([(t,) for t in texts], "text string"), PATH)
+    # Spark runs the same functions here, so what they see is counted.
+    passages = [bytes(r.ranks) for r in spark.createDataFrame([(t,) for t in texts], "text string").mapInArrow(lm._passages(spark.sparkContext.broadcast(scorer.ranks), PATH), "ranks binary").collect()]
+    rows = lm.rows_of(passages)
+    laid = [[scorer.ranks.end_id, *(i for w in lm.words_of(t) for i in np.frombuffer(lm.ids_of(w, PATH), np.uint16)), scorer.ranks.end_id] for t in texts]
+    want = Counter(p for s in laid for p in zip(scorer.ranks.of[s].tolist(), scorer.ranks.of[s][1:].tolist()))
+    for found in (rows, lm.windows_of(rows)):
+        assert Counter(zip(found[:, :-1][found[:, 1:] >= 0].tolist(), found[:, 1:][found[:, 1:] >= 0].tolist())) == want
+    out = spark.createDataFrame([(p,) for p in passages], "ranks binary").mapInArrow(
+        lm._pairs(spark.sparkContext.broadcast(np.full((lm.KINDS, lm.RANKS + 1), 1 / lm.RANKS))), "kind int, previous int, next int, n double"
+    ).collect()
+    total = Counter()
+    for r in out:
+        total[r.previous, r.next] += r.n
+    assert total == want
+
+
+def test_pairs_anywhere_in_a_long_text_are_known(spark):
+    words = [w for w in (f"{a}{b}" for a in "bcdfghklmnprst" for b in "aeiou") if len(lm.ids_of(w.encode(), PATH)) == 2][:40]
+    text = " ".join(f"{a} {b}" for a, b in zip(words[::2], words[1::2]) for _ in range(60))
+    _, scorer = lm.fit(spark.createDataFrame([(text,)], "text string"), PATH)
+    rank = [int(scorer.ranks.of[np.frombuffer(lm.ids_of(w.encode(), PATH), np.uint16)[0]]) for w in words]
+    assert len(rank) > 20 and all(scorer.model.experts[a, b].max() > 0.5 for a, b in zip(rank[::2], rank[1::2]))
