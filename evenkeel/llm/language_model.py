@@ -2,15 +2,16 @@
 
 A text is lower-cased words and one end. What is gathered from the training texts grows with them:
 how often each word occurs, and every text as passages of subword ranks that follow each other.
-From these come: the frequent words with their shares (a bounded dictionary), the subwords that
+From these come: the frequent words with their counts (a bounded dictionary), the subwords that
 get a rank of their own, bigram tables for several kinds of text, and an attention model that
 weighs these (see attention.py). Every subword of every text is in one passage, and is counted and
 trained on there, given the one before it.
 
-The probability of a word is a mixture of its share among the frequent words and of the attention
-model's probability of its subwords and of the word's ending there. The base score needs the count
-of every word: frequent words are looked up in the dictionary, all others are joined with the
-table of counts, so neither the dictionary nor a join's hot keys grow with the corpus.
+The probability of a word is a mixture of its share among all words and of the attention
+model's probability of its subwords and of the word's ending there. Both scores need the count of
+every word: frequent words are looked up in the dictionary, all others are joined with the table of
+counts and mixed there, so neither the dictionary nor a join's hot keys grow with the corpus, and
+no score depends on what the dictionary holds.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ RANKS = 1024  # subwords with a rank of their own; the rest share one more
 KINDS = 6  # kinds of text
 PASSAGE = 2 * WINDOW  # subwords of a passage, besides the one before it
 SAMPLE = 3000  # passages from which the kinds of text are found
-SHARE = 0.5  # of the dictionary in a word's probability
+SHARE = 0.5  # of the words' own shares in a word's probability
 WHOLE_WORDS = 400_000  # distinct words that a task counts before it passes them on
 
 
@@ -290,8 +291,8 @@ def fit(training: DataFrame, path: str) -> tuple[DataFrame, Scorer]:
 
 
 def score_texts(scorer: Scorer, texts: list[str | None], ids: Remembered):
-    """Per text: words and end, known ones of them by the dictionary, base score of those, score,
-    and the other words with their counts (offsets, words, counts)."""
+    """Per text: words and end, known ones of them by the dictionary, base score and score of those,
+    and the other words with the attention's log probabilities (offsets, words, logs)."""
     ranks, places = scorer.ranks, scorer.places
     places.begin()
     found, sizes = [], []
@@ -336,25 +337,31 @@ def score_texts(scorer: Scorer, texts: list[str | None], ids: Remembered):
     # Beyond the range of a double the larger part alone is the answer.
     own = np.log10(1 - SHARE) + piece_log
     mixed = np.where(piece_log > -290, np.log10(share + (1 - SHARE) * 10 ** np.maximum(piece_log, -300)), np.where(share > 0, np.log10(np.maximum(share, 1e-300)), own)) if scorer.n else piece_log
-    mixed[is_first] = 0
     is_rare = pieces >= n_known
+    mixed[is_first | is_rare] = 0
     base = np.where(is_first | is_rare, 0.0, scorer.base(count))
     known = (count > 0) & ~is_first
 
-    # Rare words by text.
-    text_of = np.repeat(np.arange(len(sizes)), sizes)
+    # Rare words by text, each as often as it occurs.
     among = found >= n_known
-    keys, times = np.unique(text_of[among] * (len(rare) + 1) + found[among] - n_known, return_counts=True)
-    texts_of, which = np.divmod(keys, len(rare) + 1)
-    cuts = np.searchsorted(texts_of, np.arange(len(sizes) + 1))
+    cuts = np.r_[0, np.cumsum(among)][np.r_[0, np.cumsum(sizes)]]
     return (
         sizes + 1, np.add.reduceat(known.astype(np.int64), text_first), np.add.reduceat(base, text_first),
-        np.add.reduceat(mixed, text_first), (cuts, [rare[k] for k in which.tolist()], times),
+        np.add.reduceat(mixed, text_first), (cuts, [rare[k] for k in (found[among] - n_known).tolist()], piece_log[inner][among]),
     )
 
 
+def mixture(n: Column, log: Column, total: int) -> Column:
+    """As in ``score_texts``: log probability of a word with its count and the attention's one."""
+    if not total:
+        return log
+    share = SHARE * n / F.lit(float(total))
+    alone = F.when(share > 0, F.log10(F.greatest(share, F.lit(1e-300)))).otherwise(float(np.log10(1 - SHARE)) + log)
+    return F.when(log > -290, F.log10(share + (1 - SHARE) * F.pow(F.lit(10.0), F.greatest(log, F.lit(-300.0))))).otherwise(alone)
+
+
 def _scored(sent, path: str):
-    rest_type = pa.struct([("word", pa.binary()), ("times", pa.int64())])
+    rest_type = pa.struct([("word", pa.binary()), ("log", pa.float64())])
 
     def run(batches):
         scorer = sent.value
@@ -362,10 +369,10 @@ def _scored(sent, path: str):
         # Unique among the rows of this table, which is written before it is used.
         row = TaskContext.get().partitionId() << 40
         for batch in slices(batches):
-            tokens, known, base, score, (cuts, words, times) = score_texts(scorer, batch.column(0).to_pylist(), ids)
+            tokens, known, base, score, (cuts, words, logs) = score_texts(scorer, batch.column(0).to_pylist(), ids)
             ids.turn()
             n = batch.num_rows
-            rest = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(times, pa.int64())], fields=list(rest_type))
+            rest = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(logs, pa.float64())], fields=list(rest_type))
             rest = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), rest)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(row, row + n)), batch.column(1), pa.array(tokens), pa.array(known), pa.array(base), pa.array(score), rest],
@@ -391,20 +398,24 @@ def language_scores(
     counts, scorer = fit(rows.filter(~out if train is None else train).select("text"), path)
     sent = spark.sparkContext.broadcast(scorer)
     kind = rows.schema["id"].dataType.simpleString()
-    schema = f"row long, id {kind}, n_tokens long, n_known long, base double, score double, rest array<struct<word:binary,times:long>>"
+    schema = f"row long, id {kind}, n_tokens long, n_known long, base double, score double, rest array<struct<word:binary,log:double>>"
     found = stored(spark, rows.mapInArrow(_scored(sent, path), schema), "scored")
-    rare = found.select("row", F.explode("rest").alias("r")).select("row", "r.word", "r.times")
+    rare = found.select("row", F.explode("rest").alias("r")).select("row", "r.word", F.col("r.log").alias("log"))
     c = F.coalesce("n", F.lit(0))
-    log = F.log10((c + 1) / F.lit(float(scorer.n + scorer.distinct + 1)))
+    base = F.log10((c + 1) / F.lit(float(scorer.n + scorer.distinct + 1)))
     added = (
         rare.join(counts, "word", "left")
         .groupBy("row")
-        .agg(F.sum(F.col("times") * log).alias("more"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more_known"))
+        .agg(
+            F.sum(base).alias("more"), F.count_if(c > 0).alias("more_known"),
+            F.sum(mixture(c, F.col("log"), scorer.n)).alias("more_score"),
+        )
     )
     narrow = found.select("row", "id", "n_tokens", "n_known", "base", "score")
     return narrow.join(added, "row", "left").select(
         F.col("id").alias(id_col), out.alias("held_out"), "n_tokens",
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(scorer.n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score",
+        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
+        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
     )

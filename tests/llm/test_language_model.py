@@ -141,3 +141,17 @@ def test_pairs_anywhere_in_a_long_text_are_known(spark):
     _, scorer = lm.fit(spark.createDataFrame([(text,)], "text string"), PATH)
     rank = [int(scorer.ranks.of[np.frombuffer(lm.ids_of(w.encode(), PATH), np.uint16)[0]]) for w in words]
     assert len(rank) > 20 and all(scorer.model.experts[a, b].max() > 0.5 for a, b in zip(rank[::2], rank[1::2]))
+
+
+@pytest.mark.parametrize("held", [0, 30])
+def test_scores_do_not_depend_on_the_dictionary(spark, monkeypatch, held):
+    rng = np.random.default_rng(8)
+    texts = [(i, " ".join(f"w{int(k)}" for k in rng.zipf(1.4, 60) % 500)) for i in range(60)]
+    docs = spark.createDataFrame([*texts, (60, "x" * 70 + " never seen"), (61, "")], "doc_id long, text string")
+    want = {r.doc_id: r for r in lm.language_scores(docs, PATH).collect()}
+    monkeypatch.setattr(lm, "FREQUENT", held)
+    found = {r.doc_id: r for r in lm.language_scores(docs, PATH).collect()}
+    assert found.keys() == want.keys()
+    for d, r in found.items():
+        assert tuple(r)[:5] == tuple(want[d])[:5] and r.base_score == pytest.approx(want[d].base_score, rel=1e-9)
+        assert r.score == pytest.approx(want[d].score, rel=1e-5)
