@@ -35,7 +35,8 @@ FREQUENT, LONGEST = 200_000, 64  # dictionary: at most so many words of at most
 RANKS = 1024  # subwords with a rank of their own; the rest share one more
 KINDS = 6  # kinds of text
 PASSAGE = 2 * WINDOW  # subwords of a passage, besides the one before it
-SAMPLE = 3000  # passages from which the kinds of text are found
+SAMPLE = 3000  # different passages from which the rounds that find the kinds of text start
+ROUNDS, GAIN = 25, 1e-4  # such rounds over all passages at most, and the relative gain of one that ends them
 SHARE = 0.5  # of the words' own shares in a word's probability
 WHOLE_WORDS = 400_000  # distinct words that a task counts before it passes them on
 
@@ -162,6 +163,70 @@ def _with_zero(log: np.ndarray) -> np.ndarray:
     return np.concatenate([log.T, np.zeros((1, len(log)))])
 
 
+def _least(batches):
+    """The SAMPLE different passages of the least hashes (columns ranks, h)."""
+    kept: dict[int, bytes] = {}
+    for batch in batches:
+        kept.update(zip(batch.column(1).to_pylist(), batch.column(0).to_pylist()))
+        kept = {h: kept[h] for h in sorted(kept)[:SAMPLE]}
+    yield pa.RecordBatch.from_arrays([pa.array(list(kept.values()), pa.binary()), pa.array(list(kept), pa.int64())], ["ranks", "h"])
+
+
+def _kind_sums(sent):
+    """A round over a task's passages, as rows (kind, rank, n): subwords by kind; at rank -1 the
+    passages by kind, at kind -1 the log likelihood."""
+
+    def run(batches):
+        unigrams, weights = sent.value
+        log, prior = _with_zero(np.log(unigrams)), np.log(weights)
+        total, passages, likelihood = np.zeros((KINDS, RANKS + 1)), np.zeros(KINDS), 0.0
+        for batch in slices(batches, 1024):
+            rows = rows_of(batch.column(0).to_pylist())[:, 1:].astype(np.int64)
+            share = log[rows].sum(axis=1) + prior
+            top = share.max(axis=1, keepdims=True)
+            share = np.exp(share - top)
+            sums = share.sum(axis=1, keepdims=True)
+            share /= sums
+            passages += share.sum(axis=0)
+            likelihood += float((top + np.log(sums)).sum())
+            scored = rows >= 0
+            flat, of = rows[scored], np.repeat(np.arange(len(rows)), scored.sum(axis=1))
+            for k in range(KINDS):
+                total[k] += np.bincount(flat, share[of, k], RANKS + 1)
+        k, r = np.nonzero(total)
+        arrays = [np.r_[k, range(KINDS), -1], np.r_[r, [-1] * (KINDS + 1)], np.r_[total[k, r], passages, likelihood]]
+        yield pa.RecordBatch.from_arrays([pa.array(a, t) for a, t in zip(arrays, [pa.int32(), pa.int32(), pa.float64()])], ["kind", "rank", "n"])
+
+    return run
+
+
+def kinds_of_all(passages: DataFrame) -> np.ndarray:
+    """[kind, rank]: as ``kinds_of_text``, which only gives the start, but fitted to all passages."""
+    spark = passages.sparkSession
+    least = passages.select("ranks", F.xxhash64("ranks").alias("h")).mapInArrow(_least, "ranks binary, h long")
+    sample = [bytes(r.ranks) for r in least.distinct().orderBy("h").limit(SAMPLE).collect()]
+    unigrams, weights, before = kinds_of_text(histograms_of(rows_of(sample)), KINDS), np.full(KINDS, 1 / KINDS), -np.inf
+    for _ in range(ROUNDS):
+        sent = spark.sparkContext.broadcast((unigrams, weights))
+        sums = passages.mapInArrow(_kind_sums(sent), "kind int, rank int, n double")
+        table = sums.groupBy("kind", "rank").agg(F.sum("n").alias("n")).toArrow()  # a row per kind and rank at most
+        sent.unpersist()
+        kind, rank, n = (table.column(c).to_numpy() for c in range(3))
+        counts = np.zeros((KINDS, RANKS + 1))
+        counts[kind[rank >= 0], rank[rank >= 0]] = n[rank >= 0]
+        number = np.zeros(KINDS)
+        number[kind[(rank < 0) & (kind >= 0)]] = n[(rank < 0) & (kind >= 0)]
+        likelihood = float(n[kind < 0].sum())
+        if not number.any() or likelihood - before < GAIN * abs(likelihood):
+            break
+        before = likelihood
+        smooth = counts.sum(axis=0) + 1.0
+        weights = (number + 1) / (number.sum() + KINDS)
+        unigrams = counts + 5 * smooth / smooth.sum()
+        unigrams /= unigrams.sum(axis=1, keepdims=True)
+    return unigrams
+
+
 def _pairs(sent):
     """Bigram counts of the passages by kind of text, as rows (kind, previous, next, n)."""
 
@@ -267,8 +332,7 @@ def fit(training: DataFrame, path: str) -> tuple[DataFrame, Scorer]:
     ranks = Ranks(id_counts)
 
     passages = stored(spark, training.mapInArrow(_passages(spark.sparkContext.broadcast(ranks), path), "ranks binary"), "passages")
-    sample = [bytes(r.ranks) for r in passages.orderBy(F.xxhash64("ranks")).limit(SAMPLE).collect()]
-    unigrams = kinds_of_text(histograms_of(rows_of(sample)), KINDS)
+    unigrams = kinds_of_all(passages)
     pairs = passages.mapInArrow(_pairs(spark.sparkContext.broadcast(unigrams)), "kind int, previous int, next int, n double")
     table = pairs.groupBy("kind", "previous", "next").agg(F.sum("n").alias("n")).toArrow()  # a row per pair of ranks at most
     bigrams = np.zeros((KINDS, RANKS + 1, RANKS + 1))

@@ -155,3 +155,18 @@ def test_scores_do_not_depend_on_the_dictionary(spark, monkeypatch, held):
     for d, r in found.items():
         assert tuple(r)[:5] == tuple(want[d])[:5] and r.base_score == pytest.approx(want[d].base_score, rel=1e-9)
         assert r.score == pytest.approx(want[d].score, rel=1e-5)
+
+
+def test_kinds_come_from_all_passages(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SAMPLE", 8)
+    rng = np.random.default_rng(9)
+    draw = lambda lo: rng.integers(lo, lo + 20, lm.PASSAGE + 1).astype("<u2").tobytes()
+    places = [100 * k for k in range(lm.KINDS)]
+    rows = [draw(lo) for lo in places for _ in range(50)] + [draw(0)] * 5000  # one passage has many copies
+    hashed = spark.createDataFrame([(r,) for r in rows], "ranks binary")
+    found = lm.kinds_of_all(hashed)
+    assert np.allclose(found.sum(axis=1), 1)
+    # The copies are but one passage of the start, and all others count in the rounds.
+    assert len({int(row.argmax()) // 100 for row in found}) > 1
+    everything = np.bincount(lm.rows_of(rows)[:, 1:].ravel(), minlength=lm.RANKS + 1)
+    assert all(found[:, r].max() > 1e-4 for r in np.flatnonzero(everything))
