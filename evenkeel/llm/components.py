@@ -22,8 +22,10 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def _towards_least(edges: DataFrame) -> DataFrame:
-    """Of edges (node, to), each node's least ``to`` beside every edge."""
-    return edges.join(edges.groupBy("node").agg(F.min("to").alias("least")), "node")
+    """Of edges (node, to), each node's least ``to`` beside every edge. The minima are written
+    first: an aggregation on the join's key would stop adaptive execution from splitting a hot node."""
+    least = edges.groupBy("node").agg(F.min("to").alias("least"))
+    return edges.join(stored(edges.sparkSession, least, "least"), "node")
 
 
 def components(edges: DataFrame) -> DataFrame:

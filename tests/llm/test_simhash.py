@@ -7,7 +7,7 @@ import pytest
 import xxhash
 
 from evenkeel.llm import queries, simhash
-from evenkeel.llm.components import components
+from evenkeel.llm.components import _towards_least, components
 
 SF = "/root/testdata/sf0.001"
 
@@ -108,3 +108,10 @@ def test_edges(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [4, 7, 8, 9]
     assert simhash.near_copies(docs.limit(0)).count() == 0
     assert simhash.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_no_aggregation_stands_right_before_the_join_of_a_round(spark):
+    edges = spark.createDataFrame([(n, n // 2) for n in range(2, 40)] + [(7, 1)], "node long, to long")
+    out = _towards_least(edges)
+    assert "Aggregate" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {(r.node, r.to): r.least for r in out.collect()} == {**{(n, n // 2): n // 2 for n in range(2, 40)}, (7, 3): 1, (7, 1): 1}
