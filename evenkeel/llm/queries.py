@@ -1,4 +1,4 @@
-"""The queries of the ten operators, each over its whole table with its production parameters."""
+"""The queries of the operators, each over its whole table with its production parameters."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evenkeel.llm import bpe, classifier, language_model, mixing, neighbours, quality_rules, quality_rules_sql, secrets, simhash, token_counts, warc
+from evenkeel.llm import bpe, classifier, language_model, merkle, merkle_sql, mixing, neighbours, quality_rules, quality_rules_sql, secrets, simhash, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -116,3 +116,15 @@ def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document, and after the edits that clean it (see token_counts)."""
     return token_counts.counts_after(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@query
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified of every document."""
+    found = merkle.audited(read(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(F.lower(F.hex("siblings")).cast("binary"), 256).alias("proof_sha256"), "folded_root", "verified"
+    )
+
+
+SQL["op11_merkle"] = merkle_sql.SQL
