@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evenkeel.llm import bpe, classifier, hard_negatives, language_model, merkle, merkle_sql, mixing, neighbours, quality_rules, quality_rules_sql, secrets, simhash, token_counts, warc
+from evenkeel.llm import bpe, classifier, hard_negatives, html_templates, language_model, merkle, merkle_sql, mixing, neighbours, quality_rules, quality_rules_sql, secrets, simhash, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -150,3 +150,9 @@ SELECT p.anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS
   row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank
 FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
 QUALIFY rank <= 3"""
+
+
+@query
+def op13_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars of every page."""
+    return html_templates.main_texts(read(spark, sf_dir, "pages"))
