@@ -13,7 +13,7 @@ from evenkeel.operators.reconcile import (
     replace,
 )
 from evenkeel.operators.references import Field, affected_by, reference_edges, resolve_refs, uses
-from evenkeel.operators.rows import distinct_requests, rows_dedup, rows_minus
+from evenkeel.operators.rows import distinct_requests, last_runs, rows_dedup, rows_minus, with_previous
 from evenkeel.operators.stages import stage_rollup
 from evenkeel.operators.rules import split_valid, validate
 
@@ -35,6 +35,7 @@ __all__ = [
     "filter_changes",
     "installed_items",
     "job_state",
+    "last_runs",
     "needs_work",
     "reconcile_plan",
     "reference_edges",
@@ -46,4 +47,5 @@ __all__ = [
     "stage_rollup",
     "uses",
     "validate",
+    "with_previous",
 ]

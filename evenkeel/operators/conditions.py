@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.functions._cols import as_list, order_value
-from evenkeel.operators.rows import rows_dedup
+from evenkeel.operators.rows import last_runs, rows_dedup
 
 
 def current_conditions(
@@ -34,32 +34,15 @@ def condition_transitions(
 ) -> DataFrame:
     """(keys, status, last_transition_time): the time moves only when the status changes.
 
-    One path for all keys, in two scans. The last row of each status is a plain aggregate, reduced
-    before its shuffle to a row per key and status; the second of these by order bounds the last
-    run. The log is joined with the bounds, and of the rows after it the first one is kept. The
-    join is on the keys that the aggregation needs, so a hot key is split only where adaptive
-    execution may add a shuffle for that, as it may in sessions of ``build_session``.
+    The log is moved once, by key and slice of its order, so a hot key is worked on by several
+    tasks without help from adaptive execution (see ``last_runs``). The first order column is a
+    number or a time; its quantiles are measured by a scan of that column.
     """
     keys = as_list(keys)
-    rows = log.select(*keys, F.col(status).alias("_status"), order_value(order).alias("_o"), F.col(at).alias("_at"))
-    ends = rows.groupBy(*keys, "_status").agg(F.max("_o").alias("_end"))
-    top = Window.partitionBy(*keys).orderBy(F.desc("_end"))  # one row per status
-    bounds = (
-        ends.withColumn("_rank", F.row_number().over(top))
-        .filter("_rank <= 2")
-        .groupBy(*keys)
-        .agg(
-            F.max(F.when(F.col("_rank") == 2, F.col("_end"))).alias("_bound"),
-            F.max(F.when(F.col("_rank") == 1, F.struct("_status"))).alias("_last"),
-        )
-        .withColumnsRenamed({k: f"_key_{k}" for k in keys})
-    )
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
-    run = rows.join(bounds, same).filter(F.col("_bound").isNull() | (F.col("_o") > F.col("_bound")))
-    first = run.groupBy(*keys).agg(F.min(F.struct("_o", "_at")).alias("_first"), F.any_value("_last").alias("_last"))
-    return first.select(*keys, F.col("_last._status").alias("status"), F.col("_first._at").alias("last_transition_time"))
+    names = [*keys, *as_list(order)]
+    rows = log.select(*names, F.col(status).alias("status_now"), F.col(at).alias("_moment"))
+    found = last_runs(rows, keys, order, "status_now", "_moment", ["status_now"])
+    return found.select(*keys, F.col("status_now").alias("status"), F.col("_since").alias("last_transition_time"))
 
 
 def latest_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -94,11 +94,20 @@ def _(spark, sf):
 
 @query("track_conditions", TRANSITIONS_SQL)
 def _(spark, sf):
-    tracked = track_conditions(condition_log(feed(spark, sf, "events")), ["object", "type"])
-    log = _replayed(spark, "conditions", tracked, "update")
+    rows = condition_log(feed(spark, sf, "events"))
+    log = _written(
+        spark, "conditions", lambda sink, at: track_conditions(rows, sink, at, f"{at}-state", ["object", "type"], available_now=True)
+    )
     return latest_rows(log.filter("NOT late"), ["object", "type"], ["ts", "seq"]).select("object", "type", "status", "last_transition_time")
 
 
+def _suppressed(spark, rows, content):
+    return _written(
+        spark, "changed",
+        lambda sink, at: suppress_unchanged(rows, sink, at, f"{at}-state", "user_id", content, "ts", "event_id", available_now=True),
+    )
+
+
 @query(
     "suppress_unchanged",
     """SELECT user_id, ts, event_id, event_type FROM (
@@ -106,8 +115,7 @@ def _(spark, sf):
        WHERE event_type IS DISTINCT FROM before""",
 )
 def _(spark, sf):
-    kept = suppress_unchanged(feed(spark, sf, "events"), "user_id", ["event_type"], "ts", "event_id")
-    return _replayed(spark, "changed", kept).drop("batch_id", "late")
+    return _suppressed(spark, feed(spark, sf, "events"), ["event_type"]).drop("batch_id", "late")
 
 
 @query(
@@ -122,8 +130,7 @@ def _(spark, sf):
         "user_id", "ts", "event_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"),
         F.from_json("props", "map<string,int>").alias("props"),
     )
-    kept = suppress_unchanged(content, "user_id", ["day", "props"], "ts", "event_id")
-    return _replayed(spark, "times", kept).select("user_id", "ts", "event_id")
+    return _suppressed(spark, content, ["day", "props"]).select("user_id", "ts", "event_id")
 
 
 @query(

@@ -63,6 +63,26 @@ def stored(spark: SparkSession, df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _folder(spark: SparkSession, path: str):
+    """(file system, path) of a folder, by Hadoop's own classes, so that any store works."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder; none if it doesn't exist."""
+    store, place = _folder(spark, path)
+    if not store.exists(place):
+        return []
+    return sorted(f.getPath().getName() for f in store.listStatus(place) if f.isDirectory())
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder that a run left in the shared folder; results that are still read from it are lost."""
+    store, place = _folder(spark, path)
+    store.delete(place, True)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give the executors this package, once per application; Spark itself distributes the file."""
     app = spark.sparkContext.applicationId

@@ -8,8 +8,10 @@ from evenkeel.sources.tables import (
     read_snapshot,
     with_labels,
 )
+from evenkeel.sources.versions import RowVersions
 
 __all__ = [
+    "RowVersions",
     "append_status",
     "batch_folder",
     "in_namespace",

@@ -4,72 +4,59 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
 
 from evenkeel.functions._cols import as_list
-from evenkeel.session import ship_package
-from evenkeel.streaming._state import fields, micros, parted
-
-STATE = "ts long, seq long, status string, since long"
+from evenkeel.operators.rows import SLICES, last_runs, slice_cuts
+from evenkeel.streaming._keyed import keep_state, last_rows, parted, state_table
+from evenkeel.streaming.writing import Sink, start
 
 
 def track_conditions(
     stream: DataFrame,
+    sink: Sink,
+    checkpoint: str,
+    state: str,
     keys: str | Sequence[str] = ("namespace", "object", "type"),
     ts: str = "ts",
     seq: str = "seq",
     status: str = "status",
     values: Sequence[str] = ("reason", "message"),
-) -> DataFrame:
-    """The current row of each changed condition: (keys, ts, seq, status, values,
-    last_transition_time, late), in update mode.
+    slices: int = SLICES,
+    **trigger,
+) -> StreamingQuery:
+    """Per micro-batch the current row of each changed condition: (keys, ts, seq, status, values,
+    last_transition_time, late).
 
     Rows of one key come unordered inside a micro-batch and are put in (ts, seq) order. A row
     before the stored one comes too late to count: it is given as it is, with ``late`` true and no
     transition time, so that nothing is lost unseen; a replay of the stored row gives nothing.
-    What one key brings is bounded by the micro-batch, and only (ts, seq, status) of its rows are
-    held at a time.
-    """
-    ship_package(stream.sparkSession)
-    keys, values = as_list(keys), list(values)
-    out = T.StructType(
-        [
-            *fields(stream, [*keys, ts, seq, status, *values]),
-            T.StructField("last_transition_time", stream.schema[ts].dataType),
-            T.StructField("late", T.BooleanType()),
-        ]
-    )
 
-    def step(key, chunks, state):
-        last = state.get if state.exists else None
-        parts, best, best_at = [], None, None
-        for pdf in chunks:
-            pdf, late = parted(pdf, ts, seq, last and (last[0], last[1]))
-            if len(late):
-                yield late.assign(last_transition_time=np.datetime64("NaT", "us"), late=True)
-            if pdf.empty:
-                continue
-            us, no = micros(pdf[ts]), pdf[seq].to_numpy(dtype="int64")
-            parts.append((us, no, pdf[status].to_numpy(dtype=object)))
-            top = np.lexsort((no, us))[-1]
-            if best_at is None or (us[top], no[top]) > best_at:
-                best, best_at = pdf.iloc[top : top + 1], (us[top], no[top])
-        if best is None:
-            return
-        us, no, st = parts[0] if len(parts) == 1 else (np.concatenate(p) for p in zip(*parts))
-        order = np.lexsort((no, us))
-        us, st = us[order], st[order]
-        changed = np.ones(len(st), dtype=bool)
-        changed[1:] = st[1:] != st[:-1]
-        if last is not None:
-            changed[0] = st[0] != last[2]
-        since = int(us[np.flatnonzero(changed)[-1]]) if changed.any() else last[3]
-        state.update((int(best_at[0]), int(best_at[1]), st[-1], since))
-        yield best.assign(last_transition_time=np.array([since], dtype="datetime64[us]"), late=False)
-
-    return stream.select(*keys, ts, seq, status, *values).groupBy(*keys).applyInPandasWithState(
-        step, out, STATE, "update", GroupStateTimeout.NoTimeout
-    )
+    The last row of each key, with the time of its last transition, is kept in the folder ``state``
+    as versions by micro-batch, so a micro-batch that runs again reads what it read before. It is
+    one more row of the key's log, and the transitions are those of the log so far.
+    """
+    keys, values, order = as_list(keys), list(values), [ts, seq]
+    kept = state_table(stream, state, keys, [ts, seq, status], [T.StructField("_since", stream.schema[ts].dataType)])
+    names = [*keys, ts, seq, status, *values]
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.select(*names).persist()
+        before = last_rows(kept, batch, order, batch_id).persist()
+        rows = parted(batch, before, keys, order)
+        fresh = rows.filter("_when = 1").withColumn("_moment", F.col(ts))
+        log = fresh.unionByName(before.withColumnRenamed("_since", "_moment").withColumn("_when", F.lit(0)), allowMissingColumns=True)
+        found = last_runs(log, keys, order, status, "_moment", [ts, seq, status, *values, "_when"], slice_cuts(batch, order, slices))
+        now = found.filter("_when = 1").select(*names, F.col("_since").alias("last_transition_time")).persist()
+        late = rows.filter("_when = -1").select(*names, F.lit(None).cast(stream.schema[ts].dataType).alias("last_transition_time"))
+        try:
+            sink(now.withColumn("late", F.lit(False)).unionByName(late.withColumn("late", F.lit(True))), batch_id)
+            keep_state(kept, now.withColumnRenamed("last_transition_time", "_since"), batch_id)
+        finally:
+            for df in (now, before, batch):
+                df.unpersist()
+
+    return start(stream, each, checkpoint, **trigger)

@@ -11,7 +11,8 @@ from evenkeel import functions as K
 from evenkeel import shared_dir
 from evenkeel import operators as O
 from evenkeel.operators.conditions import latest_rows
-from evenkeel.sources import append_status, batch_folder, read_changes
+from evenkeel.session import folders
+from evenkeel.sources import RowVersions, append_status, batch_folder, read_changes
 from evenkeel.streaming import (
     affected_stream,
     reconcile_stream,
@@ -47,6 +48,15 @@ class Feed:
         return self.run(lambda sink, at: start(stream, sink, at, mode, available_now=True))
 
 
+    def conditions(self, keys, **more):
+        state = f"{self.place}/state"
+        return self.run(lambda sink, at: track_conditions(self.stream(), sink, at, state, keys, values=["reason"], available_now=True, **more))
+
+    def changed(self, content, **more):
+        state = f"{self.place}/state"
+        return self.run(lambda sink, at: suppress_unchanged(self.stream(), sink, at, state, "object", content, available_now=True, **more))
+
+
 LOG = "object string, type string, status string, reason string, ts timestamp_ntz, seq bigint"
 
 
@@ -70,7 +80,7 @@ def test_track_conditions_agrees_with_the_batch_twins(spark):
     for rows in condition_slices(5):
         feed.add(rows)
     keys = ["object", "type"]
-    out = feed.play(track_conditions(feed.stream(), keys, values=["reason"]), "update")
+    out = feed.conditions(keys)
     assert out.select("batch_id").distinct().count() == 3
     got = {tuple(r) for r in latest_rows(out, keys, ["ts", "seq"]).select("object", "status", "reason", "last_transition_time").collect()}
     log = read_changes(spark, f"{feed.place}/in", LOG, stream=False)
@@ -86,7 +96,7 @@ def test_late_rows_are_marked_and_replays_dropped(spark):
     feed.add([first])
     feed.add([first, ("o", "t", "False", "late", T0, 6)])
     feed.add([("o", "t", "True", "b", T0 + timedelta(hours=1), 6)])
-    out = feed.play(track_conditions(feed.stream(), ["object", "type"], values=["reason"]), "update")
+    out = feed.conditions(["object", "type"])
     rows = sorted((r.batch_id, r.reason, r.last_transition_time, r.late) for r in out.collect())
     assert rows == [(0, "a", first[4], False), (1, "late", None, True), (2, "b", first[4], False)]
 
@@ -191,7 +201,7 @@ def test_suppress_unchanged(spark):
         ("o", at(3), 3, {"a": "1"}, "x"), ("p", at(1), 4, None, None),
     ])
     feed.add([("o", at(5), 6, {"a": "1"}, None), ("o", at(4), 5, {"a": "1"}, "x"), ("p", at(2), 7, None, None)])
-    out = feed.play(suppress_unchanged(feed.stream(), "object", ["data", "note"]))
+    out = feed.changed(["data", "note"])
     assert sorted(r.seq for r in out.collect()) == [1, 3, 4, 6]
 
 
@@ -200,7 +210,7 @@ def test_suppress_unchanged_sees_microseconds_and_late_rows(spark):
     feed.add([("o", at(1), 1, T0, b"x"), ("o", at(2), 2, T0 + timedelta(microseconds=1), b"x")])
     feed.add([("o", at(3), 3, T0 + timedelta(microseconds=1), b"x"), ("o", at(1), 0, T0, b"x"), ("o", at(2), 2, T0, b"x")])
     feed.add([("o", at(4), 4, T0 + timedelta(microseconds=1), b"y")])
-    out = feed.play(suppress_unchanged(feed.stream(), "object", ["seen", "raw"]))
+    out = feed.changed(["seen", "raw"])
     assert sorted((r.seq, r.late) for r in out.collect()) == [(0, True), (1, False), (2, False), (4, False)]
 
 
@@ -288,3 +298,57 @@ def test_stream_failures_are_raised(spark):
     feed.add([(1,)])
     with pytest.raises(Exception):
         feed.play(feed.stream().select(F.raise_error(F.lit("boom")).alias("x")))
+
+
+def test_a_condition_batch_that_runs_again_reads_and_leaves_the_same(spark):
+    """The sink fails once after the state was written: the batch runs again, as after a lost driver."""
+    feed = Feed(spark, LOG)
+    for rows in condition_slices(7):
+        feed.add(rows)
+    keys, state, wrote = ["object", "type"], f"{feed.place}/state", batch_folder(f"{feed.place}/twice")
+
+    def play(sink):
+        to_the_end(track_conditions(feed.stream(), sink, f"{feed.place}/progress", state, keys, values=["reason"], available_now=True))
+
+    failed = []
+
+    def once(batch, batch_id):
+        wrote(batch, batch_id)
+        if batch_id == 1 and not failed:
+            failed.append(batch_id)
+            kept = RowVersions(spark, state, keys, "object string, type string, ts timestamp_ntz, seq bigint, status string, _since timestamp_ntz")
+            # As if the state had been written before the failure, and differently.
+            kept.write(kept.read().withColumn("_since", F.lit(T0)), 1)
+            raise RuntimeError("lost")
+
+    with pytest.raises(Exception):
+        play(once)
+    play(once)
+    again = {tuple(r) for r in spark.read.parquet(f"{feed.place}/twice").collect()}
+    fresh = Feed(spark, LOG)
+    for rows in condition_slices(7):
+        fresh.add(rows)
+    assert failed and again == {tuple(r) for r in fresh.conditions(keys, slices=3).collect()}
+
+
+@pytest.mark.parametrize("slices", [1, 5])
+def test_null_keys_and_times_are_rows_like_others(spark, slices):
+    feed = Feed(spark, LOG)
+    feed.add([(None, "t", "True", "a", T0, 1), (None, "t", "True", "b", T0 + timedelta(1), 2), ("o", "t", None, "c", None, 3)])
+    feed.add([(None, "t", None, "d", T0 + timedelta(2), 4), ("o", "t", None, "e", T0, 5), ("o", "t", None, "f", T0 + timedelta(3), 6)])
+    out = feed.conditions(["object", "type"], slices=slices)
+    rows = sorted((r.batch_id, r.reason, r.last_transition_time) for r in out.collect())
+    assert rows == [(0, "b", T0), (0, "c", None), (1, "d", T0 + timedelta(2)), (1, "f", None)]
+
+
+def test_streams_compact_their_state(spark, monkeypatch):
+    from evenkeel.streaming import _keyed
+
+    monkeypatch.setattr(_keyed, "COMPACT_EVERY", 2)
+    feed = Feed(spark, "object string, ts timestamp_ntz, seq bigint, data string")
+    for n in range(6):
+        feed.add([(f"k{k}", at(n), 10 * n + k, "x" if n < 3 else "y") for k in range(5)])
+    out = feed.changed(["data"])
+    assert sorted((r.batch_id, r.seq) for r in out.collect()) == [(0, k) for k in range(5)] + [(3, 30 + k) for k in range(5)]
+    assert folders(spark, f"{feed.place}/state/base") == ["_version=3", "_version=5"]
+    assert folders(spark, f"{feed.place}/state/rows") == ["_version=4", "_version=5"]
