@@ -12,7 +12,7 @@ from evenkeel.operators.reconcile import (
     reconcile_plan,
     replace,
 )
-from evenkeel.operators.references import Field, affected_by, reference_edges, resolve_refs, uses
+from evenkeel.operators.references import Field, affected_by, reference_edges, reference_lists, resolve_refs, uses
 from evenkeel.operators.rows import distinct_requests, last_runs, rows_dedup, rows_minus, with_previous
 from evenkeel.operators.stages import stage_rollup
 from evenkeel.operators.rules import split_valid, validate
@@ -39,6 +39,7 @@ __all__ = [
     "needs_work",
     "reconcile_plan",
     "reference_edges",
+    "reference_lists",
     "replace",
     "resolve_refs",
     "rows_dedup",

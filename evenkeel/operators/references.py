@@ -57,6 +57,21 @@ def reference_edges(
     return edges.filter(F.col("ref_name").isNotNull())
 
 
+REFERENCE = "struct<ref_kind: string, ref_name: string>"
+
+
+def reference_lists(objects: DataFrame, keys: str | Sequence[str], refs: Mapping[str, Sequence[ColumnLike]], namespace: str) -> DataFrame:
+    """(keys, namespace, refs): the references of each object as one list, for a table of edges that
+    is kept by object; unset ones are left out, names are text."""
+    items = [
+        F.when(F.coalesce(as_col(c).cast("string"), F.lit("")) != "", F.struct(F.lit(kind).alias("ref_kind"), as_col(c).cast("string").alias("ref_name")))
+        for kind, cols in refs.items()
+        for c in cols
+    ]
+    kept = list(dict.fromkeys([*as_list(keys), namespace]))
+    return objects.select(*kept, F.array_distinct(F.array_compact(F.array(*items))).cast(f"array<{REFERENCE}>").alias("refs"))
+
+
 def _type(df: DataFrame, c: ColumnLike) -> T.DataType:
     return df.select(as_col(c).alias("x")).schema["x"].dataType
 

@@ -3,14 +3,17 @@ customer for a secret."""
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evenkeel import declared
+from evenkeel import declared, settling
 from evenkeel import functions as K
-from evenkeel.operators import Child, affected_by, expand_children, filter_changes
+from evenkeel.operators import Child, affected_by, condition_transitions, current_conditions, expand_children, filter_changes
 from evenkeel.plans.columns import change_feed
 from evenkeel.plans.registry import query, table
+from evenkeel.session import shared_dir
 
 APP = "shop"
 
@@ -220,3 +223,113 @@ def _(spark, sf):
 def _(spark, sf):
     """Where each object's pass ended."""
     return _pass(spark, sf)[1].select("name", "outcome", "stopped_stage", "retry_after_s")
+
+
+BEGAN = datetime(2024, 1, 1)
+
+
+def children_with_jobs(spark, sf):
+    """What is there, with labels: also the jobs of every fourth object, two pods of each, and a pod
+    of another job."""
+    key = F.col("o_orderkey")
+    name = F.concat(F.lit("app-"), key)
+    job = K.derived_name(name, "-init")
+    pod = lambda n: Child("pod", F.concat(job, F.lit(f"-pod{n}")), F.lit("{}"))
+    rows = table(spark, sf, "orders").filter(key % 4 == 0).select(F.lit("default").alias("namespace"), name.alias("name"), "o_orderkey")
+    work = expand_children(rows, [Child("job", job, F.lit("{}")), pod(1), pod(2), pod("-of-another")], ["namespace", "name"])
+    owner = F.when(F.col("child").endswith("another"), F.lit("another")).otherwise(K.derived_name("name", "-init"))
+    work = work.withColumn("labels", F.when(F.col("kind") == "pod", F.create_map(F.lit(settling.JOB_LABEL), owner)))
+    return existing_children(spark, sf).withColumn("labels", F.lit(None).cast("map<string,string>")).unionByName(work)
+
+
+def job_progress(children):
+    """The jobs that are there: those of some objects fail or run on, all others have succeeded."""
+    key = F.regexp_extract("child", "app-([0-9]+)-init", 1).cast("long") % 10
+    return children.filter("kind = 'job'").select(
+        "namespace", F.col("child").alias("name"), (key == 6).cast("int").alias("active"),
+        (~key.isin(4, 6)).cast("int").alias("succeeded"), (key == 4).cast("int").alias("failed"),
+    )
+
+
+def known_secrets(spark, sf):
+    """Customers in credit, and the admin secrets that passes have made for others."""
+    base = secrets(spark, sf)
+
+    def found(children):
+        made = children.filter("kind = 'secret' AND child LIKE 'c-%'").select("namespace", F.col("child").alias("name")).distinct()
+        made = made.join(base, ["namespace", "name"], "left_anti")
+        return base.unionByName(made.withColumn("data", F.create_map(F.lit("password"), F.lit("made"))))
+
+    return found
+
+
+def settled(spark, sf):
+    return settling.settle(
+        declared_objects(spark, sf), children_with_jobs(spark, sf), known_secrets(spark, sf), job_progress, APP, shared_dir(spark, "settled"), BEGAN
+    )
+
+
+# How each object ends: its references fail, its job fails or runs on, or all is done.
+_ENDS = f"""SELECT o.*, neg, bad, fails, runs, made, begins, job_there,
+    CASE WHEN o_orderstatus = 'O' THEN [] ELSE ['base', 'f'] END AS had,
+    list_filter(['base', lower(o_orderstatus)], lambda m: NOT list_contains(CASE WHEN o_orderstatus = 'O' THEN [] ELSE ['base', 'f'] END, m)) AS todo
+  FROM (SELECT orders.*, c_custkey IS NULL AS neg, o_orderkey % 4 = 0 AS job_there, o_orderkey % 10 = 4 AS fails, o_orderkey % 10 = 6 AS runs,
+          o_orderpriority = '5-LOW' OR CASE WHEN c_custkey IS NULL THEN o_orderpriority IN ('1-URGENT', '2-HIGH') OR o_orderstatus = 'F'
+                                            ELSE o_orderstatus = 'F' AND c_mktsegment = 'BUILDING' END AS bad,
+          c_custkey IS NULL AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate < TIMESTAMP '2001-01-01') AS made,
+          CASE WHEN c_custkey IS NULL AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate < TIMESTAMP '2001-01-01') THEN 2 ELSE 1 END AS begins
+        FROM {_JOINED}) o"""
+# Lists that were installed by the recorded job (base) and by one for what is still missing after it.
+_PATHS = f"""SELECT *, CASE WHEN bad OR NOT job_there OR fails OR runs THEN had ELSE list_concat(had, ['base']) END AS first_list,
+    NOT bad AND job_there AND (fails OR runs) AS stuck FROM ({_ENDS})"""
+_LATER = f"""SELECT *, list_filter(['base', lower(o_orderstatus)], lambda m: NOT list_contains(first_list, m)) AS rest FROM ({_PATHS})"""
+
+
+@query(
+    "declared_settled",
+    f"""SELECT 'app-' || o_orderkey AS name,
+          CASE WHEN bad OR stuck OR len(rest) = 0 OR fails OR runs THEN array_to_string(first_list, ',') ELSE array_to_string(list_concat(first_list, rest), ',') END AS installed,
+          CASE WHEN bad OR stuck THEN CASE WHEN o_orderkey % 2 = 0 THEN 'base' END
+               WHEN len(rest) > 0 THEN CASE WHEN fails OR runs THEN array_to_string(rest, ',') END
+               WHEN o_orderkey % 2 = 0 AND NOT job_there THEN 'base' END AS running,
+          (bad AND job_there) OR (NOT bad AND (stuck OR len(rest) > 0 AND (fails OR runs))) AS has_job,
+          CASE WHEN NOT job_there THEN 0 WHEN bad OR stuck THEN 3 ELSE 1 END::BIGINT AS pods,
+          NOT bad AND NOT stuck AND (len(rest) = 0 OR NOT (fails OR runs)) OR o_orderdate < TIMESTAMP '2001-01-01' AS has_workload,
+          CASE WHEN o_orderdate < TIMESTAMP '2001-01-01' AND o_orderkey % 2 = 0 OR NOT bad THEN true ELSE false END AS has_config
+        FROM ({_LATER})""",
+)
+def _(spark, sf):
+    """Objects and their children once passes change nothing any more."""
+    end = settled(spark, sf)
+    kind, is_config = F.col("kind"), F.col("child") == K.derived_name("name", "-config")
+    there = end.children.groupBy("namespace", "name").agg(
+        F.bool_or(kind == "job").alias("has_job"), F.count_if(kind == "pod").alias("pods"), F.bool_or(kind == "workload").alias("has_workload"),
+        F.bool_or(is_config).alias("has_config"),
+    )
+    objects = end.objects.select(
+        "namespace", "name", K.join_items("status.modules_installed").alias("installed"),
+        F.when(F.col("status.current_job.name").isNotNull(), K.join_items("status.current_job.modules")).alias("running"),
+    )
+    return objects.join(there, ["namespace", "name"]).drop("namespace")
+
+
+_ROW = "SELECT 'app-' || o_orderkey AS name, '{kind}' AS type, {status} AS status, {reason} AS reason, TIMESTAMP '2024-01-01' + to_seconds({at}) AS since FROM ({rows}) WHERE {when}"
+
+
+@query(
+    "declared_status",
+    " UNION ALL ".join([
+        _ROW.format(kind="OperatorDegraded", status="'False'", reason="'FailedReferences'", at="begins", rows=_LATER, when="bad"),
+        _ROW.format(kind="OperatorDegraded", status="'False'", reason="'FailedInitJob'", rows=_LATER, at="begins + CASE WHEN stuck THEN 0 ELSE 1 END",
+                    when="NOT bad AND fails AND (stuck OR len(rest) > 0)"),
+        _ROW.format(kind="OperatorSucceeded", status="'True'", rows=_LATER, at="begins", when="NOT bad AND NOT stuck",
+                    reason="CASE WHEN len(rest) > 0 AND (fails OR runs) THEN 'InitJobCreated' ELSE 'ReconcileSucceeded' END"),
+    ]),
+)
+def _(spark, sf):
+    """The conditions of every object after all passes, and since when they hold."""
+    log = settled(spark, sf).conditions.select("namespace", "object", "type", "status", "reason", "message", "ts", "seq")
+    now, since = current_conditions(log), condition_transitions(log).drop("status")
+    return now.join(since, ["namespace", "object", "type"]).select(
+        F.col("object").alias("name"), "type", "status", "reason", F.col("last_transition_time").alias("since")
+    )

@@ -8,15 +8,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evenkeel import functions as K
-from evenkeel.operators import distinct_requests, fill_if_missing, filter_changes, rows_dedup
+from evenkeel.operators import distinct_requests, fill_if_missing, filter_changes, reference_lists, rows_dedup
 from evenkeel.operators.conditions import latest_rows
 from evenkeel.plans.columns import FILTERED_SQL, change_feed, change_rules
-from evenkeel.plans.registry import feed, query, table
+from evenkeel.plans.registry import FEED_SLICES, feed, query, table
 from evenkeel.plans.tables import TRANSITIONS_SQL, condition_log
 from evenkeel.session import shared_dir
-from evenkeel.sources import batch_folder
+from evenkeel.sources import RowVersions, batch_folder
 from evenkeel.streaming import (
     affected_stream,
+    change_stream,
+    edge_table,
     reconcile_stream,
     start,
     suppress_unchanged,
@@ -176,3 +178,58 @@ def _(spark, sf):
         "user_id", "ts", "event_id", "action", K.join_items("items").alias("items"),
         K.join_items("installed").alias("installed"), "retry_after_s",
     )
+
+
+def _namespace(key):
+    return F.concat(F.lit("ns-"), key % 8)
+
+
+def _slots(spark, sf):
+    """Orders as objects that use a customer's content and what it owns."""
+    orders = table(spark, sf, "orders")
+    return orders.select(_namespace(F.col("o_custkey")).alias("namespace"), F.col("o_orderkey").cast("string").alias("name"), "o_custkey", "o_orderstatus", "o_totalprice")
+
+
+def run_change_stream(spark, sf, place):
+    """(status log, actual table) of changes of customers and orders, micro-batch by micro-batch."""
+    refs = {"content": ["o_custkey"], "owned": ["o_custkey"]}
+
+    def objects(where):
+        found = _slots(spark, sf)
+        return found if where is None else found.filter(where)
+
+    def desired(where):
+        return objects(where).select("namespace", "name", F.col("o_totalprice").alias("price"))
+
+    events = feed(spark, sf, "events")
+    changes = filter_changes(change_feed(events), change_rules()).select(_namespace(F.col("user_id")).alias("namespace"), "kind", F.col("user_id").cast("string").alias("name"), "op")
+    edges = edge_table(spark, f"{place}/edges", objects(None), ["namespace", "name"])
+    edges.write(reference_lists(objects(None), edges.keys, refs, "namespace"), -1)
+    actual = RowVersions(spark, f"{place}/actual", ["namespace", "name"], "namespace string, name string, price double", "namespace")
+    old = F.when(F.col("o_orderstatus") == "F", F.lit(0.0)).otherwise(F.col("o_totalprice"))
+    actual.write(objects(None).filter("o_orderstatus != 'O'").select("namespace", "name", old.alias("price")), -1)
+    to_the_end(
+        change_stream(
+            changes, edges, desired, actual, batch_folder(f"{place}/status"), f"{place}/progress", objects=objects, object_kind="plain", refs=refs, available_now=True
+        )
+    )
+    return spark.read.parquet(f"{place}/status"), actual
+
+
+@query(
+    "change_to_status",
+    f"""WITH changes AS ({FILTERED_SQL}),
+        timed AS (SELECT c.*, (epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) //
+                    ((SELECT max(epoch_us(ts)) - min(epoch_us(ts)) FROM events) // {FEED_SLICES} + 1) AS part FROM changes c JOIN events USING (event_id)),
+        hits AS (SELECT o_orderkey, o_orderstatus, o_totalprice, part FROM orders JOIN timed ON o_custkey = timed.user_id AND kind <> 'plain'
+                 UNION ALL SELECT o_orderkey, o_orderstatus, o_totalprice, part FROM orders JOIN timed ON o_orderkey = timed.user_id AND o_custkey % 8 = o_orderkey % 8 AND kind = 'plain')
+        SELECT o_orderkey::VARCHAR AS name, CASE o_orderstatus WHEN 'O' THEN 'CREATE' WHEN 'F' THEN 'UPDATE' ELSE 'NOOP' END AS first_action,
+          count(DISTINCT part) AS looked_at, CASE WHEN o_orderstatus = 'P' THEN 0 ELSE 1 END::BIGINT AS applied, o_totalprice AS price
+        FROM hits GROUP BY o_orderkey, o_orderstatus, o_totalprice""",
+)
+def _(spark, sf):
+    """What the changes did to each order that they affect, however often it was looked at."""
+    log, actual = run_change_stream(spark, sf, shared_dir(spark, "change"))
+    first = F.min_by(F.when(F.col("created") > 0, "CREATE").when(F.col("updated") > 0, "UPDATE").otherwise("NOOP"), "batch_id")
+    seen = log.groupBy("namespace", "name").agg(first.alias("first_action"), F.count("*").alias("looked_at"), F.sum(F.col("created") + F.col("updated")).alias("applied"))
+    return seen.join(actual.read(), ["namespace", "name"]).drop("namespace")

@@ -24,7 +24,7 @@ class RowVersions:
     """The table below ``path``: ``schema`` with unique ``keys``, optionally partitioned by some of
     its columns, so that readers who filter on those read no other folders.
 
-    Versions are numbers from 0 on; ``before`` leaves out that version and all later ones. Rows of a
+    Versions are whole numbers, micro-batches from 0 on; ``before`` leaves out that version and all later ones. Rows of a
     version are unique by key. A key whose row has GONE true is no longer there.
     """
 
@@ -51,24 +51,28 @@ class RowVersions:
         """(rows of the last compaction, rows written since), of versions before ``before``."""
         limit = before if base_before is None else base_before
         bases = [n for n in self._numbers("base") if limit is None or n < limit]
-        base = bases[-1] if bases else -1
-        newer = [n for n in self._numbers("rows") if n > base and (before is None or n < before)]
+        newer = [n for n in self._numbers("rows") if (not bases or n > bases[-1]) and (before is None or n < before)]
         return self._read("base", bases[-1:]), self._read("rows", newer)
 
-    def read(self, before: int | None = None, where: Column | None = None, touched: DataFrame | None = None) -> DataFrame:
+    def read(
+        self, before: int | None = None, where: Column | None = None, touched: DataFrame | None = None, on: Sequence[str] | None = None
+    ) -> DataFrame:
         """The table as of the versions before ``before``; of rows ``where`` a condition on columns
-        holds, and of keys that are in ``touched`` (its key columns; repeats don't matter).
+        that don't change holds, and of keys that are in ``touched`` (all key columns, or those
+        in ``on``; repeats don't matter).
 
         Rows of the last compaction are not shuffled where the keys written since are few.
         """
-        return self._merged(*self._parts(before), where, touched)
+        return self._merged(*self._parts(before), where, touched, on)
 
-    def _merged(self, base: DataFrame, newer: DataFrame, where: Column | None = None, touched: DataFrame | None = None) -> DataFrame:
+    def _merged(
+        self, base: DataFrame, newer: DataFrame, where: Column | None = None, touched: DataFrame | None = None, on: Sequence[str] | None = None
+    ) -> DataFrame:
         if where is not None:
             base, newer = base.filter(where), newer.filter(where)
         if touched is not None:
-            on = touched.select(*self.keys)
-            base, newer = base.join(on, self.keys, "left_semi"), newer.join(on, self.keys, "left_semi")
+            on = list(on or self.keys)
+            base, newer = (df.join(touched.select(*on), on, "left_semi") for df in (base, newer))
         latest = Window.partitionBy(*self.keys).orderBy(F.desc(VERSION))
         newer = newer.withColumn("_rank", F.row_number().over(latest)).filter("_rank = 1")
         kept = base.join(newer.select(*self.keys), self.keys, "left_anti").unionByName(newer.drop("_rank"))
@@ -80,6 +84,10 @@ class RowVersions:
         base, newer = self._parts(before)
         return base.unionByName(newer).filter(~F.coalesce(F.col(GONE), F.lit(False))).select(*self.columns)
 
+    def written(self, version: int) -> DataFrame:
+        """The rows that a version changed, with GONE."""
+        return self._read("rows", [version]).drop(VERSION)
+
     def write(self, rows: DataFrame, version: int) -> None:
         """The rows that this version changes, and nothing else; GONE is optional."""
         gone = F.col(GONE) if GONE in rows.columns else F.lit(False)

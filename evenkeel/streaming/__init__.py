@@ -1,3 +1,4 @@
+from evenkeel.streaming.changes import change_stream, edge_table
 from evenkeel.streaming.conditions import track_conditions
 from evenkeel.streaming.jobs import track_jobs
 from evenkeel.streaming.stateless import affected_stream, reconcile_stream
@@ -6,6 +7,8 @@ from evenkeel.streaming.writing import start, to_the_end
 
 __all__ = [
     "affected_stream",
+    "change_stream",
+    "edge_table",
     "reconcile_stream",
     "start",
     "suppress_unchanged",

@@ -9,12 +9,14 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from evenkeel.functions._cols import ColumnLike, as_list
-from evenkeel.operators.reconcile import Policy, apply_plan, reconcile_plan
+from evenkeel.operators.reconcile import NOOP, Policy, apply_plan, reconcile_plan
 from evenkeel.operators.references import affected_by
 from evenkeel.operators.rows import distinct_requests
+from evenkeel.sources.versions import RowVersions
 from evenkeel.streaming.writing import Sink, start
 
 Snapshot = Callable[[], DataFrame]
@@ -44,7 +46,7 @@ def affected_stream(
 def reconcile_stream(
     requests: DataFrame,
     desired: Snapshot,
-    actual: Snapshot,
+    actual: Snapshot | RowVersions,
     keys: str | Sequence[str],
     sink: Sink,
     checkpoint: str,
@@ -55,7 +57,9 @@ def reconcile_stream(
 ) -> StreamingQuery:
     """Plan again for the keys of each micro-batch of requests, from the latest snapshots.
 
-    ``sink`` gets the plan; ``applied``, if given, the actual table after it.
+    ``sink`` gets the plan. Where ``actual`` is a table of row versions, the changed rows, and
+    nothing else, are written to it as the version of the micro-batch, which reads what was there
+    before it. Else ``applied``, if given, gets the whole actual table after the plan.
     """
     on = as_list(keys)
 
@@ -63,13 +67,16 @@ def reconcile_stream(
         # Both are read more than once; the batch must not be fetched again for it.
         touched = distinct_requests(batch, on).persist()
         want = desired().join(touched, on, "left_semi")
-        have = actual()
-        plan = reconcile_plan(want, have.join(touched, on, "left_semi"), on, policy, values)
-        if applied is not None:
+        kept = isinstance(actual, RowVersions)
+        have = actual.read(batch_id, touched=touched) if kept else actual()
+        plan = reconcile_plan(want, have if kept else have.join(touched, on, "left_semi"), on, policy, values)
+        if kept or applied is not None:
             plan.persist()
         try:
             sink(plan, batch_id)
-            if applied is not None:
+            if kept:
+                actual.write(plan.filter(F.col("action") != NOOP), batch_id)
+            elif applied is not None:
                 applied(apply_plan(have, plan, on), batch_id)
         finally:
             plan.unpersist()

@@ -1,6 +1,7 @@
 """Row versions against a plain dictionary, and what a writer writes."""
 
 import random
+import re
 from pathlib import Path
 
 import pytest
@@ -77,9 +78,9 @@ def test_partitions_of_other_namespaces_are_not_read(spark):
     kept = table(spark, partition_by="ns")
     kept.write(frame(spark, [(n, 1, "x", None) for n in "abcdef"]), 0)
     read = kept.read(where=F.col("ns").isin("a", "c"))
-    assert sorted({Path(f).parent.name for f in read.inputFiles()}) and rows(read) == [("a", 1, "x"), ("c", 1, "x")]
+    assert rows(read) == [("a", 1, "x"), ("c", 1, "x")]
     text = read._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [ns" in text.replace("isnotnull(ns", "[ns") or "ns#" in text.split("PartitionFilters")[1][:40]
+    assert re.search(r"PartitionFilters: \[ns#\d+ IN \(a,c\)\]", text)
 
 
 def test_folders_can_be_removed(spark):
