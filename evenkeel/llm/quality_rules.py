@@ -1,15 +1,20 @@
 """Quality rules by robust multivariate outliers, in DataFrame operations only.
 
 Every document gets counts from its words and lines, and from them a vector of four transformed
-statistics. Per language and source a minimum-covariance-determinant estimate is made: from
-medians and median deviations, concentration steps take the mean and covariance of the fraction
-CORE of documents that lie closest, again and again; each step lowers the determinant. Documents
-whose Mahalanobis distance to the estimate is beyond the chi-square quantile are rejected.
-
-Medians and the closest part are found by counting documents per narrow bin of value or distance,
+statistics. Per language and source, and per language as a whole, a minimum-covariance-determinant
+estimate is made: the mean and covariance of the half of a group's documents (with p statistics,
+(n + p + 1) / 2 of n) that has the least determinant. It is looked for from several starts, each
+made of medians and median deviations; a concentration step takes the half that lies closest to
+the estimate so far, and steps go on until the determinant no longer falls. The estimate of the
+least determinant over all starts is kept. So up to nearly half of a source may be junk.
+
+A source's estimate is drawn towards its language's, by n / (n + SHRINK) at every size: a source
+of few documents is mostly judged as its language is. Documents whose Mahalanobis distance is
+beyond the chi-square quantile are rejected.
+
+Medians and closest halves are found by counting documents per narrow bin of value or distance,
 not by sorting a group: every step is one aggregation that is reduced before its shuffle, however
-many documents a group has. Groups of fewer than LEAST_GROUP documents are estimated together
-with the other small groups of their language.
+many documents a group has.
 """
 
 from __future__ import annotations
@@ -21,9 +26,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evenkeel.session import stored
 
-CORE = 0.75  # part of a group that the estimate rests on
-STEPS = 3  # concentration steps after the first estimate
-LEAST_GROUP = 100
+CORE = 0.5  # part of a large group that the estimate rests on
+STARTS = 3
+FALL = 1e-6  # by which a step must lower the logarithm of the determinant to count
+SHRINK = 200  # documents by which a source is drawn towards its language: its half must settle 14 parameters
+ALL = "*"  # the part that is a whole language; those of sources begin with = or are NULL_SOURCE
+NULL_SOURCE = "-"
 CONFIDENCE = 0.9999  # chi-square probability beyond which a document is an outlier
 BINS = 256  # bins per unit of a statistic
 OCTAVE = 32  # bins per doubling of a squared distance
@@ -144,34 +152,51 @@ def _same_group(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.join(g, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("part").eqNullSafe(F.col("_part")), "left").drop("_lang", "_part")
 
 
+GROUP = ["lang", "part", "start"]
+
+
 def _closest(rows: DataFrame, distance: Column) -> DataFrame:
-    """The CORE of each group that has the smallest squared distances, whole bins of distance."""
+    """The half of each group and start that has the smallest squared distances, whole bins of them."""
     binned = rows.withColumn("_bin", F.floor(F.log2(distance + 1e-6) * OCTAVE))
-    counted = binned.groupBy("lang", "part", "_bin").agg(F.count("*").alias("n"))
-    group = Window.partitionBy("lang", "part")
-    reached = counted.withColumns({"upto": F.sum("n").over(group.orderBy("_bin")), "all": F.sum("n").over(group)}).filter(F.col("upto") >= F.col("all") * CORE)
-    last = stored(rows.sparkSession, reached.groupBy("lang", "part").agg(F.min("_bin").alias("_last")), "reach")
-    return _same_group(binned, last).filter(F.col("_bin") <= F.col("_last"))
+    counted = binned.groupBy(*GROUP, "_bin").agg(F.count("*").alias("n"))
+    group = Window.partitionBy(*GROUP)
+    half = F.least((F.col("all") + len(STATS) + 1) / 2, F.col("all"))
+    reached = counted.withColumns({"upto": F.sum("n").over(group.orderBy("_bin")), "all": F.sum("n").over(group)}).filter(F.col("upto") >= half)
+    last = stored(rows.sparkSession, reached.groupBy(*GROUP).agg(F.min("_bin").alias("_last")), "reach")
+    return _same_start(binned, last).filter(F.col("_bin") <= F.col("_last"))
+
+
+def _same_start(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """``rows`` with the columns of their group and start."""
+    g = groups.withColumnsRenamed({c: f"_{c}" for c in GROUP})
+    on = F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("part") == F.col("_part")) & (F.col("start") == F.col("_start"))
+    return rows.join(g, on).drop(*(f"_{c}" for c in GROUP))
+
+
+D = range(len(STATS))
+PAIRS = [(i, j) for i in D for j in range(i + 1)]
+MEANS, COVARIANCES, FACTORS = [f"m{i}" for i in D], [f"c{i}{j}" for i, j in PAIRS], [f"l{i}{j}" for i, j in PAIRS]
 
 
 def _estimate(core: DataFrame) -> DataFrame:
-    """Per group: means m*, the lower Cholesky factor l** of the covariance, and its log-determinant."""
-    d = range(len(STATS))
-    pairs = [(i, j) for i in d for j in range(i + 1)]
-    sums = core.groupBy("lang", "part").agg(
-        F.count("*").alias("n"), *(F.avg(STATS[i]).alias(f"m{i}") for i in d), *(F.avg(F.col(STATS[i]) * F.col(STATS[j])).alias(f"c{i}{j}") for i, j in pairs)
+    """Per group and start: means m*, covariances c**, Cholesky factor l**, log-determinant."""
+    sums = core.groupBy(*GROUP).agg(
+        *(F.avg(STATS[i]).alias(f"m{i}") for i in D), *(F.avg(F.col(STATS[i]) * F.col(STATS[j])).alias(f"c{i}{j}") for i, j in PAIRS)
     )
     floors = [FLOORS[s] for s in STATS]
-    out = sums.withColumns(
-        {f"c{i}{j}": CONSISTENCY * (F.col(f"c{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) + (floors[i] ** 2 if i == j else 0.0) for i, j in pairs}
+    return factored(
+        sums.withColumns({f"c{i}{j}": CONSISTENCY * (F.col(f"c{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) + (floors[i] ** 2 if i == j else 0.0) for i, j in PAIRS})
     )
-    for i, j in pairs:  # row by row, each from those above and to the left
+
+
+def factored(out: DataFrame) -> DataFrame:
+    """``out`` with covariances c** plus the lower Cholesky factor l** and ``log_det``."""
+    for i, j in PAIRS:  # row by row, each from those above and to the left
         left = F.col(f"c{i}{j}")
         for k in range(j):
             left = left - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
         out = out.withColumn(f"l{i}{j}", F.sqrt(left) if i == j else left / F.col(f"l{j}{j}"))
-    log_det = sum((2 * F.log(f"l{i}{i}") for i in d), F.lit(0.0))
-    return out.select("lang", "part", "n", *(f"m{i}" for i in d), *(f"l{i}{j}" for i, j in pairs), log_det.alias("log_det"))
+    return out.withColumn("log_det", sum((2 * F.log(f"l{i}{i}") for i in D), F.lit(0.0)))
 
 
 def with_distance(rows: DataFrame) -> DataFrame:
@@ -186,15 +211,9 @@ def with_distance(rows: DataFrame) -> DataFrame:
     return rows.withColumn("distance", total)
 
 
-def parts(rows: DataFrame) -> DataFrame:
-    """(lang, source, part): the source, or null for the small sources of a language together."""
-    sizes = rows.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    return sizes.select("lang", "source", F.when(F.col("n") >= LEAST_GROUP, F.concat(F.lit("="), F.coalesce("source", F.lit("")))).alias("part"))
-
-
-def with_part(rows: DataFrame, known: DataFrame) -> DataFrame:
-    k = known.withColumnsRenamed({"lang": "_lang", "source": "_source"})
-    return rows.join(k, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left").drop("_lang", "_source")
+def part_of(source: Column) -> Column:
+    """The group of a source within its language; null and empty sources are apart."""
+    return F.coalesce(F.concat(F.lit("="), source), F.lit(NULL_SOURCE))
 
 
 def measured(docs: DataFrame, text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
@@ -210,55 +229,85 @@ def measured(docs: DataFrame, text_col: str = "text", keep: Sequence[str] = ())
     return stored(docs.sparkSession, found, "statistics")
 
 
-def fit(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(parts, estimates) from all measured documents that pass the base rules."""
+def _starts() -> list[Column]:
+    """Squared distances from the medians: scaled by the median deviations and added up, the largest
+    one of them alone, and scaled by the floors."""
+    scaled = [F.pow(F.col(f"dev{k}"), 2) / (F.pow(F.col(f"mad{k}") * 1.4826, 2) + FLOORS[s] ** 2) for k, s in enumerate(STATS)]
+    plain = [F.pow(F.col(f"dev{k}") / FLOORS[s], 2) for k, s in enumerate(STATS)]
+    return [sum(scaled, F.lit(0.0)), F.greatest(*scaled), sum(plain, F.lit(0.0))]
+
+
+def _better(now: DataFrame, new: DataFrame) -> DataFrame:
+    """Each group's and start's estimate after a step, with ``fell``: whether the step was taken."""
+    other = new.select(*GROUP, F.struct(*MEANS, *COVARIANCES, *FACTORS, "log_det").alias("_new"))
+    fell = F.col("_new.log_det") < F.col("log_det") - FALL
+    kept = [F.when(fell, F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in (*MEANS, *COVARIANCES, *FACTORS, "log_det")]
+    return _same_start(now.drop("fell"), other).select(*GROUP, *kept, fell.alias("fell"))
+
+
+def fit(found: DataFrame) -> DataFrame:
+    """The estimate per (lang, part) from all measured documents that pass the base rules."""
     spark = found.sparkSession
-    found = found.filter(~F.col("base_failed")).select("lang", "source", *STATS)
-    known = stored(spark, parts(found), "parts")
-    rows = with_part(found, known).select("lang", "part", *STATS)
+    found = found.filter(~F.col("base_failed"))
+    # Every document counts in its source and in its language.
+    rows = found.select("lang", F.explode(F.array(F.lit(ALL), part_of(F.col("source")))).alias("part"), *STATS)
 
     middle = stored(spark, _wide(_binned_medians(rows, STATS), "med"), "medians")
     centred = _same_group(rows, middle).withColumns({f"dev{k}": F.abs(F.col(s) - F.col(f"med{k}")) for k, s in enumerate(STATS)})
     deviation = _binned_medians(centred.select("lang", "part", *(F.col(f"dev{k}").alias(s) for k, s in enumerate(STATS))), STATS)
     spread = stored(spark, _wide(deviation, "mad"), "deviations")
-    scaled = sum(
-        (F.pow(F.col(f"dev{k}"), 2) / (F.pow(F.col(f"mad{k}") * 1.4826, 2) + FLOORS[s] ** 2) for k, s in enumerate(STATS)), F.lit(0.0)
-    )
-    core = _closest(_same_group(centred, spread), scaled)
-    estimate = stored(spark, _estimate(core), "estimate")
-    for _ in range(STEPS):
-        core = _closest(with_distance(_same_group(rows, estimate)).select("lang", "part", *STATS, "distance"), F.col("distance"))
-        estimate = stored(spark, _estimate(core), "estimate")
-    return known, estimate
-
-
-def judged(rows: DataFrame, known: DataFrame, estimate: DataFrame) -> DataFrame:
+    begun = F.explode(F.array(*(F.struct(F.lit(i).alias("start"), d.alias("distance")) for i, d in enumerate(_starts())))).alias("s")
+    begun = _same_group(centred, spread).select("lang", "part", *STATS, begun).select("lang", "part", *STATS, "s.*")
+    estimate = stored(spark, _estimate(_closest(begun, F.col("distance"))), "estimate")
+    each = rows.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(STARTS - 1))))
+    while True:
+        core = _closest(with_distance(_same_start(each, estimate.select(*GROUP, *MEANS, *FACTORS))).select(*GROUP, *STATS, "distance"), F.col("distance"))
+        estimate = stored(spark, _better(estimate, _estimate(core)), "estimate")
+        if estimate.filter("fell").isEmpty():
+            break
+    least = F.min_by(F.struct(*MEANS, *COVARIANCES), F.struct("log_det", "start")).alias("_best")
+    best = estimate.groupBy("lang", "part").agg(least).select("lang", "part", "_best.*")
+    sizes = rows.groupBy("lang", "part").agg(F.count("*").alias("n"))
+    return stored(spark, shrunk(_same_group(best, sizes)), "estimate")
+
+
+def shrunk(best: DataFrame) -> DataFrame:
+    """Estimates of sources drawn towards those of their languages, with factors."""
+    names = [*MEANS, *COVARIANCES]
+    whole = best.filter(F.col("part") == ALL).select(F.col("lang").alias("_lang"), *(F.col(c).alias(f"_{c}") for c in names))
+    own = best.filter(F.col("part") != ALL).withColumn("_w", F.col("n") / (F.col("n") + SHRINK))
+    both = own.join(whole, F.col("lang").eqNullSafe(F.col("_lang")))
+    drawn = both.select("lang", "part", "n", *((F.col("_w") * F.col(c) + (1 - F.col("_w")) * F.col(f"_{c}")).alias(c) for c in names))
+    return factored(drawn).drop(*COVARIANCES)
+
+
+def judged(rows: DataFrame, estimate: DataFrame) -> DataFrame:
     """Measured rows plus ``distance`` and ``kept``: false if the base rules fail or the distance
     is beyond LIMIT. A group without an estimate (none of its documents passes the base rules)
     rejects nothing more."""
-    rows = with_distance(_same_group(with_part(rows, known), estimate))
-    # One comparison rather than two conditions: a filter on the base rules alone would be moved
-    # to before the counts, and there repeat their work on every word.
-    return rows.withColumn("kept", F.coalesce("distance", F.lit(0.0)) + F.when(F.col("base_failed"), 2 * LIMIT).otherwise(0.0) <= LIMIT)
+    grouped = _same_group(rows.withColumn("part", part_of(F.col("source"))), estimate.drop("n", "log_det"))
+    near = F.coalesce(F.col("distance") <= LIMIT, F.lit(True))
+    return with_distance(grouped).withColumn("kept", ~F.col("base_failed") & near)
 
 
 def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, COUNTS, ``base_failed``, ``distance`` and ``kept`` of every row of ``docs``.
 
-    Null and empty texts have no words and fail. Null languages and sources are values of their
-    own. Rows aren't joined with each other, only with the estimate of their group, so repeated
-    rows and null ids stay.
+    Null and empty texts have no words and fail; texts of any length are counted whole. Null
+    languages and null or empty sources are values of their own. Rows aren't joined with each other, only
+    with the estimate of their group, so repeated rows and null ids stay. An empty table gives no rows.
     """
     found = measured(docs, text_col, [id_col])
-    return judged(found, *fit(found)).select(F.col(f"_{id_col}").alias(id_col), *COUNTS, "base_failed", "distance", "kept")
+    return judged(found, fit(found)).select(F.col(f"_{id_col}").alias(id_col), *COUNTS, "base_failed", "distance", "kept")
 
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept, with the columns of ``docs``.
 
-    The statistics are worked out a second time beside the texts, which then need no shuffle.
+    The rows are written once beside their statistics, so the words are counted once and the texts
+    need no shuffle.
     """
-    known, estimate = fit(measured(docs, text_col))
     row = F.struct(*docs.columns).alias("_row")
     narrow = docs.select(row, F.col(text_col).alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
-    return judged(statistics(word_counts(narrow)), known, estimate).filter("kept").select("_row.*")
+    found = stored(docs.sparkSession, statistics(word_counts(narrow)).select("_row", "lang", "source", *STATS, "base_failed"), "statistics")
+    return judged(found, fit(found)).filter("kept").select("_row.*")

@@ -4,42 +4,56 @@ from __future__ import annotations
 
 from evenkeel.llm import quality_rules as q
 
-D = range(len(q.STATS))
-PAIRS = [(i, j) for i in D for j in range(i + 1)]
+D, PAIRS = q.D, q.PAIRS
+MOMENTS = [*q.MEANS, *q.COVARIANCES]
+STEPS = 14  # more than the given tables need; a step that lowers no determinant changes nothing
+GROUP = "lang, part, start"
+
+
+def _same(a: str, b: str, start: bool = True) -> str:
+    return f"{a}.lang IS NOT DISTINCT FROM {b}.lang AND {a}.part = {b}.part" + (f" AND {a}.start = {b}.start" if start else "")
+
+
 SPACE = r"\x20\x09-\x0D"
 
 
 def _core(name: str, rows: str, distance: str) -> str:
-    """The closest part of every group of ``rows``, by whole bins of distance."""
+    """The closest half of every group and start of ``rows``, by whole bins of distance."""
     return f"""
 {name}_b AS MATERIALIZED (SELECT *, floor(log2({distance} + 1e-6) * {q.OCTAVE})::BIGINT AS bin FROM {rows}),
-{name}_n AS (SELECT lang, part, bin, count(*) AS n FROM {name}_b GROUP BY ALL),
-{name}_w AS (SELECT lang, part, bin, sum(n) OVER (PARTITION BY lang, part ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY lang, part) AS alln FROM {name}_n),
-{name}_l AS (SELECT lang, part, min(bin) AS last FROM {name}_w WHERE upto >= alln * {q.CORE} GROUP BY ALL),
-{name} AS MATERIALIZED (SELECT b.lang, b.part, {', '.join('b.' + s for s in q.STATS)} FROM {name}_b b JOIN {name}_l l
-  ON b.lang IS NOT DISTINCT FROM l.lang AND b.part IS NOT DISTINCT FROM l.part WHERE b.bin <= l.last),"""
+{name}_n AS (SELECT {GROUP}, bin, count(*) AS n FROM {name}_b GROUP BY ALL),
+{name}_w AS (SELECT {GROUP}, bin, sum(n) OVER (PARTITION BY {GROUP} ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY {GROUP}) AS alln FROM {name}_n),
+{name}_l AS (SELECT {GROUP}, min(bin) AS last FROM {name}_w WHERE upto >= least((alln + {len(q.STATS) + 1}) / 2.0, alln) GROUP BY ALL),
+{name} AS MATERIALIZED (SELECT b.lang, b.part, b.start, {', '.join('b.' + s for s in q.STATS)} FROM {name}_b b JOIN {name}_l l ON {_same('b', 'l')} WHERE b.bin <= l.last),"""
 
 
-def _estimate(name: str, core: str) -> str:
-    floors = [q.FLOORS[s] for s in q.STATS]
-    sums = ", ".join([f"avg(x{i}) AS m{i}" for i in D] + [f"avg(x{i} * x{j}) AS s{i}{j}" for i, j in PAIRS])
-    covs = ", ".join(f"{q.CONSISTENCY!r} * (s{i}{j} - m{i} * m{j}) + {floors[i] ** 2 if i == j else 0.0!r} AS c{i}{j}" for i, j in PAIRS)
-    out = f"\n{name}_s AS (SELECT lang, part, {sums} FROM {core} GROUP BY ALL),\n{name}_c AS (SELECT *, {covs} FROM {name}_s),"
-    last = f"{name}_c"
+def _factored(name: str, rows: str, keep: str) -> str:
+    """``rows`` with the Cholesky factor of their covariances and the logarithm of the determinant."""
+    out, last = "", rows
     for i, j in PAIRS:
         left = f"c{i}{j}" + "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
         out += f"\n{name}_{i}{j} AS (SELECT *, {f'sqrt({left})' if i == j else f'({left}) / l{j}{j}'} AS l{i}{j} FROM {last}),"
         last = f"{name}_{i}{j}"
-    return out + f"\n{name} AS MATERIALIZED (SELECT lang, part, {', '.join([f'm{i}' for i in D] + [f'l{i}{j}' for i, j in PAIRS])} FROM {last}),"
+    log_det = " + ".join(f"2 * ln(l{i}{i})" for i in D)
+    return out + f"\n{name} AS MATERIALIZED (SELECT {keep}, {', '.join([*MOMENTS, *q.FACTORS])}, {log_det} AS log_det FROM {last}),"
+
+
+def _estimate(name: str, core: str) -> str:
+    floors = [q.FLOORS[s] for s in q.STATS]
+    sums = ", ".join([f"avg(x{i}) AS m{i}" for i in D] + [f"avg(x{i} * x{j}) AS s{i}{j}" for i, j in PAIRS])
+    covs = ", ".join(f"{q.CONSISTENCY!r} * (s{i}{j} - m{i} * m{j}) + {floors[i] ** 2 if i == j else 0.0!r} AS c{i}{j}" for i, j in PAIRS)
+    out = f"\n{name}_s AS (SELECT {GROUP}, {sums} FROM {core} GROUP BY ALL),\n{name}_c AS (SELECT *, {covs} FROM {name}_s),"
+    return out + _factored(name, f"{name}_c", GROUP)
 
 
-def _distance(name: str, rows: str, estimate: str) -> str:
+def _distance(name: str, rows: str, estimate: str, start: bool = True) -> str:
     """``rows`` with the squared distance to the estimate of their group."""
-    out = f"\n{name}_0 AS (SELECT r.*, e.* EXCLUDE (lang, part) FROM {rows} r LEFT JOIN {estimate} e ON r.lang IS NOT DISTINCT FROM e.lang AND r.part IS NOT DISTINCT FROM e.part),"
+    used = ", ".join(f"e.{c}" for c in [*q.MEANS, *q.FACTORS])
+    out = f"\n{name}_0 AS (SELECT r.*, {used} FROM {rows} r LEFT JOIN {estimate} e ON {_same('r', 'e', start)}),"
     for i in D:
         z = f"x{i} - m{i}" + "".join(f" - l{i}{k} * z{k}" for k in range(i))
         out += f"\n{name}_{i + 1} AS (SELECT *, ({z}) / l{i}{i} AS z{i} FROM {name}_{i}),"
-    keep = ", ".join(f"m{i}" for i in D) + ", " + ", ".join(f"l{i}{j}" for i, j in PAIRS) + ", " + ", ".join(f"z{i}" for i in D)
+    keep = ", ".join([*q.MEANS, *q.FACTORS, *(f"z{i}" for i in D)])
     return out + f"\n{name} AS MATERIALIZED (SELECT * EXCLUDE ({keep}), {' + '.join(f'z{i} * z{i}' for i in D)} AS distance FROM {name}_{len(D)}),"
 
 
@@ -59,10 +73,10 @@ def _median(name: str, rows: str, values: dict[str, str]) -> str:
 def with_verdicts(docs: str) -> str:
     """CTEs up to ``verdicts``: the columns of ``docs`` with counts, base_failed and kept. The
     documents' ids must be unique."""
-    scaled = " + ".join(
-        f"pow(abs(x{k} - med{k}), 2) / (pow(mad{k} * 1.4826, 2) + {q.FLOORS[s] ** 2!r})" for k, s in enumerate(q.STATS)
-    )
-    same = lambda a, b: f"{a}.lang IS NOT DISTINCT FROM {b}.lang AND {a}.part IS NOT DISTINCT FROM {b}.part"
+    parts = [f"(pow(abs(x{k} - med{k}), 2) / (pow(mad{k} * 1.4826, 2) + {q.FLOORS[s] ** 2!r}))" for k, s in enumerate(q.STATS)]
+    plain = [f"pow(abs(x{k} - med{k}) / {q.FLOORS[s]!r}, 2)" for k, s in enumerate(q.STATS)]
+    begun = [" + ".join(parts), f"greatest({', '.join(parts)})", " + ".join(plain)]
+    same = lambda a, b: _same(a, b, False)
     sql = f"""
 split AS MATERIALIZED (SELECT *, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^{SPACE}]+') AS w,
   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^{SPACE}]')) AS lines FROM {docs}),
@@ -75,18 +89,28 @@ counted AS (SELECT split.* EXCLUDE (t, w, lines), len(w)::BIGINT AS n_words, len
 measured AS MATERIALIZED (SELECT *, ln(greatest(word_chars, 1) / greatest(n_words, 1)::DOUBLE) AS x0, ln(1 + n_symbols / greatest(n_words, 1)::DOUBLE) AS x1,
   n_repeat_words / greatest(n_words, 1)::DOUBLE AS x2, n_dup_lines / greatest(n_lines, 1)::DOUBLE AS x3,
   n_words < {q.LEAST_WORDS} OR 100 * n_repeat_words > {q.MOST_REPEATED} * n_words AS base_failed FROM counted),
-sizes AS (SELECT lang, source, CASE WHEN count(*) >= {q.LEAST_GROUP} THEN '=' || coalesce(source, '') END AS part FROM measured WHERE NOT base_failed GROUP BY lang, source),
-parted AS MATERIALIZED (SELECT m.*, s.part FROM measured m LEFT JOIN sizes s ON m.lang IS NOT DISTINCT FROM s.lang AND m.source IS NOT DISTINCT FROM s.source),
-rows0 AS MATERIALIZED (SELECT lang, part, {', '.join(q.STATS)} FROM parted WHERE NOT base_failed),"""
+parted AS MATERIALIZED (SELECT *, coalesce('=' || source, '{q.NULL_SOURCE}') AS part FROM measured),
+rows0 AS MATERIALIZED (SELECT lang, unnest(['{q.ALL}', part]) AS part, {', '.join(q.STATS)} FROM parted WHERE NOT base_failed),
+sizes AS (SELECT lang, part, count(*) AS n FROM rows0 GROUP BY ALL),
+starts AS (SELECT r.*, s.start FROM rows0 r, (SELECT unnest(range({q.STARTS})) AS start) s),"""
     sql += _median("med", "rows0", {f"med{k}": f"x{k}" for k in D})
     sql += f"\ncentred AS (SELECT r.*, {', '.join(f'med{k}' for k in D)} FROM rows0 r JOIN med ON {same('r', 'med')}),"
     sql += _median("mad", "centred", {f"mad{k}": f"abs(x{k} - med{k})" for k in D})
     sql += f"\nspread AS MATERIALIZED (SELECT c.*, {', '.join(f'mad{k}' for k in D)} FROM centred c JOIN mad ON {same('c', 'mad')}),"
-    sql += _core("core0", "spread", f"({scaled})") + _estimate("est0", "core0")
-    for step in range(q.STEPS):
-        sql += _distance(f"dist{step}", "rows0", f"est{step}")
-        sql += _core(f"core{step + 1}", f"dist{step}", "distance") + _estimate(f"est{step + 1}", f"core{step + 1}")
-    sql += _distance("final", "parted", f"est{q.STEPS}")
+    sql += "\nbegun AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT *, {i} AS start, {d} AS distance FROM spread" for i, d in enumerate(begun)) + "),"
+    sql += _core("core0", "begun", "distance") + _estimate("est0", "core0")
+    for step in range(STEPS):
+        sql += _distance(f"dist{step}", "starts", f"est{step}")
+        sql += _core(f"core{step + 1}", f"dist{step}", "distance") + _estimate(f"new{step + 1}", f"core{step + 1}")
+        taken = ", ".join(f"CASE WHEN n.log_det < e.log_det - {q.FALL!r} THEN n.{c} ELSE e.{c} END AS {c}" for c in [*MOMENTS, *q.FACTORS, "log_det"])
+        sql += f"\nest{step + 1} AS MATERIALIZED (SELECT e.lang, e.part, e.start, {taken} FROM est{step} e JOIN new{step + 1} n ON {_same('e', 'n')}),"
+    sql += f"\nbest AS MATERIALIZED (SELECT * FROM est{STEPS} QUALIFY row_number() OVER (PARTITION BY lang, part ORDER BY log_det, start) = 1),"
+    drawn = ", ".join(f"w * {c} + (1 - w) * whole_{c} AS {c}" for c in MOMENTS)
+    sql += f"""
+weighed AS (SELECT b.*, n / (n + {q.SHRINK})::DOUBLE AS w FROM best b JOIN sizes s ON {same('b', 's')} WHERE b.part <> '{q.ALL}'),
+whole AS (SELECT lang AS whole_lang, {', '.join(f'{c} AS whole_{c}' for c in MOMENTS)} FROM best WHERE part = '{q.ALL}'),
+drawn AS (SELECT lang, part, {drawn} FROM weighed JOIN whole ON lang IS NOT DISTINCT FROM whole_lang),"""
+    sql += _factored("shrunk", "drawn", "lang, part") + _distance("final", "parted", "shrunk", False)
     return sql + f"\nverdicts AS (SELECT *, NOT base_failed AND NOT coalesce(distance > {q.LIMIT!r}, false) AS kept FROM final)"
 
 
