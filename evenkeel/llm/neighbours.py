@@ -45,14 +45,19 @@ class Tile:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
         self.ids, self.vectors, self.k = ids, vectors, k
-        self.integers, self.scale, self.rest = quantised(vectors)
+        with np.errstate(all="ignore"):
+            self.integers, self.scale, self.rest = quantised(vectors)
+            self.squares = self.scale**2 * (self.integers.astype(np.int64) ** 2).sum(axis=1)
         self.kind = np.float32 if vectors.shape[1] * 127 * 127 < 1 << 24 else np.float64
-        self.squares = self.scale**2 * (self.integers.astype(np.int64) ** 2).sum(axis=1)
         self.best: list[list[tuple[float, int]]] = [[] for _ in ids]  # heaps with the worst on top
         self.bound = np.full(len(ids), np.inf)  # no candidate beyond it is among the k nearest
 
     def feed(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        integers, scale, rest = quantised(vectors)
+        with np.errstate(all="ignore"):  # components may be too large or too small for their squares
+            integers, scale, rest = quantised(vectors)
+            self._feed(ids, vectors, integers, scale, rest)
+
+    def _feed(self, ids: np.ndarray, vectors: np.ndarray, integers: np.ndarray, scale: np.ndarray, rest: np.ndarray) -> None:
         product = (self.integers.astype(self.kind) @ integers.astype(self.kind).T).astype(np.float64)
         squares = scale**2 * (integers.astype(np.int64) ** 2).sum(axis=1)
         apart = self.squares[:, None] + squares[None, :] - 2 * self.scale[:, None] * scale[None, :] * product
@@ -60,11 +65,14 @@ class Tile:
         error = self.rest[:, None] + rest[None, :]
         room = SLACK * np.sqrt(self.squares[:, None] + squares[None, :]) + np.finfo(float).tiny
         other = self.ids[:, None] != ids[None, :]
-        upper = np.where(other, middle + error + room, np.inf)
+        # A bound that overflows says nothing: the pair is computed again.
+        upper, lower = middle + error + room, middle - error - room
+        upper = np.where(other & np.isfinite(upper), upper, np.inf)
+        lower = np.where(np.isfinite(lower), lower, -np.inf)
         if upper.shape[1] >= self.k:
             near = np.partition(upper, self.k - 1, axis=1)[:, self.k - 1]
             self.bound = np.minimum(self.bound, near)
-        row, col = np.nonzero(other & (middle - error - room <= self.bound[:, None]))
+        row, col = np.nonzero(other & (lower <= self.bound[:, None]))
         for at in range(0, len(row), 1 << 16):
             r, c = row[at : at + (1 << 16)], col[at : at + (1 << 16)]
             for q, i, d in zip(r.tolist(), ids[c].tolist(), exact(self.vectors[r], vectors[c]).tolist()):
@@ -173,7 +181,8 @@ def nearest(
     """query_id, rank, vec_id, score: for each row that ``is_query`` (a condition on its ``id``)
     the k nearest other rows by Euclidean distance, ties to the smaller id.
 
-    Rows that don't take part (see ``usable``) are neither queries nor candidates. Vectors of
+    Distances that overflow are infinite, like the same sum in Spark; they rank last, by id. Rows that
+    don't take part (see ``usable``) are neither queries nor candidates. Vectors of
     different lengths are not compared. Rows that repeat an id are candidates each on their own,
     but not of a query of that id; a repeated query is asked once, with the
     smallest of its vectors.

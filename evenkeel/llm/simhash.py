@@ -341,21 +341,15 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: the row of its smallest id; of several such rows
-    the one of least hash, and of equal rows one."""
-    names = docs.columns
-    marked = docs.withColumn("_mark", F.xxhash64(*names))
-    found = near_copies(marked, id_col, text_col, mark=F.col("_mark"))
-    winners = found.groupBy("component_id").agg(
-        F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "mark")).alias("w")
+    """``docs`` with one row of each component: the row of its smallest id, null ids last; of several
+    such rows the first. Columns may have any name and type: the rows are written once, packed
+    beside a number of their own, and whole rows are never compared."""
+    spark = docs.sparkSession
+    packed = docs.select(
+        F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("number")
     )
-    rows = found.groupBy(F.col(id_col).alias("id"), "mark").agg(F.count("*").alias("rows"))
-    chosen = winners.select("w.id", "w.mark").join(rows.select(F.col("id").alias("row_id"), F.col("mark").alias("row_mark"), "rows"), _same("id", "row_id") & _same("mark", "row_mark"))
-    chosen = stored(docs.sparkSession, chosen.select(F.col("id").alias("_id"), F.col("mark").alias("_chosen"), F.col("rows").alias("_rows")), "chosen")
-    kept = marked.join(chosen, _same(id_col, "_id") & _same("_mark", "_chosen"))
-    once, equal = kept.filter("_rows = 1").select(names), kept.filter("_rows > 1").select(names)
-    return once.unionByName(equal.distinct())
-
-
-def _same(a: str, b: str):
-    return F.col(a).eqNullSafe(F.col(b))
+    numbered = stored(spark, packed, "numbered")
+    found = near_copies(numbered.select("number", "text", "id"), "number", "text", row_id=F.col("id"))
+    best = F.min(F.struct(F.col("row_id").isNull().alias("no_id"), "row_id", "number")).alias("best")
+    chosen = stored(spark, found.groupBy("component_id").agg(best).select("best.number"), "chosen")
+    return numbered.join(chosen, "number").select("row.*")

@@ -5,7 +5,7 @@ writer with the blank lines that end a WARC record as its separator, so archives
 shared folder like any other output. Of equal payloads one is kept as a response and the others
 are revisits that refer to it.
 
-Reading takes archives whole (their number of records is bounded), follows the lengths in the
+Reading takes archives whole (their records and bytes are bounded), follows the lengths in the
 headers, checks every payload against its digest and gives each archive's captures in order: a
 sorted run. The runs are merged outside of any one machine's memory: captures are dealt to ranges
 of (URL key, time, page), so a URL with many captures is split too, and within a range the runs
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from evenkeel.session import shared_dir, ship_package, stored
 
 LEAST_SHARED = 1000  # bytes from which equal payloads are kept once
-ARCHIVE_RECORDS = 20_000
+ARCHIVE_RECORDS, ARCHIVE_BYTES = 20_000, 1 << 30  # most of an archive; one record may be larger
 RANGE_ROWS = 250_000
 EPOCH = "2024-01-01T00:00:00Z"  # time of page 0 where a table has no times; page n is n seconds later
 END = "\r\n\r\n"
@@ -93,11 +93,30 @@ def record(row: DataFrame, time_col: str | None = None) -> Column:
     return F.concat(head, F.lit(END), block)
 
 
-def write_archives(pages: DataFrame, path: str | None = None, time_col: str | None = None, **names) -> str:
-    """Write a record per row of ``pages`` to WARC files below ``path``; gives the folder."""
+def write_archives(
+    pages: DataFrame, path: str | None = None, time_col: str | None = None, most_bytes: int = ARCHIVE_BYTES, most_records: int = ARCHIVE_RECORDS, **names
+) -> str:
+    """Write a record per row of ``pages`` to WARC files below ``path``; gives the folder.
+
+    An archive has at most ``most_records`` records and ``most_bytes`` bytes, but at least one
+    record. Records that could exceed the bytes are written apart, with as many to an archive as
+    the largest of them allows.
+    """
     path = path or shared_dir(pages.sparkSession, "archives")
     typed = with_types(pages, **names)
-    typed.select(record(typed, time_col).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
+    lines = typed.select(record(typed, time_col).alias("value"))
+    share = most_bytes // most_records
+    # A header has the URL and under a kilobyte of its own.
+    largest = pages.agg(F.max(F.octet_length(names.get("html_col", "html"))), F.max(F.octet_length(names.get("url_col", "url")))).first()
+    largest = sum(x or 0 for x in largest) + 1024
+    size = F.octet_length("value") + len(END)
+
+    def write(some: DataFrame, records: int) -> None:
+        some.write.mode("append").option("lineSep", END).option("maxRecordsPerFile", records).text(path)
+
+    write(lines if largest <= share else lines.filter(size <= share), most_records)
+    if largest > share:
+        write(lines.filter(size > share), max(1, most_bytes // largest))
     return path
 
 

@@ -41,6 +41,26 @@ def test_ties_duplicates_and_odd_vectors(spark, query_block, candidate_block):
     assert {tuple(r) for r in got.collect()} == brute_force(rows, lambda i: i % 10 == 0, 7)
 
 
+def test_components_whose_squares_overflow_or_vanish(spark):
+    rng = random.Random(9)
+    sizes = [1e160, 1e308, 1e-310, 1e-200, 5e-324, 1.0]
+    rows = [(i, [rng.choice([-1, 1, 0.5]) * rng.choice(sizes) for _ in range(4)]) for i in range(120)]
+    rows += [(200 + i, [rng.random() * 1e160 for _ in range(4)]) for i in range(30)] + [(300 + i, [rng.random() * 1e-310 for _ in range(4)]) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {tuple(r) for r in neighbours.nearest(df, F.col("id") % 10 == 0).collect()}
+
+    def apart(x, y):  # as doubles: a square beyond them is infinite
+        return math.sqrt(sum(float(np.square(np.float64(a) - np.float64(b))) for a, b in zip(x, y)))
+
+    want = set()
+    with np.errstate(over="ignore"):
+        for q, x in rows:
+            if q % 10 == 0:
+                near = sorted((apart(x, y), i) for i, y in rows if i != q)
+                want |= {(q, rank, i, d) for rank, (d, i) in enumerate(near[:10], 1)}
+    assert got == want and len(got) == 10 * sum(q % 10 == 0 for q, _ in rows)
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(200, 16)) * rng.uniform(0.01, 100, (200, 1))

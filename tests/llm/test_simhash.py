@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from evenkeel.llm import queries, simhash
 from evenkeel.llm.components import _towards_least, components
@@ -110,6 +111,20 @@ def test_edges(spark):
     assert simhash.one_of_each(docs.limit(0)).count() == 0
 
 
+def test_one_of_each_takes_any_columns(spark):
+    """Names that are used inside, maps, rows that are equal, ids that are null."""
+    text, other = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(3, text, {"k": "a"}, 1.0, 1, "x"), (2, text, {"k": "b"}, 2.0, 2, "y"), (2, text, {"k": "b"}, 2.0, 2, "y")]
+    rows += [(None, other, None, 3.0, 3, "z"), (None, other, None, 3.0, 3, "z"), (None, None, {}, 4.0, 4, None)]
+    names = "doc_id long, text string, m map<string,string>, _mark double, _rows int, number string"
+    docs = spark.createDataFrame(rows, names).withColumns({"row": F.lit(1), "_id": F.lit(2), "_chosen": F.lit(3), "id": F.lit(4)})
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text, r.m, r._mark) for r in kept.collect()), key=repr) == sorted(
+        [(2, text, {"k": "b"}, 2.0), (None, other, None, 3.0), (None, None, {}, 4.0)], key=repr
+    )
+
+
 def test_no_aggregation_stands_right_before_the_join_of_a_round(spark):
     edges = spark.createDataFrame([(n, n // 2) for n in range(2, 40)] + [(7, 1)], "node long, to long")
     out = _towards_least(edges)

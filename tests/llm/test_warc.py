@@ -36,6 +36,17 @@ def test_payloads_come_back(spark):
     assert raw[one.archive][one.offset : one.offset + one.length].startswith(b"WARC/1.1\r\nWARC-Type: revisit")
 
 
+def test_archives_are_bounded_by_bytes(spark):
+    """Large records are written apart; only one that is too large by itself exceeds the bytes."""
+    html = ["a" * (50 + k % 7) for k in range(300)] + ["b%d" % k + "x" * 4000 for k in range(20)] + ["y" * 60_000]
+    pages = spark.createDataFrame([(k, f"http://a/{k}", h) for k, h in enumerate(html)], "page_id long, url string, html string").coalesce(1)
+    path = warc.write_archives(pages, most_bytes=30_000, most_records=25)
+    sizes = [(f.length, len(list(warc.records(bytes(f.content))))) for f in spark.read.format("binaryFile").load(path).filter("length > 0").collect()]
+    assert sum(n for _, n in sizes) == len(html) and all(n <= 25 and (size <= 30_000 or n == 1) for size, n in sizes)
+    got = {r.page_id: r.payload_bytes for r in warc.read_archives(spark, path).collect()}
+    assert got == {k: len(h) for k, h in enumerate(html)}
+
+
 def test_damage_is_found(spark):
     path = warc.write_archives(spark.createDataFrame([(1, "http://a", "hello")], "page_id long, url string, html string"))
     content = bytes(spark.read.format("binaryFile").load(path).first().content)
