@@ -304,10 +304,13 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept, with the columns of ``docs``.
 
-    The rows are written once beside their statistics, so the words are counted once and the texts
-    need no shuffle.
+    The statistics are worked out a second time beside the texts: written beside them, the texts
+    would stand in the shared folder once more for as long as the result is read.
     """
+    estimate = fit(measured(docs, text_col))
     row = F.struct(*docs.columns).alias("_row")
     narrow = docs.select(row, F.col(text_col).alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
-    found = stored(docs.sparkSession, statistics(word_counts(narrow)).select("_row", "lang", "source", *STATS, "base_failed"), "statistics")
-    return judged(found, fit(found)).filter("kept").select("_row.*")
+    found = judged(statistics(word_counts(narrow)), estimate)
+    # One comparison rather than two conditions: a filter on the base rules alone would be moved
+    # to before the counts, and there repeat their work on every word.
+    return found.filter(F.coalesce("distance", F.lit(0.0)) + F.when(F.col("base_failed"), 2 * LIMIT).otherwise(0.0) <= LIMIT).select("_row.*")

@@ -340,16 +340,21 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return found.join(labels, "print").select(F.col("id").alias(id_col), *more, "print", "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", written: bool = False) -> DataFrame:
     """``docs`` with one row of each component: the row of its smallest id, null ids last; of several
-    such rows the first. Columns may have any name and type: the rows are written once, packed
-    beside a number of their own, and whole rows are never compared."""
+    such rows the first. Columns may have any name and type: rows are packed beside a number of
+    their own, and whole rows are never compared.
+
+    The numbers have to be the same when the rows are read again, so the packed rows are written
+    once, unless ``written`` says that ``docs`` is a table in files, whose rows keep their order.
+    """
     spark = docs.sparkSession
-    packed = docs.select(
+    numbered = docs.select(
         F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("number")
     )
-    numbered = stored(spark, packed, "numbered")
+    if not written:
+        numbered = stored(spark, numbered, "numbered")
     found = near_copies(numbered.select("number", "text", "id"), "number", "text", row_id=F.col("id"))
     best = F.min(F.struct(F.col("row_id").isNull().alias("no_id"), "row_id", "number")).alias("best")
     chosen = stored(spark, found.groupBy("component_id").agg(best).select("best.number"), "chosen")
-    return numbered.join(chosen, "number").select("row.*")
+    return numbered.select("row", "number").join(chosen, "number").select("row.*")
