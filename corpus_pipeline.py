@@ -21,7 +21,7 @@ def drop_outliers(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document of the smallest id."""
-    return simhash.one_of_each(docs)
+    return simhash.one_of_each(docs, written=True)  # every stage reads what was written
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
