@@ -15,16 +15,36 @@ def _or_empty(a: ColumnLike) -> Column:
 def array_minus(a: ColumnLike, b: ColumnLike) -> Column:
     """Items of ``a`` that are not in ``b``; order and duplicates of ``a`` are kept.
 
-    ``array_except`` drops duplicates, so it serves only where ``a`` has none; there it is
-    quicker, as it looks items up by hash. A null is an item like any other.
+    ``array_except`` looks items up by hash but drops duplicates, so it serves where ``a`` has
+    none; otherwise each item is looked up in the sorted ``b`` by halving. A null is an item like
+    any other.
     """
-    left, right = _or_empty(a), _or_empty(b)
-    has_null = F.exists(right, lambda y: y.isNull())
-    found = lambda x: F.coalesce(F.array_contains(right, x), x.isNull() & has_null, F.lit(False))
-    return F.when(F.size(F.array_distinct(left)) == F.size(left), F.array_except(left, right)).otherwise(
-        F.filter(left, lambda x: ~found(x))
+    left = _or_empty(a)
+    right = F.concat(_or_empty(b), F.slice(left, 1, 0))  # nothing is added; both sides get one type
+    return F.when(F.size(F.array_distinct(left)) == F.size(left), F.array_except(left, right)).otherwise(_minus_sorted(left, right))
+
+
+def _minus_sorted(left: Column, right: Column) -> Column:
+    """Each item of ``left`` against ``right``, which is sorted once per row: the lambda that takes
+    the struct is there to hold what would else be computed for each item."""
+    items = F.array_compact(right)
+    held = F.struct(
+        left.alias("left"),
+        F.sort_array(items).alias("sorted"),
+        F.transform(F.sequence(F.length(F.bin(F.size(items))) - 1, F.lit(0), F.lit(-1)), lambda k: F.pow(2, k).cast("int")).alias("strides"),
+        F.exists(right, lambda y: y.isNull()).alias("has_null"),
     )
 
+    def found(s: Column, x: Column) -> Column:
+        def further(at, stride):
+            up = at + stride
+            return F.when((up <= F.size(s["sorted"])) & (F.get(s["sorted"], up - 1) <= x), up).otherwise(at)
+
+        not_above = F.aggregate(s["strides"], F.lit(0), further)
+        return F.when(x.isNull(), s["has_null"]).otherwise(F.coalesce(F.get(s["sorted"], not_above - 1) == x, F.lit(False)))
+
+    return F.get(F.transform(F.array(held), lambda s: F.filter(s["left"], lambda x: ~found(s, x))), F.lit(0))
+
 
 def has_missing(a: ColumnLike, b: ColumnLike) -> Column:
     """Whether ``array_minus(a, b)`` would have items."""

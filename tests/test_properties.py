@@ -34,6 +34,18 @@ def test_list_functions(spark):
         assert got[i].both == left + right
 
 
+def test_array_minus_of_long_lists(spark):
+    """Duplicates, nulls and 20,000 items on each side; halving, not one look at each pair."""
+    rng = random.Random(11)
+    pick = lambda n: [None if rng.random() < 0.01 else rng.randrange(30_000) for _ in range(n)]
+    rows = [(0, pick(20_000), pick(20_000)), (1, pick(300), []), (2, pick(300), [None]), (3, pick(300), [5]), (4, [7, 7], pick(1_000))]
+    df = spark.createDataFrame(rows, "i int, a array<int>, b array<bigint>")
+    got = {r.i: r.minus for r in df.select("i", K.array_minus("a", "b").alias("minus")).collect()}
+    for i, a, b in rows:
+        drop = set(b)
+        assert got[i] == [x for x in a if x not in drop]
+
+
 def test_rows_minus_is_array_minus_on_rows(spark):
     rows = lists(random.Random(8), 200)
     df = spark.createDataFrame(rows, "i int, a array<string>, b array<string>")
