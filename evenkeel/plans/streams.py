@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evenkeel import functions as K
-from evenkeel.operators import distinct_requests, fill_if_missing, filter_changes, reference_lists, rows_dedup
+from evenkeel.operators import distinct_requests, fill_if_missing, filter_changes, installed_items, reference_lists, rows_dedup
 from evenkeel.operators.conditions import latest_rows
 from evenkeel.plans.columns import FILTERED_SQL, change_feed, change_rules
 from evenkeel.plans.registry import FEED_SLICES, feed, query, table
@@ -19,6 +19,7 @@ from evenkeel.streaming import (
     affected_stream,
     change_stream,
     edge_table,
+    job_steps,
     reconcile_stream,
     start,
     suppress_unchanged,
@@ -135,9 +136,7 @@ def _(spark, sf):
     return _suppressed(spark, content, ["day", "props"]).select("user_id", "ts", "event_id")
 
 
-@query(
-    "track_jobs",
-    r"""WITH RECURSIVE seen AS (
+TRACKED_SQL = r"""WITH RECURSIVE seen AS (
           SELECT user_id, ts, event_id, event_type,
                  CASE WHEN event_type = 'base' THEN ['base'] ELSE ['base', event_type, 'k' || regexp_extract(props, '"k": (\d+)', 1)] END AS wanted,
                  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n
@@ -160,26 +159,53 @@ def _(spark, sf):
         SELECT user_id, ts, event_id, action, array_to_string(items, ',') AS items,
                CASE WHEN action = 'CLEAR' THEN array_to_string(installed, ',') END AS installed,
                CASE action WHEN 'START' THEN 30 WHEN 'CLEAR' THEN 30 WHEN 'WAIT' THEN 15 END AS retry_after_s
-        FROM walk WHERE n > 0""",
-)
-def _(spark, sf):
+        FROM walk WHERE n > 0"""
+
+
+def _observations(spark, sf):
     kind = F.col("event_type")
     k = F.from_json("props", "k int")["k"].cast("string")
-    observed = feed(spark, sf, "events").select(
+    return feed(spark, sf, "events").select(
         "user_id", "ts", "event_id",
         F.array(F.lit("base"), kind, F.concat(F.lit("k"), k)).alias("desired"),
         (kind == "view").cast("int").alias("active"),
         kind.isin("purchase", "signup").cast("int").alias("succeeded"),
         (kind == "error").cast("int").alias("failed"),
     )
-    tracked = track_jobs(observed, "user_id", "ts", "event_id")
-    log = _replayed(spark, "jobs", tracked)
+
+
+@query("track_jobs", TRACKED_SQL)
+def _(spark, sf):
+    log = _replayed(spark, "jobs", track_jobs(_observations(spark, sf), "user_id", "ts", "event_id"))
     return log.select(
         "user_id", "ts", "event_id", "action", K.join_items("items").alias("items"),
         K.join_items("installed").alias("installed"), "retry_after_s",
     )
 
 
+def _job_steps(spark, sf):
+    rows = _observations(spark, sf)
+    return _written(spark, "steps", lambda sink, at: job_steps(rows, sink, at, f"{at}-state", "user_id", "ts", "event_id", available_now=True))
+
+
+@query("job_steps", f"SELECT * EXCLUDE (installed) FROM ({TRACKED_SQL})")
+def _(spark, sf):
+    return _job_steps(spark, sf).select("user_id", "ts", "event_id", "action", K.join_items("items").alias("items"), "retry_after_s")
+
+
+@query(
+    "job_steps_installed",
+    f"""SELECT user_id, ts, event_id, unnest(range(len(list))) AS item_no, unnest(list) AS item
+        FROM (SELECT user_id, ts, event_id, string_split(items, ',') AS list FROM ({TRACKED_SQL}) WHERE action = 'CLEAR')""",
+)
+def _(spark, sf):
+    """The installed list of each user as rows."""
+    log = _job_steps(spark, sf)
+    return installed_items(log, "user_id", "items", ["ts", "event_id"], F.col("action") == "CLEAR").select(
+        "user_id", "ts", "event_id", F.col("item_no").cast("long").alias("item_no"), "item"
+    )
+
+
 def _namespace(key):
     return F.concat(F.lit("ns-"), key % 8)
 

@@ -25,6 +25,18 @@ LATE = "LATE"
 STATE = "ts long, seq long, job array<string>, installed array<string>, delay int"
 
 
+def next_step(job: list | None, have: set, wanted: Sequence | None, succeeded: bool, active: bool, failed: bool):
+    """(action, items, delay, recorded job afterwards) of an observation, as in ``job_state``."""
+    if job is not None and succeeded:
+        return CLEAR, job, JOB_SUCCEEDED_RETRY_S, None
+    if job is not None and active:
+        return WAIT, [], JOB_RUNNING_RETRY_S, job
+    if job is not None and failed:
+        return FAILED, [], None, job
+    items = [x for x in dict.fromkeys(wanted if wanted is not None else ()) if x not in have]
+    return (START, items, JOB_CREATED_RETRY_S, items) if items else (DONE, [], None, job)
+
+
 def track_jobs(
     stream: DataFrame,
     keys: str | Sequence[str] = ("namespace", "object"),
@@ -106,21 +118,10 @@ def track_jobs(
         )
         wanted = pdf[desired].to_numpy(dtype=object)
         for i in order:
-            succeeded, active, failed = counts[i]
-            if job is not None and succeeded > 0:
-                action, items, delay = CLEAR, job, JOB_SUCCEEDED_RETRY_S
-                installed, job = installed + job, None
+            action, items, delay, job = next_step(job, have, wanted[i], *(counts[i] > 0))
+            if action == CLEAR:
+                installed = installed + items
                 have.update(items)
-            elif job is not None and active > 0:
-                action, items, delay = WAIT, [], JOB_RUNNING_RETRY_S
-            elif job is not None and failed > 0:
-                action, items, delay = FAILED, [], None
-            else:
-                items = [x for x in dict.fromkeys(wanted[i] if wanted[i] is not None else ()) if x not in have]
-                if items:
-                    action, job, delay = START, items, JOB_CREATED_RETRY_S
-                else:
-                    action, delay = DONE, None
             steps.append((action, items, installed if action == CLEAR else None, delay))
         top = order[-1]
         state.update((int(us[top]), int(no[top]), job, installed, delay))

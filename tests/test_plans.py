@@ -18,7 +18,7 @@ from evenkeel.plans.registry import table
 from evenkeel.sources import in_namespace, lookup, lookup_many
 
 SF = "/root/testdata/sf0.001"
-STREAMS = {"read_changes", "affected_stream", "reconcile_stream", "track_conditions", "suppress_unchanged", "track_jobs", "append_status"}
+STREAMS = {"read_changes", "affected_stream", "reconcile_stream", "track_conditions", "suppress_unchanged", "track_jobs", "job_steps", "job_steps_installed", "append_status"}
 
 
 def plan(df, mode="formatted"):
