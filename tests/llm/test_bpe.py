@@ -47,6 +47,12 @@ def test_any_text(encoder, library, text):
     assert ids(encoder, text) == library.encode(text, add_special_tokens=False).ids
 
 
+def test_very_long_texts(encoder, library):
+    """A million characters: many words, one word without an edge, and one of a few repeated characters."""
+    for text in ("The quick brown fox, 12 foxes' tails.\n" * 26_000, "abcdefghij" * 20_000, "a😀" * 50_000):
+        assert ids(encoder, text) == library.encode(text, add_special_tokens=False).ids
+
+
 def test_byte_level_pieces():
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)

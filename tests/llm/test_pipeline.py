@@ -79,6 +79,24 @@ def test_stages_return_the_columns_of_documents(spark):
     ]
 
 
+def test_stages_keep_extra_columns_of_any_name(spark):
+    """Names that the stages might use themselves, and a map; a very long text among short ones."""
+    more = ["_mark", "_rows", "_id", "kept", "print", "component_id", "copies", "id", "n_words"]
+    words = " ".join(f"word{i}" for i in range(60))
+    rows = [
+        (i, f"{words} number {i * 7919}" if i % 9 else "", "en", "s", 1, *(f"{c}{i}" for c in more), {"k": str(i)}) for i in range(40)
+    ] + [(99, " ".join(f"long{i}" for i in range(150_000)), "en", "t", 1, *(f"{c}99" for c in more), {"k": "99"})]
+    names = [*COLUMNS, *more, "tags"]
+    docs = spark.createDataFrame(rows, ", ".join(f"{c} {'long' if c in ('doc_id', 'n_chars') else 'map<string,string>' if c == 'tags' else 'string'}" for c in names))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == names
+        docs = docs.cache()
+        for r in docs.collect():
+            assert [r[c] for c in more] == [f"{c}{r.doc_id}" for c in more] and r.tags == {"k": str(r.doc_id)}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count() > 0
+
+
 @pytest.mark.parametrize("text", ["a", "token=abcdef", 'x token = "' + "0f" * 12 + '" y AKIA' + "A" * 16])
 def test_plain_redaction(text):
     assert "abcdef" not in redacted(text)
