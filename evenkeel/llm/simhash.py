@@ -346,11 +346,16 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     their own, and whole rows are never compared.
 
     The numbers have to be the same when the rows are read again, so the packed rows are written
-    once, unless ``written`` says that ``docs`` is a table in files, whose rows keep their order.
+    once. ``written`` says that ``docs`` is read straight from Parquet files: there a row is known
+    by its file and its place in it, however the files are dealt to tasks.
     """
     spark = docs.sparkSession
+    number = F.monotonically_increasing_id()
+    if written:
+        place = docs.metadataColumn("_metadata")
+        number = F.struct(place["file_path"].alias("file"), place["row_index"].alias("at"))
     numbered = docs.select(
-        F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("number")
+        F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), number.alias("number")
     )
     if not written:
         numbered = stored(spark, numbered, "numbered")

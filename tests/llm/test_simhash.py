@@ -125,6 +125,26 @@ def test_one_of_each_takes_any_columns(spark):
     )
 
 
+def test_one_of_each_of_a_written_table_does_not_depend_on_how_it_is_dealt_to_tasks(spark, tmp_path):
+    """The files are read several times, and cut otherwise when executors come or go in between."""
+    texts = [f"{chr(97 + n % 26) * 3} {n} words of a text that is like no other {n * 7919}" for n in range(60)]
+    rows = [(3 * n + k, text, f"{n}-{k}") for k in (2, 0, 1) for n, text in enumerate(texts)]
+    path = str(tmp_path / "docs")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _metadata string")
+    docs.repartition(6, "doc_id").write.option("parquet.block.size", 1024).parquet(path)
+    kept = simhash.one_of_each(spark.read.parquet(path), written=True)
+    assert kept.columns == docs.columns
+    want = sorted((r.doc_id, r.text, r._metadata) for r in simhash.one_of_each(docs).collect())
+    assert len(want) > 50
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "512")
+        assert sorted((r.doc_id, r.text, r._metadata) for r in kept.collect()) == want
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_no_aggregation_stands_right_before_the_join_of_a_round(spark):
     edges = spark.createDataFrame([(n, n // 2) for n in range(2, 40)] + [(7, 1)], "node long, to long")
     out = _towards_least(edges)
