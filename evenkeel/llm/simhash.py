@@ -21,7 +21,8 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, functions as F
 
 from evenkeel.llm.components import components
 from evenkeel.session import ship_package, stored
@@ -340,6 +341,17 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return found.join(labels, "print").select(F.col("id").alias(id_col), *more, "print", "component_id")
 
 
+def _place(docs: DataFrame) -> Column | None:
+    """File and place in it of every row, None if the rows don't come from Parquet files."""
+    try:
+        found = docs.metadataColumn("_metadata")
+        place = F.struct(found["file_path"].alias("file"), found["row_index"].alias("at"))
+        docs.select(place)
+    except AnalysisException:
+        return None
+    return place
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", written: bool = False) -> DataFrame:
     """``docs`` with one row of each component: the row of its smallest id, null ids last; of several
     such rows the first. Columns may have any name and type: rows are packed beside a number of
@@ -347,17 +359,16 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The numbers have to be the same when the rows are read again, so the packed rows are written
     once. ``written`` says that ``docs`` is read straight from Parquet files: there a row is known
-    by its file and its place in it, however the files are dealt to tasks.
+    by its file and its place in it, however the files are dealt to tasks. Where rows have no such
+    place after all, they are written.
     """
     spark = docs.sparkSession
-    number = F.monotonically_increasing_id()
-    if written:
-        place = docs.metadataColumn("_metadata")
-        number = F.struct(place["file_path"].alias("file"), place["row_index"].alias("at"))
+    place = _place(docs) if written else None
+    number = F.monotonically_increasing_id() if place is None else place
     numbered = docs.select(
         F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), number.alias("number")
     )
-    if not written:
+    if place is None:
         numbered = stored(spark, numbered, "numbered")
     found = near_copies(numbered.select("number", "text", "id"), "number", "text", row_id=F.col("id"))
     best = F.min(F.struct(F.col("row_id").isNull().alias("no_id"), "row_id", "number")).alias("best")

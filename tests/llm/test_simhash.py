@@ -136,6 +136,8 @@ def test_one_of_each_of_a_written_table_does_not_depend_on_how_it_is_dealt_to_ta
     assert kept.columns == docs.columns
     want = sorted((r.doc_id, r.text, r._metadata) for r in simhash.one_of_each(docs).collect())
     assert len(want) > 50
+    in_memory = simhash.one_of_each(docs, written=True)  # rows without a place in a file
+    assert sorted((r.doc_id, r.text, r._metadata) for r in in_memory.collect()) == want
     name = "spark.sql.files.maxPartitionBytes"
     before = spark.conf.get(name)
     try:
