@@ -61,8 +61,9 @@ def reconcile_plan(
     identify a row on both sides and are not null; values are compared null-safely.
 
     With a mapping, each row is under the policy of its column ``kind``, rows of other kinds under
-    ``replace``; all kinds are planned together. One left join on the keys. Where both tables are
-    bucketed by the keys it needs no shuffle.
+    ``replace``; all kinds are planned together. One left join on the keys, by sorting: Spark guesses
+    the size of expanded rows by that of the rows they come from, several times too small, and would
+    collect ``actual`` on the driver. Where both tables are bucketed by the keys it needs no shuffle.
     """
     keys = as_list(keys)
     values = list(values) if values is not None else [c for c in desired.columns if c not in keys]
@@ -74,7 +75,7 @@ def reconcile_plan(
     have = actual.select(
         *keys, *[F.col(c).alias(f"_have_{c}") for c in values], F.lit(True).alias("_present")
     )
-    joined = desired.select(*keys, *values, *extra).join(have, keys, "left")
+    joined = desired.select(*keys, *values, *extra).join(have.hint("merge"), keys, "left")
     missing = F.col("_present").isNull()
     none = F.array().cast("array<string>")
 

@@ -196,3 +196,12 @@ def test_a_hot_condition_is_split(spark):
     assert rows["hot"] == 4 and len(rows) == n // 3 + 1
     groups = sliced(log, ["k"], ["id"], slice_cuts(log, "id")).groupBy("k", "_slice").count()
     assert groups.agg(F.max("count")).first()[0] < n // 10
+
+
+def test_expanded_rows_are_not_collected_to_be_reconciled(spark):
+    """Spark takes the six children of a row to be as small as the row."""
+    orders = table(spark, SF, "orders").select(F.col("o_orderkey").cast("string").alias("name"))
+    children = [O.Child("a", F.concat("name", F.lit(f"-{i}")), F.lit("x" * 100)) for i in range(6)]
+    rows = O.expand_children(orders, children, "name")
+    df = O.reconcile_plan(rows, rows, ["name", "kind", "child"], values=["payload"])
+    assert "Broadcast" not in plan(df) and df.filter("action <> 'NOOP'").isEmpty()
