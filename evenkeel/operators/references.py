@@ -135,9 +135,10 @@ def resolve_refs(
     order is reported, and then all values are null.
 
     ``lookup`` has one row per (namespace, name) with a ``map<string, string|binary>``;
-    ``keys`` identify an object. All references go through one join, not one per field. An
-    object's inline values travel once, on a row of its own that needs no partner and is
-    spread over the tasks.
+    ``keys`` identify an object. All references go through one join, not one per field, as one row
+    per object and different name; the first of an object's rows carries its inline values. An
+    object without a set reference has one row, which needs no partner and is spread over the
+    tasks. The rows meet by ``keys`` and are sorted only there.
     """
     keys, keep = as_list(keys), list(keep)
     on_ns = [namespace] if namespace else []
@@ -150,28 +151,24 @@ def resolve_refs(
         ],
         *[F.col(k) for k in keep if k not in keys],
     )
-    inline_type = objects.select(inline.alias("x")).schema["x"].dataType
-
-    def edge(ord_: int, name: Column, key: Column, base: Column) -> Column:
-        return F.struct(
-            F.lit(ord_).alias("_ord"), name.alias("_name"), key.alias("_key"), base.alias("_base")
-        )
-
     none = F.lit(None).cast("string")
-    own = edge(-1, none, none, inline)
-    edges = [
-        edge(
-            i,
-            blank_to_null(as_col(f.ref_name).cast("string")),
-            blank_to_null(as_col(f.ref_key).cast("string")),
-            F.lit(None).cast(inline_type),
-        )
-        for i, f in referenced
-    ]
     carried = list(dict.fromkeys([*keys, *on_ns]))
+    asked = objects.select(
+        *carried,
+        inline.alias("_base"),
+        *[blank_to_null(as_col(f.ref_name).cast("string")).alias(f"_n{i}") for i, f in referenced],
+        *[blank_to_null(as_col(f.ref_key).cast("string")).alias(f"_k{i}") for i, f in referenced],
+    )
+    names = [F.when(F.col(f"_k{i}").isNotNull(), F.col(f"_n{i}")) for i, _ in referenced]
+    names = F.array_distinct(F.array_compact(F.array(*names))) if names else F.array().cast("array<string>")
     rows = (
-        objects.select(*carried, F.inline(F.array(own, *edges)))
-        .filter((F.col("_ord") < 0) | (F.col("_name").isNotNull() & F.col("_key").isNotNull()))
+        asked.select("*", F.posexplode_outer(names).alias("_no", "_name"))
+        .select(
+            *carried,
+            "_name",
+            F.when(F.coalesce(F.col("_no"), F.lit(0)) == 0, F.col("_base")).alias("_base"),
+            *[F.when(F.col(f"_n{i}") == F.col("_name"), F.col(f"_k{i}")).alias(f"_k{i}") for i, _ in referenced],
+        )
         .withColumn("_spread", null_spread([F.col("_name")], [F.col(k) for k in keys]))
     )
 
@@ -183,16 +180,19 @@ def resolve_refs(
         F.lit(True).alias("_found"),
     )
     joined = rows.join(values, [*on_ns, "_name", "_spread"], "left")
-    has_key = F.coalesce(F.map_contains_key(F.col("_data"), F.col("_key")), F.lit(False))
-    got = F.struct(
-        F.try_element_at(F.col("_data"), F.col("_key")).cast("string").alias("value"),
-        F.when(F.col("_found").isNull(), F.lit(NOT_FOUND)).when(~has_key, F.lit(KEY_NOT_FOUND)).alias("error"),
-    )
-    joined = joined.select(*keys, "_ord", "_base", F.when(F.col("_ord") >= 0, got).alias("_got"))
 
-    aggs = [F.any_value("_base", True).alias("_base")]
-    aggs += [F.max(F.when(F.col("_ord") == i, F.col("_got"))).alias(f"_r{i}") for i, _ in referenced]
-    grouped = joined.groupBy(*keys).agg(*aggs)
+    def got_of(key: Column) -> Column:
+        has_key = F.coalesce(F.map_contains_key(F.col("_data"), key), F.lit(False))
+        got = F.struct(
+            F.try_element_at(F.col("_data"), key).cast("string").alias("value"),
+            F.when(F.col("_found").isNull(), F.lit(NOT_FOUND)).when(~has_key, F.lit(KEY_NOT_FOUND)).alias("error"),
+        )
+        return F.when(key.isNotNull(), got)
+
+    looked = joined.select(*keys, "_base", *[got_of(F.col(f"_k{i}")).alias(f"_r{i}") for i, _ in referenced])
+    aggs = [F.any_value("_base", True).alias("_base"), *[F.max(f"_r{i}").alias(f"_r{i}") for i, _ in referenced]]
+    # Few objects have several rows: aggregating before they move would sort them all once more.
+    grouped = looked.repartition(*keys).groupBy(*keys).agg(*aggs)
 
     with_ref = {i for i, _ in referenced}
     out_values, errors = [], []

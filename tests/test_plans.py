@@ -205,3 +205,15 @@ def test_expanded_rows_are_not_collected_to_be_reconciled(spark):
     rows = O.expand_children(orders, children, "name")
     df = O.reconcile_plan(rows, rows, ["name", "kind", "child"], values=["payload"])
     assert "Broadcast" not in plan(df) and df.filter("action <> 'NOOP'").isEmpty()
+
+
+def test_resolved_objects_are_sorted_once(spark):
+    """Where their rows meet, not also after the join; an object has a row per different name."""
+    objects = spark.range(100).select("id", F.when(F.col("id") % 2 == 0, "s").alias("r"), F.when(F.col("id") % 10 == 0, "t").alias("other"))
+    data = spark.createDataFrame([("s", {"k": "v"}), ("t", {"k": "w"})], "name string, data map<string,string>")
+    fields = [*[O.Field(f"f{i}", None, "r", F.lit("k")) for i in range(7)], O.Field("g", None, "other", F.lit("k"))]
+    with settings(spark, **NO_BROADCAST, spark__sql__adaptive__enabled="false"):
+        df = O.resolve_refs(objects, data, fields, "id")
+        assert plan(df, "simple").count("Sort [id") == 1
+        rows = {r.id: (r.f0, r.f6, r.g) for r in df.collect()}
+    assert rows == {i: (*(["v"] * 2 if i % 2 == 0 else [None] * 2), "w" if i % 10 == 0 else None) for i in range(100)}
