@@ -230,10 +230,10 @@ def run_change_stream(spark, sf, place):
     events = feed(spark, sf, "events")
     changes = filter_changes(change_feed(events), change_rules()).select(_namespace(F.col("user_id")).alias("namespace"), "kind", F.col("user_id").cast("string").alias("name"), "op")
     edges = edge_table(spark, f"{place}/edges", objects(None), ["namespace", "name"])
-    edges.write(reference_lists(objects(None), edges.keys, refs, "namespace"), -1)
+    edges.begin(reference_lists(objects(None), edges.keys, refs, "namespace"), -1)
     actual = RowVersions(spark, f"{place}/actual", ["namespace", "name"], "namespace string, name string, price double", "namespace")
     old = F.when(F.col("o_orderstatus") == "F", F.lit(0.0)).otherwise(F.col("o_totalprice"))
-    actual.write(objects(None).filter("o_orderstatus != 'O'").select("namespace", "name", old.alias("price")), -1)
+    actual.begin(objects(None).filter("o_orderstatus != 'O'").select("namespace", "name", old.alias("price")), -1)
     to_the_end(
         change_stream(
             changes, edges, desired, actual, batch_folder(f"{place}/status"), f"{place}/progress", objects=objects, object_kind="plain", refs=refs, available_now=True

@@ -27,8 +27,8 @@ MISSING, CHANGED, IN_SYNC = "MISSING", "CHANGED", "IN_SYNC"
 
 
 def edge_table(spark: SparkSession, path: str, objects: DataFrame, keys: str | Sequence[str], namespace: str = "namespace") -> RowVersions:
-    """The table of references of ``objects`` by key, partitioned by namespace; fill it with
-    ``reference_lists`` as version -1."""
+    """The table of references of ``objects`` by key, partitioned by namespace; let it
+    ``begin`` with ``reference_lists`` as version -1."""
     columns = dict.fromkeys([*as_list(keys), namespace])
     fields = [T.StructField(c, objects.schema[c].dataType) for c in columns]
     refs = T.StructType.fromDDL(f"refs array<{REFERENCE}>")["refs"]

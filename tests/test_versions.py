@@ -89,3 +89,18 @@ def test_folders_can_be_removed(spark):
     assert folders(spark, f"{kept.path}/rows") == ["_version=0"] and folders(spark, f"{kept.path}/none") == []
     remove_folder(spark, kept.path)
     assert rows(kept.read()) == []
+
+
+def test_a_table_that_begins_whole_is_not_sorted_by_readers(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 1), (None, 2), ("b", 3)], "k string, v int")
+    table = RowVersions(spark, shared_dir(spark, "begun"), "k", "k string, v int")
+    table.begin(rows, 0)
+    assert "Window" not in explained(table.read()) and "Exchange" not in explained(table.read())
+    table.write(spark.createDataFrame([(None, 4), ("b", 5)], "k string, v int"), 1)
+    assert sorted(map(tuple, table.read(1).collect()), key=str) == [("a", 1), ("b", 3), (None, 2)]
+    assert sorted(map(tuple, table.read().collect()), key=str) == [("a", 1), ("b", 5), (None, 4)]
+    assert table.written(1).count() == 2
+
+
+def explained(df):
+    return df._jdf.queryExecution().executedPlan().toString()
