@@ -30,6 +30,7 @@ from evenkeel.session import ship_package, stored
 BITS, SEED, THRESHOLD = 64, 42, 3
 TILE_HOMES = 8192  # homes of an anchor that are compared in one piece
 BLOCK = 1 << 16  # shingles that are counted at a time
+WORD, CHUNK = 6, 12  # binary logarithms: places of a word of bits, places whose words are kept in one row
 # Length, covering radius and parity checks (one per bit) of the two perfect codes.
 GOLAY_POLYNOMIAL = 0b101011100011
 
@@ -361,10 +362,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     once. ``written`` says that ``docs`` is read straight from Parquet files: there a row is known
     by its file and its place in it, however the files are dealt to tasks. Where rows have no such
     place after all, they are written.
+
+    Which rows are chosen is kept as a bit per row, packed by file and CHUNK of places: so small
+    that Spark broadcasts it for millions of rows, and the rows with their texts are not shuffled.
     """
     spark = docs.sparkSession
     place = _place(docs) if written else None
-    number = F.monotonically_increasing_id() if place is None else place
+    number = F.struct(F.lit("").alias("file"), F.monotonically_increasing_id().alias("at")) if place is None else place
     numbered = docs.select(
         F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), number.alias("number")
     )
@@ -372,5 +376,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         numbered = stored(spark, numbered, "numbered")
     found = near_copies(numbered.select("number", "text", "id"), "number", "text", row_id=F.col("id"))
     best = F.min(F.struct(F.col("row_id").isNull().alias("no_id"), "row_id", "number")).alias("best")
-    chosen = stored(spark, found.groupBy("component_id").agg(best).select("best.number"), "chosen")
-    return numbered.select("row", "number").join(chosen, "number").select("row.*")
+    chosen = found.groupBy("component_id").agg(best).select("best.number.*")
+    word, bit = F.shiftright("at", WORD).alias("word"), F.col("at").bitwiseAND((1 << WORD) - 1).cast("int").alias("bit")
+    words = chosen.select("file", word, bit).groupBy("file", "word").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), "bit")).alias("bits"))
+    chunk = F.shiftright("word", CHUNK - WORD).alias("chunk")
+    kept = words.groupBy("file", chunk).agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("kept"))
+    kept = stored(spark, kept, "chosen")
+    rows = numbered.select("row", "number.*").select("row", "file", word, bit).withColumn("chunk", chunk)
+    return rows.join(kept, ["file", "chunk"]).filter(F.getbit(F.col("kept")[F.col("word")], F.col("bit")) == 1).select("row.*")

@@ -147,6 +147,25 @@ def test_one_of_each_of_a_written_table_does_not_depend_on_how_it_is_dealt_to_ta
         spark.conf.set(name, before)
 
 
+def test_one_of_each_does_not_shuffle_the_texts(spark, tmp_path):
+    """What tells the chosen rows from the others stays far smaller than a number for each."""
+    n, path = 9000, str(tmp_path / "docs")
+    text = F.concat_ws(" ", *(F.md5(F.concat(F.col("id") % 8000, F.lit(f"-{k}"))) for k in range(6)))
+    spark.range(n).select(F.col("id").alias("doc_id"), text.alias("text")).repartition(3).write.parquet(path)
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "16k")
+        kept = simhash.one_of_each(spark.read.parquet(path), written=True)
+        assert sorted(r.doc_id for r in kept.collect()) == list(range(8000))
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        spark.conf.set(name, "-1")
+        assert sorted(r.doc_id for r in simhash.one_of_each(spark.read.parquet(path), written=True).collect()) == list(range(8000))
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_no_aggregation_stands_right_before_the_join_of_a_round(spark):
     edges = spark.createDataFrame([(n, n // 2) for n in range(2, 40)] + [(7, 1)], "node long, to long")
     out = _towards_least(edges)
