@@ -21,10 +21,19 @@ RATE, BATCH = 0.05, 64
 
 def sums_by(x: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """[n, w]: the rows of values [.., w] summed by their places x [..]."""
-    flat, columns = x.ravel(), values.reshape(x.size, -1).T
+    flat, columns = x.ravel(), values.reshape(x.size, -1).T.astype(float, order="C")
     return np.stack([np.bincount(flat, c, n) for c in columns], axis=1)
 
 
+def over_experts(function: np.ufunc, x: np.ndarray) -> np.ndarray:
+    """``function`` over the last axis, kept with length one. The axis is short, so this goes through
+    it in numpy's own order, but over all places at once."""
+    out = function(x[..., :1], x[..., 1:2]) if x.shape[-1] > 1 else x[..., :1].copy()
+    for k in range(2, x.shape[-1]):
+        function(out, x[..., k : k + 1], out=out)
+    return out
+
+
 @dataclass
 class Model:
     """Tables by subword rank; ``experts[previous, next, k]`` are probabilities."""
@@ -53,39 +62,49 @@ class Model:
         small = lambda *shape: rng.normal(0, 0.05, shape).astype(np.float32)
         return cls(small(ranks, WIDTH), small(ranks, WIDTH), values.astype(np.float32), np.zeros(WINDOW, np.float32), np.zeros(k, np.float32), experts)
 
+    def causal(self, n: int) -> np.ndarray:
+        """The mask of a window of ``n``, with the bias by distance."""
+        back = np.arange(n)[:, None] - np.arange(n)[None, :]
+        return np.where(back >= 0, self.near[np.maximum(back, 0)], np.float32(-1e9)).astype(np.float32)
+
     def attend(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(attention [b, t, j], weights of the experts [b, t, k]) for windows x [b, t]."""
-        n = x.shape[1]
-        back = np.arange(n)[:, None] - np.arange(n)[None, :]
-        mask = np.where(back >= 0, self.near[np.maximum(back, 0)], np.float32(-1e9)).astype(np.float32)
-        s = np.matmul(self.queries[x], self.keys[x].transpose(0, 2, 1))
+        mask = self.causal(x.shape[1])
+        return self._attended(self.queries[x], self.keys[x], self.values[x], mask)
+
+    def _attended(self, q: np.ndarray, k: np.ndarray, v: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        s = np.matmul(q, k.transpose(0, 2, 1))
         s += mask
         s -= s.max(axis=2, keepdims=True)
         np.exp(s, out=s)
         s /= s.sum(axis=2, keepdims=True)
-        z = np.matmul(s, self.values[x])
+        z = np.matmul(s, v)
         z += self.bias
-        z -= z.max(axis=2, keepdims=True)
+        z -= over_experts(np.maximum, z)
         np.exp(z, out=z)
-        z /= z.sum(axis=2, keepdims=True)
+        z /= over_experts(np.add, z)
         return s, z
 
     def gradients(self, x: np.ndarray, y: np.ndarray, scored: np.ndarray) -> tuple[list[np.ndarray], float]:
         """Gradients of the trained parts and the summed log likelihood; ``scored`` masks padding."""
-        a, g = self.attend(x)
-        p = self.experts[x, y]
-        total = (g * p).sum(axis=2, keepdims=True)
-        dz = (g - g * p / np.maximum(total, 1e-30)) * scored[:, :, None]
-        v = self.values[x]
-        da = np.matmul(dz, v.transpose(0, 2, 1))
-        ds = a * (da - (a * da).sum(axis=2, keepdims=True))
+        q, k, v = self.queries[x], self.keys[x], self.values[x]
+        a, g = self._attended(q, k, v, self.causal(x.shape[1]))
+        p = g * self.experts.reshape(-1, self.experts.shape[2])[x * self.experts.shape[1] + y]
+        total = over_experts(np.add, p)
+        p /= np.maximum(total, 1e-30)
+        dz = g
+        dz -= p
+        dz *= scored[:, :, None]
+        ds = np.matmul(dz, v.transpose(0, 2, 1))
+        ds -= (a * ds).sum(axis=2, keepdims=True)
+        ds *= a
         near = np.zeros_like(self.near)
         by_distance = ds.sum(axis=0)
         for d in range(x.shape[1]):
-            near[d] = np.trace(by_distance, offset=-d)
+            near[d] = by_distance.diagonal(-d).sum()
         out = [
-            sums_by(x, np.matmul(ds, self.keys[x]), len(self.queries)),
-            sums_by(x, np.matmul(ds.transpose(0, 2, 1), self.queries[x]), len(self.keys)),
+            sums_by(x, np.matmul(ds, k), len(self.queries)),
+            sums_by(x, np.matmul(ds.transpose(0, 2, 1), q), len(self.keys)),
             sums_by(x, np.matmul(a.transpose(0, 2, 1), dz), len(self.values)),
             near, dz.sum(axis=(0, 1)),
         ]
@@ -129,7 +148,7 @@ class Model:
         z = np.matmul(s, self.valued[x])
         z = z[:, :, :-1] / z[:, :, -1:]
         z += self.bias
-        z -= z.max(axis=2, keepdims=True)
+        z -= over_experts(np.maximum, z)
         return np.exp(z, out=z)
 
     def probabilities(self, ranks: np.ndarray, starts: np.ndarray, ending: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,7 +165,7 @@ class Model:
         end = np.repeat(ends, counts)
         first = np.repeat(starts, counts) == begin
         p, stop = np.ones(len(ranks), np.float32), np.ones(len(ranks), np.float32)
-        columns = np.arange(WINDOW)
+        columns, experts = np.arange(WINDOW), self.experts.reshape(-1, self.experts.shape[2])
         late = columns >= OVERLAP
         for at in range(0, len(begin), 128):
             b, e, f = begin[at : at + 128], end[at : at + 128], first[at : at + 128]
@@ -155,8 +174,8 @@ class Model:
             z = self.weigh(x)
             scored = (place + 1 < e[:, None]) & (late | f[:, None])
             where, w, previous = place[scored] + 1, z[scored], x[scored]
-            total = w.sum(axis=1)
-            p[where] = np.einsum("nk,nk->n", w, self.experts[previous, ranks[where]]) / total
+            total = over_experts(np.add, w)[:, 0]
+            p[where] = np.einsum("nk,nk->n", w, experts[previous * self.experts.shape[1] + ranks[where]]) / total
             word = ending[where]
             stop[where[word]] = np.einsum("nk,nk->n", w[word], self.stops[previous[word]]) / total[word]
         return p, stop

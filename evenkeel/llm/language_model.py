@@ -17,6 +17,7 @@ no score depends on what the dictionary holds.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections import Counter
 from functools import cache, cached_property
 
@@ -63,7 +64,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def ids_of(word: bytes, path: str) -> bytes:
-    return np.array(subwords(path).encode_ordinary(" " + word.decode()), np.uint16).tobytes()
+    return array("H", subwords(path).encode_ordinary(" " + word.decode())).tobytes()
 
 
 def _gathered(batches):

@@ -170,3 +170,12 @@ def test_kinds_come_from_all_passages(spark, monkeypatch):
     assert len({int(row.argmax()) // 100 for row in found}) > 1
     everything = np.bincount(lm.rows_of(rows)[:, 1:].ravel(), minlength=lm.RANKS + 1)
     assert all(found[:, r].max() > 1e-4 for r in np.flatnonzero(everything))
+
+
+def test_sums_over_the_experts_have_the_bits_of_numpys_own():
+    """Scores don't depend on how these are computed; of one expert too."""
+    rng = np.random.default_rng(7)
+    for k in (1, 2, lm.KINDS, 7):
+        x = rng.normal(0, 3, (5, 32, k)).astype(np.float32)
+        assert (a.over_experts(np.add, x) == x.sum(axis=2, keepdims=True)).all()
+        assert (a.over_experts(np.maximum, x) == x.max(axis=2, keepdims=True)).all()
