@@ -105,3 +105,51 @@ def test_a_new_admin_secret_is_waited_for_and_a_job_needs_its_namespace(spark):
 
 def test_most_passes(spark):
     assert settled(spark, table(spark, obj(refs=ALL_REFS)), most=2).passes == 2
+
+
+def test_looking_up_moves_no_whole_specs_and_its_code_is_small_enough_to_be_compiled(spark, monkeypatch):
+    """The JVM interprets a method of more than 8000 bytes, row for row."""
+    written = {}
+
+    def stored(session, df, purpose):
+        stats = session._jvm.org.apache.spark.sql.execution.debug.__getattr__("package$").__getattr__("MODULE$")
+        parts = stats.codegenStringSeq(df._jdf.queryExecution().executedPlan())
+        sizes = [parts.apply(i)._3().maxMethodCodeSize() for i in range(parts.size())]
+        written.setdefault(purpose, []).append((df.columns, max(sizes, default=0)))
+        return store(session, df, purpose)
+
+    store = S.stored
+    monkeypatch.setattr(S, "stored", stored)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        end = settled(spark, table(spark, obj(refs=ALL_REFS), obj("b", refs=ALL_REFS, modules=["base"])))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert end.passes == len(written["pass"]) == 5
+    assert all("spec" not in columns for columns, _ in written["pass"])
+    assert max(size for purpose, found in written.items() for _, size in found if purpose != "objects") < 8000, written
+
+
+def test_an_object_that_comes_twice_has_children_of_one_of_its_rows(spark):
+    both = table(spark, obj(refs=ALL_REFS, modules=["base"])).withColumn("_n", F.explode(F.array(F.lit(1), F.lit(2))))
+    none = F.lit(None).cast("struct<name: string, key: string>")
+    database = F.col("spec.database").withField("max_conn_ref", none).withField("max_conn", F.col("_n"))
+    spec = F.col("spec").withField("image", F.concat(F.lit("v"), F.col("_n"))).withField("database", database)
+    kept = spark.createDataFrame([("default", "my-app", "secret", "my-app-admin-password", "kept", None)], S.CHILDREN)
+    secrets, jobs = world(spark)
+    status = F.struct(F.array(F.lit("base")).alias("modules_installed"))
+    objects = both.withColumn("spec", spec).select("namespace", "name", "spec", F.from_json(F.to_json(status), S.STATUS).alias("status"))
+    plan = S.one_pass(objects, secrets(kept), jobs(kept), kept, "app", F.lit(BEGAN), 1).plan
+    rows = plan.filter("kind = 'workload' OR child LIKE '%-config'").select("kind", "payload").distinct().collect()
+    found = {r.kind: r.payload for r in rows}
+    assert len(rows) == 2
+    number = found["workload"].split('"image":"v')[1].split('"')[0]
+    assert f"db_maxconn = {number}\n" in found["secret"]
+
+
+def test_objects_are_given_back_as_they_came(spark):
+    objects = table(spark, obj("bad", refs={**ALL_REFS, "port": ("test-db-secret", "nothing")}))
+    end = settled(spark, objects)
+    assert end.objects.columns == objects.columns
+    assert end.objects.first().spec == objects.first().spec

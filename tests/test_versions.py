@@ -104,3 +104,28 @@ def test_a_table_that_begins_whole_is_not_sorted_by_readers(spark):
 
 def explained(df):
     return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sorted_reading_gives_the_same_rows_with_one_shuffle(spark):
+    rng, kept = random.Random(2), table(spark, sort_by="v")
+    kept.begin(frame(spark, [(ns, k, "begun", None) for ns in ("a", None) for k in range(8)]).drop("_gone"), 0)
+    assert "Window" not in explained(kept.read_sorted()) and kept.read_sorted().exceptAll(kept.read()).isEmpty()
+    for version in range(1, 5):
+        changed = {(rng.choice(["a", "b", None]), rng.randrange(8)): (f"v{version}", rng.random() < 0.3) for _ in range(6)}
+        kept.write(frame(spark, [(*k, *v) for k, v in changed.items()]), version)
+    for version in range(6):
+        plain, ordered = kept.read(before=version), kept.read_sorted(before=version)
+        assert sorted(map(tuple, ordered.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+    plan = O.reconcile_plan(kept.read().select("ns", "k", "v"), kept.read_sorted(), ["ns", "k"])
+    side = explained(plan).partition("SortMergeJoin")[2]
+    assert "_later" in side and "WindowGroupLimit" not in explained(plan)
+    assert explained(kept.read_sorted()).count("Exchange") == 1
+
+
+def test_rows_of_a_file_are_in_order(spark):
+    kept = table(spark, sort_by="v")
+    kept.begin(spark.range(2000).select(F.lit("a").alias("ns"), F.col("id").cast("int").alias("k"), F.concat(F.lit("v"), F.col("id") % 7).alias("v")), 0)
+    for path in Path(f"{kept.path}/base/_version=0").rglob("*.parquet"):
+        read = [r.v for r in spark.read.parquet(str(path)).collect()]
+        assert read == sorted(read)
+    assert kept.read().count() == 2000
